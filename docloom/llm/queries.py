@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, packing, sharding
+from docloom.llm import embedding_dedup, exact_dedup, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
 }
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
