@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import embedding_dedup, exact_dedup, packing, sharding
+from docloom.llm import embedding_dedup, exact_dedup, ngram_join, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
 }
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
