@@ -10,6 +10,7 @@ The driver sees the histogram only, whose size is bounded by the sequence length
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import unicodedata
 import zlib
@@ -35,12 +36,93 @@ ODD = re.compile(r"<\||[\x00-\x1f\x7f-\x9fΣİ]")
 NOT_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
+class PairMerger:
+    """Byte-pair merges of many pre-tokens at once; those of the same length are a matrix.
+
+    In each round every row merges its leftmost pair of lowest rank. Ranks come from an open hash
+    table over pairs, and only the two pairs beside a merge are looked up again.
+    """
+
+    NONE = np.int32(2**31 - 1)
+    BITS = 20
+
+    def __init__(self, vocab: dict[str, int], merges: list):
+        # Bytes that are not printable get the letters from U+0100 on, in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.first = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[letters[b] + "</w>"] for b in range(256)], np.int32)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        size = 1 << self.BITS
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, self.NONE, np.int32)
+        packed = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        for rank, (key, at) in enumerate(zip(packed.tolist(), self._slot(packed).tolist(), strict=True)):
+            while self.keys[at] >= 0 and self.keys[at] != key:
+                at = (at + 1) & (size - 1)
+            if self.keys[at] < 0:
+                self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 20 | right
+        at = self._slot(keys)
+        got = self.keys[at]
+        while (more := (got != keys) & (got >= 0)).any():
+            at = np.where(more, (at + 1) & ((1 << self.BITS) - 1), at)
+            got = self.keys[at]
+        return np.where(got == keys, self.ranks[at], self.NONE)
+
+    def _merge(self, ids: np.ndarray) -> list[list[int]]:
+        n, width = ids.shape
+        lens = np.full(n, width)
+        if width > 1:
+            rank = self._rank(ids[:, :-1], ids[:, 1:])
+            live = np.flatnonzero(rank.min(1) < self.NONE)
+            while len(live):
+                part, r, m = ids[live], rank[live], lens[live]
+                rows, at = np.arange(len(live)), r.argmin(1)
+                part[rows, at] = self.made[r[rows, at]]
+                m -= 1
+                cols = np.arange(width)
+                part = np.take_along_axis(part, np.minimum(cols + (cols > at[:, None]), width - 1), 1)
+                cols = np.arange(width - 1)
+                r = np.take_along_axis(r, np.minimum(cols + (cols > at[:, None]), width - 2), 1)
+                r[:, -1] = self.NONE
+                has = at + 1 < m
+                r[rows, at] = np.where(has, self._rank(part[rows, at], part[rows, np.minimum(at + 1, width - 1)]), self.NONE)
+                back = np.flatnonzero(at > 0)
+                r[back, at[back] - 1] = self._rank(part[back, at[back] - 1], part[back, at[back]])
+                ids[live], rank[live], lens[live] = part, r, m
+                live = live[r.min(1) < self.NONE]
+        return [x[:k] for x, k in zip(ids.tolist(), lens.tolist(), strict=True)]
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        raw = [w.encode() for w in words]
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, b in enumerate(raw):
+            by_length.setdefault(len(b), []).append(i)
+        for length, where in by_length.items():
+            step = max(1, 200_000 // length)
+            for lo in range(0, len(where), step):
+                some = where[lo : lo + step]
+                grid = np.frombuffer(b"".join([raw[i] for i in some]), np.uint8).reshape(len(some), length)
+                ids = self.first[grid]
+                ids[:, -1] = self.last[grid[:, -1]]
+                for i, x in zip(some, self._merge(ids), strict=True):
+                    out[i] = x
+        return out
+
+
 class WordTokenizer:
     """Token ids of whole texts by way of their distinct words.
 
     The vocabulary never joins across white space, so ids of a text are ids of its words in turn.
-    Unknown words are split into pre-tokens; unknown pre-tokens are encoded together in one call
-    and told apart by the end-of-word mark that every last token carries.
+    Unknown words are split into pre-tokens, and unknown pre-tokens are merged together in batches.
     """
 
     def __init__(self, path: str):
@@ -49,10 +131,8 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.split = regex.compile(PRETOKEN).findall
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for t, i in vocab.items():
-            self.ends[i] = t.endswith("</w>")
+        spec = json.loads(self.tok.to_str())
+        self.merger = PairMerger(spec["model"]["vocab"], spec["model"]["merges"])
         self._clear()
 
     def _clear(self) -> None:
@@ -63,23 +143,15 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         parts: list[list[str] | None] = []
         for w in words:
-            if w.isascii():
-                low = w.lower()
-            else:
-                low = unicodedata.normalize("NFC", w).lower()
-                if not unicodedata.is_normalized("NFC", low):
-                    parts.append(None)
-                    continue
-            parts.append(None if ODD.search(w) else self.split(low))
+            body, end = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
+            low = body.lower()
+            if body.isalpha() and (low.isascii() or not ODD.search(w) and unicodedata.is_normalized("NFC", w) and unicodedata.is_normalized("NFC", low)):
+                parts.append([low, end] if end else [low])  # letters are one pre-token, and so is a mark behind them
+                continue
+            low = unicodedata.normalize("NFC", w).lower()
+            parts.append(None if ODD.search(w) or not unicodedata.is_normalized("NFC", low) else self.split(low))
         new = list({p for ps in parts if ps for p in ps if p not in self.sub})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                self.sub.update((p, self.tok.encode(p, add_special_tokens=False).ids) for p in some)
-            else:
-                self.sub.update(zip(some, (x.tolist() for x in np.split(ids, cuts[:-1])), strict=True))
+        self.sub.update(zip(new, self.merger.encode(new), strict=True))
         sub, n0 = self.sub, len(self.place)
         lists = [
             list(itertools.chain.from_iterable(map(sub.__getitem__, ps))) if ps is not None else self.tok.encode(w, add_special_tokens=False).ids
