@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import embedding_dedup, exact_dedup, ngram_join, packing, sharding
+from docloom.llm import embedding_dedup, exact_dedup, ngram_join, packing, secret_scan, sentencepiece_codec, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,5 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
