@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import embedding_dedup, exact_dedup, ngram_join, packing, secret_scan, sentencepiece_codec, sharding
+from docloom.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, secret_scan, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_html_extraction": html_extract.op6_html_extraction,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
