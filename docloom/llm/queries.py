@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, secret_scan, sentencepiece_codec, sharding, toxicity
+from docloom.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, secret_scan, sentencepiece_codec, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
