@@ -312,9 +312,9 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     before = length - GRAM
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Grams by bucket with their documents; those already seen twice in the batch need no count."""
+        """Grams by bucket with their documents; those already seen twice need no count."""
         for b in batches:
-            b = b.sort_values("ord").drop_duplicates("data")
+            b = b.sort_values("ord")
             owner = b["ord"].to_numpy()
             for who, _, gram in doc_anchors(b["data"].tolist(), length):
                 by = np.lexsort((who, gram))
