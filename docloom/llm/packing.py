@@ -28,7 +28,7 @@ SEQUENCE = 4096
 GRAIN = 16
 END_ID = 2
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words that only the tokenizer itself splits and lower-cases right.
 ODD = re.compile(r"<\||[\x00-\x1f\x7f-\x9fΣİ]")
@@ -154,7 +154,11 @@ class WordTokenizer:
         self.sub.update(zip(new, self.merger.encode(new), strict=True))
         sub, n0 = self.sub, len(self.place)
         lists = [
-            list(itertools.chain.from_iterable(map(sub.__getitem__, ps))) if ps is not None else self.tok.encode(w, add_special_tokens=False).ids
+            self.tok.encode(w, add_special_tokens=False).ids
+            if ps is None
+            else sub[ps[0]]
+            if len(ps) == 1
+            else list(itertools.chain.from_iterable(map(sub.__getitem__, ps)))
             for w, ps in zip(words, parts, strict=True)
         ]
         lens = np.fromiter(map(len, lists), np.int32, len(lists))
@@ -172,7 +176,9 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [[t] if NOT_SPACE.search(t) else t.split() for t in texts]
         unknown = set(itertools.chain.from_iterable(words)) - self.place.keys()
-        if len(self.place) + len(unknown) > CACHE_WORDS or len(self.sub) > CACHE_WORDS:
+        if len(self.sub) > CACHE_WORDS // 5:
+            self.sub = {}
+        if len(self.place) + len(unknown) > CACHE_WORDS:
             self._clear()
             unknown = set(itertools.chain.from_iterable(words))
         if unknown:
