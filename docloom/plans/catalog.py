@@ -1,6 +1,405 @@
-"""Registry of the library's queries and their SQL."""
+"""Registry of the library's queries and their DuckDB SQL; each runs over its whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions import codecs, text
+from docloom.operators import diff, forms, pageset, revisions, trees
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT source, count(*) AS n_docs, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS text_bytes,
+  max(octet_length(encode(coalesce(text, ''))))::BIGINT AS longest, bool_or(coalesce(text, '') <> '') AS has_text FROM documents GROUP BY source""")
+def doc_summary(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.sum(F.octet_length(t)).alias("text_bytes"), F.max(F.octet_length(t)).cast("long").alias("longest"), F.bool_or(t != "").alias("has_text")
+    )
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
+def link_annotations(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+@query("""SELECT page_id, coalesce(html, '') <> '' AS has_text, contains(html, '<img') AS has_images, contains(html, '<img') AND coalesce(html, '') = '' AS scanned,
+  len(regexp_extract_all(html, 'href="'))::BIGINT AS n_links FROM pages""")
+def content_flags(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select(
+        "page_id", (F.coalesce(h, F.lit("")) != "").alias("has_text"), h.contains("<img").alias("has_images"), (h.contains("<img") & (F.coalesce(h, F.lit("")) == "")).alias("scanned"),
+        F.size(F.regexp_extract_all(h, F.lit('href="'), F.lit(0))).cast("long").alias("n_links"),
+    )
+
+
+_CASE = f"translate(text, '{text.UPPER}', '{text.LOWER}')"
+
+
+@query(f"SELECT doc_id, md5({_CASE}) AS digest FROM documents")
+def normalize_case(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold_case(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) AS digest FROM documents")
+def normalize_ws(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.strip_space(F.col("text"))).alias("digest"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS word FROM documents) GROUP BY word")
+def split_words(spark, d):
+    return table(spark, d, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT a.conv_id, a.turn, regexp_extract_all(hex(encode(a.text)), '..') AS x, regexp_extract_all(hex(encode(b.text)), '..') AS y
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, CASE WHEN greatest(len(x), len(y)) = 0 THEN 0.0 ELSE
+  list_sum(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: CASE WHEN x[i] IS NOT DISTINCT FROM y[i] THEN 0 ELSE 1 END))::DOUBLE / greatest(len(x), len(y)) END AS ratio FROM p""")
+def change_ratio(spark, d):
+    c = table(spark, d, "conversations")
+    a = c.select("conv_id", "turn", F.col("text").alias("a"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", text.change_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text FROM conversations), m AS (SELECT max(conv_id) AS top FROM c),
+l AS (SELECT conv_id AS pair, turn, text FROM c), r AS (SELECT conv_id - 1 AS pair, turn, text FROM c)
+SELECT coalesce(l.pair, r.pair) AS pair, coalesce(l.turn, r.turn) AS turn,
+  CASE WHEN l.pair IS NULL THEN 'added' WHEN r.pair IS NULL THEN 'removed' WHEN l.text IS NOT DISTINCT FROM r.text THEN 'equal' ELSE 'modified' END AS category
+FROM l FULL JOIN r ON l.pair = r.pair AND l.turn = r.turn""")
+def diff_pages_positional(spark, d):
+    c = table(spark, d, "conversations")
+    left, right = c.withColumn("pair", F.col("conv_id")), c.withColumn("pair", F.col("conv_id") - 1)
+    return diff.keyed_diff(left, right, ["pair", "turn"], "text").select("pair", "turn", "category")
+
+
+_FORM = "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE year(o_orderdate) % 2 = {} GROUP BY ALL"
+
+
+@query(f"""SELECT coalesce(l.o_custkey, r.o_custkey) AS o_custkey, coalesce(l.o_orderpriority, r.o_orderpriority) AS o_orderpriority, l.n AS old_value, r.n AS new_value,
+  CASE WHEN l.n IS NULL THEN 'added' WHEN r.n IS NULL THEN 'removed' WHEN l.n = r.n THEN 'equal' ELSE 'modified' END AS category
+FROM ({_FORM.format(0)}) l FULL JOIN ({_FORM.format(1)}) r ON l.o_custkey = r.o_custkey AND l.o_orderpriority = r.o_orderpriority""")
+def diff_forms_by_name(spark, d):
+    o = table(spark, d, "orders")
+    side = lambda k: o.filter(F.year("o_orderdate") % 2 == k).groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+    return diff.keyed_diff(side(0), side(1), ["o_custkey", "o_orderpriority"], "n")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE sha256(b.text) = sha256(d.text))")
+def diff_added(spark, d):
+    key = lambda t: table(spark, d, t).withColumn("digest", F.sha2("text", 256))
+    return diff.added(key("benchmark"), key("documents"), ["digest"]).select("doc_id")
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE sha256(b.text) = sha256(d.text))")
+def diff_removed(spark, d):
+    key = lambda t: table(spark, d, t).withColumn("digest", F.sha2("text", 256))
+    return diff.removed(key("benchmark"), key("documents"), ["digest"]).select("item_id")
+
+
+_GRAPHIC = "concat_ws(':', floor(l_quantity * 10 + 0.5)::BIGINT, floor(l_extendedprice * 10 + 0.5)::BIGINT, floor(l_discount * 10 + 0.5)::BIGINT, floor(l_tax * 10 + 0.5)::BIGINT)"
+
+
+@query(f"""WITH g AS (SELECT {_GRAPHIC} AS key, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL),
+l AS (SELECT key, n FROM g WHERE l_linestatus = 'F'), r AS (SELECT key, n FROM g WHERE l_linestatus = 'O')
+SELECT coalesce(l.key, r.key) AS key, CASE WHEN l.n IS NULL THEN 'added' WHEN r.n IS NULL THEN 'removed' WHEN l.n = r.n THEN 'equal' ELSE 'modified' END AS category
+FROM l FULL JOIN r ON l.key = r.key""")
+def diff_graphics_key(spark, d):
+    key = text.rounded_key(*map(F.col, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    g = table(spark, d, "lineitem").groupBy(key.alias("key"), "l_linestatus").agg(F.count("*").alias("n"))
+    return diff.keyed_diff(g.filter("l_linestatus = 'F'"), g.filter("l_linestatus = 'O'"), ["key"], "n").select("key", "category")
+
+
+@query("""SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM part a JOIN part b
+ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) < 1.0""")
+def band_match(spark, d):
+    p = table(spark, d, "part")
+    a = p.select(F.col("p_partkey").alias("a_key"), F.col("p_size").alias("a_size"), F.col("p_retailprice").alias("a_price"))
+    b = p.select(F.col("p_partkey").alias("b_key"), F.col("p_size").alias("b_size"), F.col("p_retailprice").alias("b_price"))
+    return diff.band_match(a, b, [("a_size", "b_size")], "a_price", "b_price", 1.0).filter("a_key < b_key").select("a_key", "b_key")
+
+
+@query("""WITH f AS (SELECT sha256(text) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1)
+SELECT d.doc_id, f.first_id FROM documents d JOIN f ON sha256(d.text) = f.h WHERE d.doc_id > f.first_id""")
+def image_equal_moved(spark, d):
+    return diff.moved(table(spark, d, "documents").select("doc_id", "text"), F.sha2("text", 256), "doc_id", "first_id").select("doc_id", "first_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1""")
+def best_score_match(spark, d):
+    return diff.best_match(table(spark, d, "lineitem"), "l_linenumber", "l_orderkey", "l_extendedprice")
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_wins(spark, d):
+    return revisions.latest_wins(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["value", "event_id"])
+
+
+@query("""SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events
+WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id""")
+def as_of_revision(spark, d):
+    return revisions.as_of(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["value", "event_id"], F.col("ts") <= F.lit("2024-01-15 00:00:00").cast("timestamp"))
+
+
+@query("SELECT event_id, user_id, epoch_us(ts) AS end_us, epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS start_us FROM events")
+def revision_bounds(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("end_us"))
+    return revisions.bounds(e, ["user_id"], ["ts", "event_id"], "end_us", "start_us").drop("ts")
+
+
+@query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
+def first_wins_distinct(spark, d):
+    docs = table(spark, d, "documents").select(F.md5("text").alias("digest"), "doc_id", "source")
+    return revisions.first_wins(docs, ["digest"], ["doc_id"], ["doc_id", "source"])
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_number FROM conversations")
+def page_numbering(spark, d):
+    return pageset.number_pages(table(spark, d, "conversations").select("conv_id", "turn"), ["conv_id"], ["turn"])
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+_NUMBERED = f"(SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS page_number FROM pages)"
+
+
+def _hosted(spark, d) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    return pageset.number_pages(p, ["host"], ["page_id"])
+
+
+@query(f"SELECT *, ((page_number + 4) // 5)::BIGINT AS part FROM {_NUMBERED}")
+def split_by_count(spark, d):
+    return pageset.split_by_count(_hosted(spark, d), 5)
+
+
+@query(f"SELECT n.*, r.part FROM {_NUMBERED} n JOIN (VALUES (1::BIGINT, 1, 3), (2, 2, 5), (3, 8, 20)) r(part, a, b) ON n.page_number BETWEEN r.a AND r.b")
+def split_ranges(spark, d):
+    return pageset.split_ranges(_hosted(spark, d), [(1, 3), (2, 5), (8, 20)])
+
+
+@query(f"SELECT n.*, w.new_number FROM {_NUMBERED} n JOIN (VALUES (5, 1::BIGINT), (1, 2), (3, 3), (1, 4)) w(p, new_number) ON n.page_number = w.p")
+def extract_pages(spark, d):
+    return pageset.extract_pages(_hosted(spark, d), [5, 1, 3, 1])
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_number) AS new_number FROM {_NUMBERED} WHERE page_number NOT IN (2, 4, 7)")
+def delete_pages(spark, d):
+    return pageset.delete_pages(_hosted(spark, d), [7, 2, 4])
+
+
+@query(f"""SELECT page_id, host, page_number, page_number + (page_number >= 2)::BIGINT AS new_number FROM {_NUMBERED}
+UNION ALL SELECT NULL, host, NULL, 2 FROM (SELECT DISTINCT {_HOST} AS host FROM pages)""")
+def insert_page(spark, d):
+    p = _hosted(spark, d)
+    return pageset.insert_page(p, 2, p.select("host").distinct())
+
+
+@query("SELECT page_id, (((page_id % 4) * 90 + 270) % 360)::BIGINT AS rotation FROM pages")
+def rotate(spark, d):
+    return table(spark, d, "pages").select("page_id", pageset.rotate((F.col("page_id") % 4) * 90, 270).cast("long").alias("rotation"))
+
+
+@query("""WITH a AS (SELECT max(r_regionkey) AS t FROM region), b AS (SELECT max(n_nationkey) AS t FROM nation)
+SELECT 1::BIGINT AS file_no, r_name AS name, r_regionkey::BIGINT AS number, r_regionkey::BIGINT AS new_number FROM region
+UNION ALL SELECT 2, n_name, n_nationkey, n_nationkey + (SELECT t FROM a) FROM nation
+UNION ALL SELECT 3, s_name, s_suppkey, s_suppkey + (SELECT t FROM a) + (SELECT t FROM b) FROM supplier""")
+def merge_renumber(spark, d):
+    take = lambda t, c: table(spark, d, t).select(F.col(f"{c}_name").alias("name"), F.col({"r": "r_regionkey", "n": "n_nationkey", "s": "s_suppkey"}[c]).cast("long").alias("number"))
+    return pageset.merge_renumber([take("region", "r"), take("nation", "n"), take("supplier", "s")], "number")
+
+
+@query("""SELECT 'r' || r_regionkey AS node, r_name AS full_name, 0::BIGINT AS depth FROM region
+UNION ALL SELECT 'n' || n_nationkey, r_name || '.' || n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 's' || s_suppkey, r_name || '.' || n_name || '.' || s_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def full_name_tree(spark, d):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = (
+        table(spark, d, "region").select(key("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+        .unionByName(table(spark, d, "nation").select(key("n", "n_nationkey").alias("node"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
+        .unionByName(table(spark, d, "supplier").select(key("s", "s_suppkey").alias("node"), key("n", "s_nationkey").alias("parent"), F.col("s_name").alias("name")))
+    )
+    return trees.full_names(nodes, "node", "parent", "name").select("node", "full_name", "depth")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR text = ''")
+def validate_required(spark, d):
+    return forms.required_empty(table(spark, d, "documents"), "text").select("doc_id")
+
+
+@query("""SELECT c_custkey, CASE WHEN octet_length(encode(c_name)) < 5 THEN 'min_length' WHEN octet_length(encode(c_name)) > 15 THEN 'max_length' END AS failure FROM customer""")
+def validate_length(spark, d):
+    return table(spark, d, "customer").select("c_custkey", forms.first_failure(F.col("c_name"), min_length=5, max_length=15).alias("failure"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'minimum' WHEN c_acctbal > 5000 THEN 'maximum' END AS failure FROM customer")
+def validate_range(spark, d):
+    return table(spark, d, "customer").select("c_custkey", forms.first_failure(F.col("c_acctbal"), minimum=0, maximum=5000).alias("failure"))
+
+
+@query("SELECT p_partkey, CASE WHEN NOT regexp_matches(p_brand, '[0-4]$') THEN 'pattern' END AS failure FROM part")
+def validate_pattern(spark, d):
+    return table(spark, d, "part").select("p_partkey", forms.first_failure(F.col("p_brand"), pattern="[0-4]$").alias("failure"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'option' END AS failure FROM orders")
+def validate_option(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", forms.first_failure(F.col("o_orderstatus"), options=["O", "F"]).alias("failure"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def validate_missing(spark, d):
+    return forms.missing_fields(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)")
+def validate_unknown(spark, d):
+    return forms.unknown_fields(table(spark, d, "labels"), table(spark, d, "documents"), ["doc_id"]).select("doc_id")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' AND o_totalprice > 100000) OR NOT starts_with(o_orderpriority, '1')""")
+def condition_filter(spark, d):
+    rule = {"logic": "OR", "of": [
+        {"logic": "AND", "of": [{"op": "equals", "field": "o_orderstatus", "value": "O"}, {"op": "greaterThan", "field": "o_totalprice", "value": 100000}]},
+        {"logic": "NOT", "of": [{"op": "startsWith", "field": "o_orderpriority", "value": "1"}]},
+    ]}
+    return table(spark, d, "orders").filter(forms.condition(rule)).select("o_orderkey")
+
+
+_K = "json_extract_string(props, '$.k')"
+_FLOAT = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+
+
+@query(f"""SELECT event_id, CASE WHEN coalesce({_K}, '') = '' THEN 'empty' WHEN lower({_K}) IN ('true', 'false', '1', '0') THEN 'bool'
+WHEN regexp_matches({_K}, '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches({_K}, {_FLOAT}) THEN 'float' ELSE 'string' END AS kind FROM events""")
+def infer_value_type(spark, d):
+    return table(spark, d, "events").select("event_id", text.value_type(F.get_json_object("props", "$.k")).alias("kind"))
+
+
+@query(f"""SELECT event_id, CASE WHEN coalesce({_K}, '') = '' THEN 'empty' WHEN regexp_matches({_K}, {_FLOAT}) THEN 'float'
+WHEN lower({_K}) IN ('true', 'false') THEN 'bool' ELSE 'string' END AS kind FROM events""")
+def infer_style_type(spark, d):
+    return table(spark, d, "events").select("event_id", text.style_type(F.get_json_object("props", "$.k")).alias("kind"))
+
+
+_ID = "regexp_replace(regexp_replace({}, '[ -]', '_', 'g'), '[^A-Za-z0-9_]', '', 'g')"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN i = '' THEN 'field_' || p_partkey WHEN regexp_matches(i, '^[0-9]') THEN 'field_' || i ELSE i END AS field_id
+FROM (SELECT p_partkey, {_ID.format("p_size || '-' || p_name")} AS i FROM part)""")
+def sanitize_id(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.sanitise_id(F.concat(F.col("p_size").cast("string"), F.lit("-"), F.col("p_name")), F.col("p_partkey")).alias("field_id"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'button' WHEN 'view' THEN 'text' WHEN 'purchase' THEN 'number' ELSE 'none' END AS kind FROM events")
+def map_response_type(spark, d):
+    return table(spark, d, "events").select("event_id", text.response_type(F.col("event_type"), {"click": "button", "view": "text", "purchase": "number"}, "none").alias("kind"))
+
+
+_ESC = r"replace(replace(replace(replace(replace(replace(text, '\', '\\'), '(', '\('), ')', '\)'), chr(13), '\r'), chr(10), '\n'), chr(9), '\t')"
+
+
+@query(f"SELECT doc_id, md5({_ESC}) AS digest FROM documents")
+def pdf_escape(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.escape_string(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def pdf_unescape(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.unescape_string(text.escape_string(F.col("text")))).alias("digest"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, 'D:%Y%m%d%H%M%S') AS pdf_date FROM orders")
+def pdf_date(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.pdf_date(F.col("o_orderdate")).alias("pdf_date"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), '') AS lang FROM pages")
+def dict_value(spark, d):
+    take = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
+    return table(spark, d, "pages").select("page_id", take("<title>([^<]*)</title>").alias("title"), take('lang="([a-z]+)"').alias("lang"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+'))::BIGINT AS ref FROM pages")
+def refs(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.transform(F.regexp_extract_all("url", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long"))).alias("ref"))
+
+
+@query("SELECT doc_id, md5(hex(encode(text)) || '>') AS digest FROM documents")
+def ascii_hex(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.concat(F.hex(F.encode("text", "UTF-8")), F.lit(">"))).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
+def digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+
+
+def _round_trip(spark, d, name: str) -> DataFrame:
+    data = F.encode("text", "UTF-8")
+    return table(spark, d, "documents").select("doc_id", codecs.decoded(codecs.encoded(data, name), name).eqNullSafe(data).alias("same"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def ascii85_roundtrip(spark, d):
+    return _round_trip(spark, d, "ASCII85Decode")
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def runlength_roundtrip(spark, d):
+    return _round_trip(spark, d, "RunLengthDecode")
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def flate_roundtrip(spark, d):
+    return _round_trip(spark, d, "FlateDecode")
+
+
+@query("SELECT event_type AS code, CASE WHEN value < 10 THEN 'info' WHEN value < 50 THEN 'warning' ELSE 'error' END AS level, count(*) AS n FROM events GROUP BY ALL")
+def warnings_by_level(spark, d):
+    level = F.when(F.col("value") < 10, "info").when(F.col("value") < 50, "warning").otherwise("error")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("code"), level.alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type IN ('click') AS not_found, event_type IN ('view', 'purchase') AS validation FROM events")
+def error_class(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("event_type").isin("click").alias("not_found"), F.col("event_type").isin("view", "purchase").alias("validation"))
+
+
+@query(f"SELECT category, 'Fields ' || category || ': ' || count(*) AS line FROM ({SQL['diff_forms_by_name']}) GROUP BY category")
+def report_lines(spark, d):
+    n = diff_forms_by_name(spark, d).groupBy("category").count()
+    return n.select("category", F.format_string("Fields %s: %d", "category", "count").alias("line"))
+
+
+def _turns(spark, d, shift: int) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select((F.col("conv_id") - shift).alias("pair"), F.col("turn").alias("idx"), "text", F.lit(72.0).alias("x"), (720 - 10 * F.col("turn")).cast("double").alias("y"), F.col("role").alias("font_name"), F.lit(12.0).alias("font_size"))
+
+
+@query()
+def greedy_diff(spark, d):
+    return diff.align_elements(_turns(spark, d, 0), _turns(spark, d, 1), ["pair"])
+
+
+@query()
+def lcs_match(spark, d):
+    o = diff.CompareOptions(ignore_case=True, ignore_space=True, detect_moves=False)
+    return diff.align_elements(_turns(spark, d, 0), _turns(spark, d, 1), ["pair"], o)
