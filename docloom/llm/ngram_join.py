@@ -24,10 +24,10 @@ from docloom.llm._common import bounded_batches, components, mix64
 from docloom.scratch import release, shuffle_width, stage
 
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Below this size, sets are cut in four independent ways, since parts may be empty.
-SMALL_SET = 256
-#: Parts of larger sets with fewer elements carry no signature: some other part agrees as well.
-LEAST_PART = 3
+#: Up to a set size: in how many independent ways sets are cut, and the fewest elements of a part that
+#: carries a signature. Parts with few elements match by a common line alone; a pair that agrees in
+#: no larger part in any of the ways is less likely than 1e-7 at the threshold, and far less above.
+CUTS = ((12, 8, 1), (24, 8, 2), (64, 8, 3), (256, 6, 3), (1 << 62, 1, 4))
 BLOCK = 2048
 LEAF = 32
 BITS = 2048
@@ -113,19 +113,38 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for rank, top in ((b, hi), (b + 1, max(hi + 1, (hi + 1) * 100 // percent))):
         parts = (100 - percent) * 2 * top // (100 + percent) + 1
-        small = top <= SMALL_SET
-        for seed in range(4 if small else 1):
+        ways, least = next((w, n) for most, w, n in CUTS if top <= most)
+        for seed in range(ways):
             with np.errstate(over="ignore"):
                 salt = np.uint64(0xA0761D6478BD642F * (seed + 1) + 0xE7037ED1A0B428DB * (rank + 1) & (1 << 64) - 1)
                 part = (mix64(s ^ salt) % np.uint64(parts)).astype(np.int64)
                 sums = np.zeros(parts, np.uint64)
                 np.add.at(sums, part, mix64(s + salt))
                 n = np.bincount(part, minlength=parts)
-                keep = n >= (1 if small else LEAST_PART)
+                keep = n >= least
                 out.append(mix64(sums[keep] + mix64((np.flatnonzero(keep) + 1).astype(np.uint64) * salt)))
     return np.concatenate(out)
 
 
+def shared_forest(marks: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the owners that share a mark (both sorted by mark)."""
+    same = np.flatnonzero((marks[1:] == marks[:-1]) & (owners[1:] != owners[:-1]))
+    ids, at = np.unique(np.concatenate((owners[same], owners[same + 1])), return_inverse=True)
+    lo, hi = at[: len(same)], at[len(same) :]
+    label = np.arange(len(ids))
+    while len(lo):
+        least = np.minimum(label[lo], label[hi])
+        new = label.copy()
+        np.minimum.at(new, lo, least)
+        np.minimum.at(new, hi, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[far], ids[label[far]]
+
+
 class Forest:
     """Union-find over small integers."""
 
@@ -275,35 +294,31 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             if not marks:
                 continue
             m, o = np.concatenate(marks), np.concatenate(owners)
-            bucket = (m % np.uint64(width)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(width + 1))
-            rows = [(i, m[by[p:q]].tobytes(), o[by[p:q]].tobytes()) for i, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if q > p]
-            yield pd.DataFrame(rows, columns=["bucket", "marks", "owners"])
+            by = np.lexsort((o, m))
+            m, o = m[by], o[by]
+            a, z = shared_forest(m, o)
+            # What the batch connects itself goes on as edges; each signature goes on once.
+            once = np.concatenate(([True], m[1:] != m[:-1]))
+            rows = []
+            for known, key, value in ((False, m[once], o[once]), (True, a.view(np.uint64), z)):
+                bucket = (mix64(key) % np.uint64(width)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[by], np.arange(width + 1))
+                rows += [(i, known, key[by[p:q]].tobytes(), value[by[p:q]].tobytes()) for i, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if q > p]
+            yield pd.DataFrame(rows, columns=["bucket", "known", "marks", "owners"])
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the classes that share a signature."""
-        m = np.frombuffer(b"".join(group["marks"]), np.uint64)
-        o = np.frombuffer(b"".join(group["owners"]), np.int64)
-        by = np.argsort(m, kind="stable")
-        m, o = m[by], o[by]
-        same = np.flatnonzero((m[1:] == m[:-1]) & (o[1:] != o[:-1]))
-        ids, at = np.unique(np.concatenate((o[same], o[same + 1])), return_inverse=True)
-        lo, hi = at[: len(same)], at[len(same) :]
-        label = np.arange(len(ids))
-        while len(lo):
-            least = np.minimum(label[lo], label[hi])
-            new = label.copy()
-            np.minimum.at(new, lo, least)
-            np.minimum.at(new, hi, least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        far = np.flatnonzero(label != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[far], "b": ids[label[far]]})
-
-    packed = text.mapInPandas(signed, "bucket int, marks binary, owners binary")
+        """A spanning forest of the classes that share a signature, and the edges that are known."""
+        some, known = group[~group["known"]], group[group["known"]]
+        m, o = np.frombuffer(b"".join(some["marks"]), np.uint64), np.frombuffer(b"".join(some["owners"]), np.int64)
+        by = np.lexsort((o, m))
+        a, z = shared_forest(m[by], o[by])
+        return pd.DataFrame({
+            "a": np.concatenate((a, np.frombuffer(b"".join(known["marks"]), np.int64))),
+            "b": np.concatenate((z, np.frombuffer(b"".join(known["owners"]), np.int64))),
+        })
+
+    packed = text.mapInPandas(signed, "bucket int, known boolean, marks binary, owners binary")
     near = stage(packed.groupBy("bucket").applyInPandas(met, "a long, b long"), "shingle-candidates")
     release(spark)
     block_of = components(near, "shingle")
