@@ -30,8 +30,8 @@ from docloom.scratch import release, shuffle_width, stage
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 1 << 21
-GROUP_BYTES = 16 << 20
-CHUNK_CONTEXTS = 16_384
+GROUP_BYTES = 8 << 20
+CHUNK_CONTEXTS = 8192
 
 
 def _geometric(first: int, ratio: int, n: int) -> np.ndarray:
@@ -52,6 +52,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["pow"], _TABLES["inv"]
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The bytes of the runs [start, start + len), in order, without an index of them all at once."""
+    ends = np.cumsum(lens)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(0, len(lens), CHUNK_CONTEXTS):
+        j = min(len(lens), i + CHUNK_CONTEXTS)
+        out[ends[i] - lens[i] : ends[j - 1]] = data[ragged(starts[i:j], lens[i:j])]
+    return out
+
+
 def anchors_of(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all strings of ``length`` within the given stretches, and their gram hashes."""
     n, width = len(data), length - GRAM + 1
@@ -307,8 +317,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     else:
         # Ids that increase along a global sort are a total order.
         base = stage(base.orderBy(F.col("doc_id").asc_nulls_last(), "data").withColumn("ord", F.monotonically_increasing_id()), "ordered")
-    width = shuffle_width(spark)
-    groups = max(width, (shape.bytes or 0) // GROUP_BYTES + 1)
+    width = groups = max(shuffle_width(spark), (shape.bytes or 0) // GROUP_BYTES + 1)
     before = length - GRAM
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,7 +375,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 flat = np.frombuffer(b"".join(data), np.uint8)
                 offset = np.cumsum(sizes) - sizes
                 left, right = np.minimum(at, before), np.minimum(sizes[who] - at, length)
-                near = flat[ragged(offset[who] + at - left, left + right)]
+                near = gathered(flat, offset[who] + at - left, left + right)
                 cov, lo, hi, first = repeated_intervals(near, gram, owner[who], at, left, right, length, only_equal=True)
                 o, s, e = _merge_by_owner(owner[who[cov]], lo, hi)
                 rows += [(b, True, x, y, z, None, None) for b, x, y, z in _pack(_bucket_of(o, width), width, o, s, e)]
@@ -377,7 +386,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
                     k = first[by[cuts[b] : cuts[b + 1]]]
                     sides = np.stack((left[k], right[k]), 1).astype(np.uint8)
-                    rows.append((int(b), False, owner[who[k]].tobytes(), at[k].tobytes(), gram[k].tobytes(), sides.tobytes(), near[ragged(spot[k], left[k] + right[k])].tobytes()))
+                    rows.append((int(b), False, owner[who[k]].tobytes(), at[k].tobytes(), gram[k].tobytes(), sides.tobytes(), gathered(near, spot[k], left[k] + right[k]).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "done", "owners", "x", "y", "sides", "bytes"])
 
     def sorted_(group: pd.DataFrame) -> pd.DataFrame:
