@@ -297,10 +297,15 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             by = np.lexsort((o, m))
             m, o = m[by], o[by]
             a, z = shared_forest(m, o)
-            # What the batch connects itself goes on as edges; each signature goes on once.
+            # What the batch connects itself goes on as edges; each signature goes on once, for the
+            # class that stands for its connected ones.
             once = np.concatenate(([True], m[1:] != m[:-1]))
+            m, o = m[once], o[once]
+            if len(a):
+                at = np.minimum(np.searchsorted(a, o), len(a) - 1)
+                o = np.where(a[at] == o, z[at], o)
             rows = []
-            for known, key, value in ((False, m[once], o[once]), (True, a.view(np.uint64), z)):
+            for known, key, value in ((False, m, o), (True, a.view(np.uint64), z)):
                 bucket = (mix64(key) % np.uint64(width)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(width + 1))
@@ -334,7 +339,8 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             right = [set_id(s) == (p, q) for s, p, q in zip(sets, b["k1"], b["k2"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "block": b["block"], "elements": [s.tobytes() for s in sets]})[right]
 
-    sets = text.join(members, "doc_id").select("doc_id", "text", "k1", "k2", "block").mapInPandas(fetched, "doc_id long, block long, elements binary")
+    # A merge join at every size: members grow with the corpus, so they are never sent to all executors.
+    sets = text.join(members.hint("merge"), "doc_id").select("doc_id", "text", "k1", "k2", "block").mapInPandas(fetched, "doc_id long, block long, elements binary")
     # Blocks beyond BLOCK classes are cut into parts, and each pair of parts is a task of its own.
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     dealt = sets.join(sizes, "block").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
