@@ -22,10 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to white space, the row with the smallest id stays, once."""
-    kept = exact_dedup.group_exact(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    # An id and a digest as one key: joined and deduplicated by it, the texts move once.
+    kept = exact_dedup.group_exact(docs).filter("kept").select(F.concat_ws("|", "doc_id", "text_sha256").alias("_key"))
+    keyed = docs.withColumn("_key", F.concat_ws("|", "doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256)))
+    return keyed.join(kept.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = ngram_join.ngram_components(docs, words=5, percent=80)
     gone = found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(gone.join(stays, "doc_id", "left_anti"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.join(stays, "doc_id", "left_anti").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
