@@ -165,7 +165,7 @@ def align(left: list[dict], right: list[dict], o: CompareOptions) -> list[dict]:
 def align_elements(left: DataFrame, right: DataFrame, keys: list[str], options: CompareOptions = CompareOptions()) -> DataFrame:
     """``align`` for each group of keys (a pair of pages): keys, kind, left_idx, right_idx, ratio.
 
-    A page is the unit of the reference semantics and is bounded by what fits a page.
+    A page is the unit of the comparison and is bounded by what fits a page.
     """
     fields = ["text", "x", "y", "font_name", "font_size"]
 

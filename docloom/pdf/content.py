@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 from docloom.pdf.document import Document
-from docloom.pdf.syntax import Keyword, Name, PdfError, Reader, Ref, Stream, text_of
+from docloom.pdf.syntax import Keyword, Name, DocError, Reader, Ref, Stream, text_of
 
 #: Glyph names of punctuation, as the standard encodings spell them.
 GLYPHS = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "bullet": "•", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "quotesinglbase": "‚", "quotedblbase": "„", "guilsinglleft": "‹", "guilsinglright": "›", "guillemotleft": "«", "guillemotright": "»", "ellipsis": "…", "dagger": "†", "daggerdbl": "‡", "fi": "ﬁ", "fl": "ﬂ", "Euro": "€", "cent": "¢", "sterling": "£", "yen": "¥", "section": "§", "paragraph": "¶", "copyright": "©", "registered": "®", "trademark": "™", "degree": "°", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "dotlessi": "ı", "lslash": "ł", "Lslash": "Ł", "periodcentered": "·", "exclamdown": "¡", "questiondown": "¿", "nbspace": " "}
@@ -38,7 +38,7 @@ def parse_cmap(data: bytes) -> tuple[dict[int, str], int]:
     while True:
         try:
             v = r.value(refs=False)
-        except PdfError:
+        except DocError:
             return out, width
         if not isinstance(v, Keyword):
             stack.append(v)
@@ -153,7 +153,7 @@ def interpret(doc: Document, data: bytes, resources: dict, depth: int = 0, matri
     while True:
         try:
             v = r.value(refs=False)
-        except PdfError:
+        except DocError:
             break
         if not isinstance(v, Keyword):
             stack.append(v)

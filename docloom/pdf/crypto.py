@@ -6,7 +6,7 @@ import hashlib
 import os
 import struct
 
-from docloom.pdf.syntax import PdfError
+from docloom.pdf.syntax import DocError
 
 #: Fixed value: the padding string of the standard.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -173,12 +173,12 @@ def unlock(e: dict, file_id: bytes, password: bytes) -> bytes:
             return aes_cbc(hash_r6(pw, o[40:48], u[:48], e["r"]), bytes(16), e["oe"][:32], True, pad=False)
         if hash_r6(pw, u[32:40], b"", e["r"]) == u[:32]:
             return aes_cbc(hash_r6(pw, u[40:48], b"", e["r"]), bytes(16), e["ue"][:32], True, pad=False)
-        raise PdfError("wrong_password")
+        raise DocError("wrong_password")
     for user in (password, user_from_owner(password, e)):
         key = file_key(user, e, file_id)
         if user_value(key, e["r"], file_id)[:16] == e["u"][:16]:
             return key
-    raise PdfError("wrong_password")
+    raise DocError("wrong_password")
 
 
 def object_key(key: bytes, num: int, gen: int, aes: bool) -> bytes:

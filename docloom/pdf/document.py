@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from docloom.functions import codecs
 from docloom.pdf import crypto
-from docloom.pdf.syntax import Keyword, Name, PdfError, Reader, Ref, Stream, text_of
+from docloom.pdf.syntax import Keyword, Name, DocError, Reader, Ref, Stream, text_of
 
 _OBJ = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj(?![a-zA-Z])")
 
@@ -48,10 +48,10 @@ class Document:
 
     def __init__(self, data: bytes, password: bytes = b""):
         if len(data) < 8:
-            raise PdfError("too_short", f"{len(data)} bytes")
+            raise DocError("too_short", f"{len(data)} bytes")
         m = re.search(rb"%PDF-(\d+\.\d+)", data[:1024])
         if not m:
-            raise PdfError("no_header")
+            raise DocError("no_header")
         self.data, self.version, self.warnings = data, m[1].decode(), []
         self.sections: list[dict] = []
         self.trailer: dict = {}
@@ -82,7 +82,7 @@ class Document:
             seen.add(at)
             try:
                 s = self.read_section(at)
-            except (PdfError, ValueError, zlib.error, IndexError) as e:
+            except (DocError, ValueError, zlib.error, IndexError) as e:
                 self.warnings.append(("xref", f"section at {at}: {e}"))
                 continue
             self.sections.append(s)
@@ -99,14 +99,14 @@ class Document:
         for m in re.finditer(rb"trailer\s*(?=<<)", self.data):
             try:
                 trailer.update(Reader(self.data, m.end()).value())
-            except PdfError:
+            except DocError:
                 continue
         if "Root" not in trailer:
             for n, (_, at, _) in entries.items():
                 if re.compile(rb".{0,400}?/Type\s*/Catalog", re.S).match(self.data, at):
                     trailer["Root"] = Ref(n, 0)
         if not entries:
-            raise PdfError("no_objects")
+            raise DocError("no_objects")
         self.sections.append({"offset": -1, "kind": "scan", "entries": entries, "trailer": trailer})
         self.trailer.update(trailer)
 
@@ -123,7 +123,7 @@ class Document:
                 break
             count = r.value(refs=False)
             if not isinstance(head, int) or not isinstance(count, int):
-                raise PdfError("xref", "bad subsection")
+                raise DocError("xref", "bad subsection")
             for n in range(head, head + count):
                 offset, gen, kind = r.value(False), r.value(False), r.value(False)
                 entries[n] = ("at", offset, gen) if kind == b"n" else ("free", offset, gen)
@@ -132,7 +132,7 @@ class Document:
     def _stream_section(self, at: int) -> dict:
         _, _, s = self.object_at(at)
         if not isinstance(s, Stream):
-            raise PdfError("xref", "no stream")
+            raise DocError("xref", "no stream")
         data, w = self.decode(s), s.attrs["W"]
         index = s.attrs.get("Index") or [0, s.attrs["Size"]]
         numbers = [n for a, b in zip(index[::2], index[1::2], strict=True) for n in range(a, a + b)]
@@ -151,7 +151,7 @@ class Document:
         """(number, generation, value) of the object whose header is at, or within 100 bytes of, this place."""
         m = re.compile(rb"[\0\t\n\f\r ]*" + _OBJ.pattern).match(self.data, at) or _OBJ.search(self.data, max(0, at - 100), at + 100)
         if not m:
-            raise PdfError("no_object", f"at {at}")
+            raise DocError("no_object", f"at {at}")
         r = Reader(self.data, m.end())
         v = r.value()
         end = r.at
@@ -186,7 +186,7 @@ class Document:
             elif e and e[0] == "in":
                 pack = self._pack(e[1])
                 v = pack[e[2]][1] if e[2] < len(pack) and pack[e[2]][0] == num else dict(pack).get(num)
-        except (PdfError, ValueError, KeyError, IndexError) as err:
+        except (DocError, ValueError, KeyError, IndexError) as err:
             self.warnings.append(("object", f"{num}: {err}"))
         self._cache[num] = v
         return v
@@ -230,7 +230,7 @@ class Document:
     def _unlock(self, password: bytes) -> None:
         d = self.get(self.trailer["Encrypt"])
         if not isinstance(d, dict):
-            raise PdfError("bad_encryption")
+            raise DocError("bad_encryption")
         v, r = d.get("V", 0), d.get("R", 2)
         method = {1: "V2", 2: "V2", 3: "V2"}.get(v, "V2")
         if v >= 4:
@@ -282,7 +282,7 @@ class Document:
                 try:
                     v = self.object_at(m.start())[2]
                     stop = self.data.find(b"endobj", self.last_end, r["end_offset"])
-                except PdfError:
+                except DocError:
                     v = None
                 end = stop + 6 if stop >= 0 else r["end_offset"]
                 out.append({"rev": r["rev"], "obj_num": int(m[1]), "gen": int(m[2]), "offset": m.start(), "end_offset": end, "raw": self.data[m.start() : end], "is_stream": isinstance(v, Stream)})

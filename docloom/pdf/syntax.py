@@ -12,7 +12,7 @@ _REF = re.compile(rb"(\d+)[\0\t\n\f\r ]+(\d+)[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
 
 
-class PdfError(ValueError):
+class DocError(ValueError):
     def __init__(self, code: str, message: str = ""):
         super().__init__(f"{code}: {message}")
         self.code = code
@@ -50,11 +50,11 @@ class Reader:
     def value(self, refs: bool = True, depth: int = 0):
         """The next value; None at the end raises, a null object is None."""
         if depth > 200:
-            raise PdfError("syntax", "nested too deeply")
+            raise DocError("syntax", "nested too deeply")
         self.gap()
         d, i = self.data, self.at
         if i >= len(d):
-            raise PdfError("syntax", "end of data")
+            raise DocError("syntax", "end of data")
         c = d[i]
         if c == 0x2F:
             m = _TOKEN.match(d, i + 1)
@@ -73,7 +73,7 @@ class Reader:
                 key = self.value(refs, depth + 1)
                 if not isinstance(key, Name):
                     if self.at >= len(d):
-                        raise PdfError("syntax", "unclosed dictionary")
+                        raise DocError("syntax", "unclosed dictionary")
                     continue
                 self.gap()
                 if d.startswith(b">>", self.at):
@@ -168,7 +168,7 @@ def write_value(v) -> bytes:
         return b"<<" + b" ".join(write_value(Name(k)) + b" " + write_value(v[k]) for k in sorted(v)) + b">>"
     if isinstance(v, Stream):
         return write_value(v.attrs | {"Length": len(v.raw)}) + b"\nstream\n" + v.raw + b"\nendstream"
-    raise PdfError("syntax", f"can't write {type(v).__name__}")
+    raise DocError("syntax", f"can't write {type(v).__name__}")
 
 
 def text_of(v) -> str:

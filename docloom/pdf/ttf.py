@@ -5,13 +5,13 @@ from __future__ import annotations
 import struct
 import zlib
 
-from docloom.pdf.syntax import Name, PdfError, Ref, Stream
+from docloom.pdf.syntax import Name, DocError, Ref, Stream
 
 
 class TrueType:
     def __init__(self, data: bytes):
         if data[:4] not in (b"\0\1\0\0", b"true", b"OTTO"):
-            raise PdfError("bad_font", "unknown signature")
+            raise DocError("bad_font", "unknown signature")
         self.data = data
         n = struct.unpack(">H", data[4:6])[0]
         self.tables = {}
@@ -20,7 +20,7 @@ class TrueType:
             self.tables[tag.decode("latin-1")] = data[at : at + size]
         for t in ("head", "maxp", "hhea", "hmtx", "cmap"):
             if t not in self.tables:
-                raise PdfError("bad_font", f"no {t}")
+                raise DocError("bad_font", f"no {t}")
         head, hhea = self.tables["head"], self.tables["hhea"]
         self.units = struct.unpack(">H", head[18:20])[0]
         self.box = struct.unpack(">4h", head[36:44])

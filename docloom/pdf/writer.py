@@ -9,7 +9,7 @@ import zlib
 
 from docloom.pdf import crypto
 from docloom.pdf.document import Document
-from docloom.pdf.syntax import Name, PdfError, Ref, Stream, write_value
+from docloom.pdf.syntax import Name, DocError, Ref, Stream, write_value
 
 
 def write(objects: dict[int, object], trailer: dict, version: str = "1.7", xref_stream: bool = False, pack: bool = False, encryption: tuple[dict, bytes] | None = None, random=None) -> bytes:
@@ -111,7 +111,7 @@ def append_revision(data: bytes, changed: dict[int, object]) -> bytes:
     """The same bytes with a revision behind them in which these objects are new."""
     doc = Document(data)
     if doc.encryption:
-        raise PdfError("encrypted", "unlock and write anew")
+        raise DocError("encrypted", "unlock and write anew")
     out = bytearray(data if data.endswith(b"\n") else data + b"\n")
     entries = {}
     for n, v in sorted(changed.items()):
@@ -159,7 +159,7 @@ def assemble(sources: list[tuple[bytes, bytes]], wanted: list[tuple[int, int, in
     for s, page, turn in wanted:
         doc, pages = docs[s], docs[s].pages()
         if not 1 <= page <= len(pages):
-            raise PdfError("no_page", str(page))
+            raise DocError("no_page", str(page))
         attrs = {k: v for k, v in pages[page - 1][1].items() if k != "Parent"}
         todo = list(_refs(attrs))
         page_numbers = {n for n, _ in pages}
@@ -208,7 +208,7 @@ def extract_pages(data: bytes, pages: list[int], password: bytes = b"") -> bytes
 def delete_pages(data: bytes, pages: list[int], password: bytes = b"") -> bytes:
     left = [p for p in range(1, len(Document(data, password).pages()) + 1) if p not in set(pages)]
     if not left:
-        raise PdfError("no_page", "a document keeps a page")
+        raise DocError("no_page", "a document keeps a page")
     return extract_pages(data, left, password)
 
 
@@ -221,7 +221,7 @@ def insert_pages(data: bytes, at: int, other: bytes, password: bytes = b"") -> b
 
 def rotate_pages(data: bytes, angle: int, pages: list[int] | None = None, password: bytes = b"") -> bytes:
     if angle % 90:
-        raise PdfError("bad_angle", str(angle))
+        raise DocError("bad_angle", str(angle))
     n = len(Document(data, password).pages())
     return assemble([(data, password)], [(0, p, angle if pages is None or p in pages else 0) for p in range(1, n + 1)])
 
@@ -299,7 +299,7 @@ def flatten_form(data: bytes) -> bytes:
 def jpeg_header(data: bytes) -> tuple[int, int, str]:
     """Width, height and colour space from the frame header."""
     if data[:2] != b"\xff\xd8":
-        raise PdfError("bad_image", "no JPEG")
+        raise DocError("bad_image", "no JPEG")
     at = 2
     while at + 9 < len(data):
         if data[at] != 0xFF:
@@ -310,16 +310,16 @@ def jpeg_header(data: bytes) -> tuple[int, int, str]:
             h, w = struct.unpack(">HH", data[at + 5 : at + 9])
             return w, h, {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[data[at + 9]]
         at += 2 if 0xD0 <= mark <= 0xD9 or mark == 1 else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    raise PdfError("bad_image", "no frame")
+    raise DocError("bad_image", "no frame")
 
 
 def png_image(data: bytes) -> tuple[dict, bytes]:
     """A grey or RGB PNG without alpha and interlace as image attributes and data (its own compression is kept)."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise PdfError("bad_image", "no PNG")
+        raise DocError("bad_image", "no PNG")
     w, h, bits, kind, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
     if kind not in (0, 2) or interlace:
-        raise PdfError("bad_image", f"colour type {kind}")
+        raise DocError("bad_image", f"colour type {kind}")
     body, at = b"", 8
     while at + 8 <= len(data):
         n, tag = struct.unpack(">I4s", data[at : at + 8])

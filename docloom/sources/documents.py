@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.pdf import content, writer
 from docloom.pdf.document import Document
-from docloom.pdf.syntax import PdfError, Stream
+from docloom.pdf.syntax import DocError, Stream
 
 _POINT = "array<double>"
 SCHEMAS = {
@@ -85,7 +85,7 @@ def table(files: DataFrame, name: str, password: str = "") -> DataFrame:
             for fid, data in zip(b["file_id"], b["content"], strict=True):
                 try:
                     got = kernel(bytes(data or b""), password.encode())[name]
-                except PdfError as e:
+                except DocError as e:
                     got = [{"code": e.code, "message": str(e)}] if name == "warnings" else []
                 except Exception as e:  # a damaged file must not stop the scan of the others
                     got = [{"code": "unreadable", "message": f"{type(e).__name__}: {e}"}] if name == "warnings" else []
@@ -136,7 +136,7 @@ def transform(files: DataFrame, f: Callable[[bytes], bytes | list[bytes]]) -> Da
                 try:
                     got = f(bytes(data))
                     rows += [(fid, i, x, None) for i, x in enumerate(got if isinstance(got, list) else [got], 1)]
-                except PdfError as e:
+                except DocError as e:
                     rows.append((fid, 0, None, str(e)))
             yield pd.DataFrame(rows, columns=["file_id", "part", "content", "error"])
 

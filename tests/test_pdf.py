@@ -9,7 +9,7 @@ from docloom.functions import codecs
 from docloom.operators import compare as cmp
 from docloom.pdf import content, crypto, writer
 from docloom.pdf.document import Document, unpredict
-from docloom.pdf.syntax import Keyword, Name, PdfError, Reader, Ref, Stream, write_value
+from docloom.pdf.syntax import Keyword, Name, DocError, Reader, Ref, Stream, write_value
 from docloom.sources import documents
 
 
@@ -31,7 +31,7 @@ def test_values_round_trip():
     assert back["A"][:5] == [1, -2.5, True, None, "a b#"] and back["A"][5] == b"(\\)\r\n" and back["A"][7] == Ref(3, 0) and back["B"]["C"] == b"\x00\xff"
     assert Reader(b"(a\\053\\\nb(c)) % note\n <4 8 65>").value() == b"a+b(c)" and Reader(b"<48656C6C6F7>").value() == b"Hellop"
     assert isinstance(Reader(b"Tj").value(), Keyword)
-    with pytest.raises(PdfError):
+    with pytest.raises(DocError):
         Reader(b"<< /A ").value()
 
 
@@ -56,7 +56,7 @@ def test_encryption(method):
     for password in (b"user", b"owner"):
         e = content.extract(data, password)
         assert order(made(2)) == [t["text"][6] for t in e["text_elements"]] and e["metadata"]["title"] == "Tést" and e["metadata"]["encrypted"]
-    with pytest.raises(PdfError) as x:
+    with pytest.raises(DocError) as x:
         content.extract(data, b"bad")
     assert x.value.code == "wrong_password" and b"Hello" not in data
 
@@ -78,7 +78,7 @@ def test_page_sets():
     assert order(writer.insert_pages(a, 2, b)) == list("00112") and order(writer.insert_pages(a, 0, b)) == list("01201")
     assert [p["rotation"] for p in content.extract(writer.rotate_pages(writer.rotate_pages(a, 270), 180, [1]))["pages"]] == [90, 270, 270]
     for bad in (lambda: writer.rotate_pages(a, 45), lambda: writer.delete_pages(b, [1, 2]), lambda: writer.extract_pages(a, [9])):
-        with pytest.raises(PdfError):
+        with pytest.raises(DocError):
             bad()
 
 
@@ -99,7 +99,7 @@ def test_damage():
     assert [t["text"][6] for t in broken["text_elements"]] == list("012") and broken["warnings"][0]["code"] == "repair"
     assert Document(a[: len(a) // 2]).warnings
     for bad, code in ((b"%PDF", "too_short"), (b"x" * 50, "no_header"), (b"%PDF-1.4 nothing here", "no_objects")):
-        with pytest.raises(PdfError) as x:
+        with pytest.raises(DocError) as x:
             Document(bad)
         assert x.value.code == code
 
