@@ -351,7 +351,9 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         return pd.DataFrame(_pack(_bucket_of(o, groups), groups, g, o), columns=["part", "grams", "owners"])
 
     packed = base.select("ord", "data").mapInPandas(anchored, "bucket int, known boolean, grams binary, owners binary")
+    # The plans behind staged tables are not kept, so that their shuffle files can go.
     repeated = stage(packed.groupBy("bucket").applyInPandas(counted, "part int, grams binary, owners binary"), "repeated-grams")
+    del packed
     release(spark)
 
     @F.pandas_udf("int")
@@ -404,6 +406,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     contexts = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInPandas(surrounded, "bucket int, done boolean, owners binary, x binary, y binary, sides binary, bytes binary")
     intervals = stage(contexts.groupBy("bucket").applyInPandas(sorted_, "part int, owners binary, starts binary, ends binary"), "repeated-intervals")
+    del contexts
     release(spark)
 
     def kept(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
