@@ -325,6 +325,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     packed = text.mapInPandas(signed, "bucket int, known boolean, marks binary, owners binary")
     near = stage(packed.groupBy("bucket").applyInPandas(met, "a long, b long"), "shingle-candidates")
+    del packed
     release(spark)
     block_of = components(near, "shingle")
     members = stage(
@@ -355,6 +356,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         return pd.DataFrame({"a": ids[far], "b": ids[roots[far]]})
 
     links = stage(dealt.groupBy("block", "p", "q").applyInPandas(compared, "a long, b long"), "shingle-links")
+    del sets, dealt
     release(spark)
     joined = components(links, "ngram")
     final = stage(
