@@ -422,3 +422,24 @@ def build(pages: list[Page], metadata: dict[str, str] | None = None, bookmarks:
         names = {"title": "Title", "author": "Author", "subject": "Subject", "keywords": "Keywords", "creator": "Creator", "producer": "Producer", "creation_date": "CreationDate", "modified_date": "ModDate"}
         trailer["Info"] = Ref(add({names.get(re.sub(r"[ -]", "_", k.lower()), k): v for k, v in metadata.items()}))
     return write(objects, trailer, **how)
+
+
+def encrypt(data: bytes, user: bytes, owner: bytes = b"", method: str = "AESV3", permissions: int = -4, random=None) -> bytes:
+    """The same objects, encrypted; ``random`` gives salts, keys and vectors (the system's by default)."""
+    import os
+
+    doc = Document(data)
+    objects = {n: v for n, e in doc.entries.items() if e[0] != "free" and (v := doc.obj(n)) is not None and not (isinstance(v, Stream) and v.attrs.get("Type") in ("XRef", "ObjStm"))}
+    file_id = doc.file_id() or hashlib.md5(data).digest()
+    secret = crypto.setup(user, owner, file_id, permissions, method, random=random or os.urandom)
+    trailer = {k: doc.trailer[k] for k in ("Root", "Info") if k in doc.trailer} | {"ID": [file_id, file_id]}
+    return write(objects, trailer, encryption=secret, random=random)
+
+
+def decrypt(data: bytes, password: bytes) -> bytes:
+    """The same objects without encryption."""
+    doc = Document(data, password)
+    lock = doc.trailer.get("Encrypt")
+    skip = lock[0] if isinstance(lock, Ref) else -1
+    objects = {n: v for n, e in doc.entries.items() if n != skip and e[0] != "free" and (v := doc.obj(n)) is not None and not (isinstance(v, Stream) and v.attrs.get("Type") in ("XRef", "ObjStm"))}
+    return write(objects, {k: doc.trailer[k] for k in ("Root", "Info", "ID") if k in doc.trailer})

@@ -403,3 +403,6 @@ def greedy_diff(spark, d):
 def lcs_match(spark, d):
     o = diff.CompareOptions(ignore_case=True, ignore_space=True, detect_moves=False)
     return diff.align_elements(_turns(spark, d, 0), _turns(spark, d, 1), ["pair"], o)
+
+
+from docloom.plans import document_queries  # noqa: E402, F401  registers its queries here
