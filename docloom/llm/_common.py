@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim_cache(name: str, clear: Callable[[], None]) -> None:
+    """A Python worker serves many tasks: whoever fills a cache first empties those of other operators."""
+    for other in [k for k in _CACHES if k != name]:
+        _CACHES.pop(other)()
+    _CACHES[name] = clear
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes of all elements of the runs [start, start + len), in order."""
     total = int(lens.sum())

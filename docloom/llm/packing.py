@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches, ragged, ranked_within
+from docloom.llm._common import bounded_batches, claim_cache, ragged, ranked_within
 from docloom.scratch import stage
 
 SEQUENCE = 4096
 GRAIN = 16
 END_ID = 2
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_300_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words that only the tokenizer itself splits and lower-cases right.
 ODD = re.compile(r"<\||[\x00-\x1f\x7f-\x9fΣİ]")
@@ -176,7 +176,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [[t] if NOT_SPACE.search(t) else t.split() for t in texts]
         unknown = set(itertools.chain.from_iterable(words)) - self.place.keys()
-        if len(self.sub) > CACHE_WORDS // 5:
+        if len(self.sub) > CACHE_WORDS // 10:
             self.sub = {}
         if len(self.place) + len(unknown) > CACHE_WORDS:
             self._clear()
@@ -194,6 +194,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
+    claim_cache("packing", _TOKENIZERS.clear)
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]

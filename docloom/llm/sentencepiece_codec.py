@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches, mix64, ragged
+from docloom.llm._common import bounded_batches, claim_cache, mix64, ragged
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -194,6 +194,7 @@ _CODECS: dict[str, PieceCodec] = {}
 
 
 def _codec(path: str) -> PieceCodec:
+    claim_cache("pieces", _CODECS.clear)
     if path not in _CODECS:
         _CODECS[path] = PieceCodec(path)
     return _CODECS[path]

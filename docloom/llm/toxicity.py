@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches
+from docloom.llm._common import bounded_batches, claim_cache
 
 #: Labelled rows that the model is fitted on, in the order of a hash of their ids, and the most bytes of such a text.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 20_000
@@ -29,7 +29,7 @@ LEAST_DOCS, LEAST_ODDS = 4, 20.0
 MAX_SENTENCES = 15_000
 REJECT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -119,6 +119,7 @@ class ToxicityModel:
         """P(toxic) of each space-separated chunk of each text."""
         if not texts:
             return [], []
+        claim_cache("toxicity", self._cache.clear)
         words, lens = sentences_of(texts)
         for c in set(itertools.chain.from_iterable(words)) - self._cache.keys():
             self._cache[c] = self._score(c)
@@ -161,19 +162,22 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     if not n1 or not n0:
         model.doc_weights[0] = 30.0 if n1 else -30.0
         return model
-    words = [[chunk_word(c) if c not in ("", "\n") else ("", c == "\n") for c in doc] for doc in sentences_of(texts)[0]]
-    # Copies of a document repeat its words in the same places: an occurrence counts once for each
-    # pair of neighbours, so that what is frequent is a word and not a text.
+    known: dict[str, tuple[str, bool]] = {"": ("", False), "\n": ("", True)}
+    words = [[known.get(c) or known.setdefault(c, chunk_word(c)) for c in doc] for doc in sentences_of(texts)[0]]
+    # Copies of a document repeat its words in the same places: in toxic documents an occurrence counts
+    # once for each pair of neighbours, so that what is frequent is a word and not a text.
     seen = (Counter(), Counter())
     places: set[int] = set()
-    for doc, y in zip(words, labels, strict=True):
+    for doc in (d for d, y in zip(words, labels, strict=True) if y):
         plain = [w for w, _ in doc if w]
         new = set()
         for before, w, after in zip(["", *plain], plain, [*plain[1:], ""], strict=False):
             if w not in new and (place := zlib.crc32(f"{before} {w} {after}".encode())) not in places:
                 places.add(place)
                 new.add(w)
-        seen[y].update({f for w in new for f in features(w)})
+        seen[1].update({f for w in new for f in features(w)})
+    for doc in (d for d, y in zip(words, labels, strict=True) if not y):
+        seen[0].update({f for w in {w for w, _ in doc if w} for f in features(w) if f in seen[1]})
     odds = {f: ((c + 0.5) / (n1 + 1)) / ((seen[0][f] + 0.5) / (n0 + 1)) for f, c in seen[1].items() if c >= LEAST_DOCS}
     marks = {f for f, r in odds.items() if r >= LEAST_ODDS}
 
