@@ -62,6 +62,16 @@ def gathered(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarr
     return out
 
 
+def grams_at(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Gram hashes at these positions, the same as ``anchors_of`` gives."""
+    power, out = _powers(GRAM)[0][:GRAM], np.empty(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(starts), CHUNK_CONTEXTS):
+            part = data[starts[i : i + CHUNK_CONTEXTS, None] + np.arange(GRAM)].astype(np.uint64)
+            out[i : i + CHUNK_CONTEXTS] = mix64(((part + np.uint64(1)) * power).sum(1, dtype=np.uint64))
+    return out
+
+
 def anchors_of(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all strings of ``length`` within the given stretches, and their gram hashes."""
     n, width = len(data), length - GRAM + 1
@@ -388,7 +398,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
                     k = first[by[cuts[b] : cuts[b + 1]]]
                     sides = np.stack((left[k], right[k]), 1).astype(np.uint8)
-                    rows.append((int(b), False, owner[who[k]].tobytes(), at[k].tobytes(), gram[k].tobytes(), sides.tobytes(), gathered(near, spot[k], left[k] + right[k]).tobytes()))
+                    rows.append((int(b), False, owner[who[k]].tobytes(), at[k].tobytes(), None, sides.tobytes(), gathered(near, spot[k], left[k] + right[k]).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "done", "owners", "x", "y", "sides", "bytes"])
 
     def sorted_(group: pd.DataFrame) -> pd.DataFrame:
@@ -397,9 +407,11 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         cat = lambda c, t, f: np.frombuffer(b"".join(f[c]), t)
         o, lo, hi = cat("owners", np.int64, done), cat("x", np.int64, done), cat("y", np.int64, done)
         if len(some):
-            owner, at, gram = cat("owners", np.int64, some), cat("x", np.int64, some), cat("y", np.uint64, some)
+            owner, at, near = cat("owners", np.int64, some), cat("x", np.int64, some), cat("bytes", np.uint8, some)
             sides = cat("sides", np.uint8, some).reshape(-1, 2).astype(np.int64)
-            cov, s, e, _ = repeated_intervals(cat("bytes", np.uint8, some), gram, owner, at, sides[:, 0], sides[:, 1], length)
+            size = sides.sum(1)
+            gram = grams_at(near, np.cumsum(size) - size + sides[:, 0])
+            cov, s, e, _ = repeated_intervals(near, gram, owner, at, sides[:, 0], sides[:, 1], length)
             o, lo, hi = np.concatenate((o, owner[cov])), np.concatenate((lo, s)), np.concatenate((hi, e))
         o, lo, hi = _merge_by_owner(o, lo, hi)
         return pd.DataFrame(_pack(_bucket_of(o, groups), groups, o, lo, hi), columns=["part", "owners", "starts", "ends"])
