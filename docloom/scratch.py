@@ -10,6 +10,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the last job still holds goes a moment after it has ended
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_width(spark: SparkSession) -> int:
