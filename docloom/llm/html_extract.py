@@ -4,8 +4,9 @@ A page is a sequence of tokens: tags with their place in the tree, and texts of
 host that occur equally often on every one of its pages share an occurrence vector, of which an
 order-free fingerprint is aggregated. Frequent tokens with the same vector form a class; classes
 that hold together (the same number of times on each page, in one order) nest into the host's
-template. The texts between template tokens are slots. Slots of the article are extracted; slots in
-parts that are menus, notices and the like, and texts that are themselves template, are not.
+template. The texts between template tokens are slots, and a page's text is its slots, in articles or
+not. Texts that are themselves template are left out wherever they stand, as are parts that are menus,
+notices and the like by their kind or class, and outside articles blocks that are mostly links.
 """
 
 from __future__ import annotations
@@ -151,10 +152,10 @@ def _token(*parts: str) -> int:
 
 
 def page_tokens(page: str) -> dict[int, tuple[int, int]]:
-    """Token to (count, first position): tag tokens, and texts outside the article."""
-    blocks, tags, dropped = parse(page)
+    """Token to (count, first position): tag tokens, and texts, those of articles too."""
+    blocks, tags, _ = parse(page)
     out: dict[int, tuple[int, int]] = {}
-    for key, p in [(_token("t", t), p) for t, p in tags] + [(_token("x", b.path, b.text), len(tags)) for b in blocks if not b.article]:
+    for key, p in [(_token("t", t), p) for t, p in tags] + [(_token("x", b.path, b.text), len(tags)) for b in blocks]:
         c, first = out.get(key, (0, p))
         out[key] = (c + 1, first)
     return out
@@ -197,18 +198,14 @@ def host_templates(pages: DataFrame, least_pages: int = 4, share: float = 0.9) -
 
 
 def extract_page(page: str | None, template: set[int]) -> str:
-    """The article's blocks: the slots of the article part, or else slots that are neither template nor links."""
+    """The slots: blocks whose text is not template, and that are in an article or not mostly links.
+
+    Where pages of a host are copies of each other, all their text is template and no slot is left;
+    then the blocks of articles are the text.
+    """
     blocks, _, _ = parse(page or "")
-    sizes: dict[int, int] = {}
-    for b in blocks:
-        if b.article:
-            sizes[b.article] = sizes.get(b.article, 0) + len(b.text)
-    if sizes:
-        main = max(sizes, key=lambda a: (sizes[a], -a))
-        kept = [b.text for b in blocks if b.article == main]
-    else:
-        kept = [b.text for b in blocks if _token("x", b.path, b.text) not in template and 2 * b.linked < len(b.text) + 1]
-    return "\n".join(kept)
+    kept = [b.text for b in blocks if _token("x", b.path, b.text) not in template and (b.article or 2 * b.linked < len(b.text) + 1)]
+    return "\n".join(kept or [b.text for b in blocks if b.article])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
