@@ -2,7 +2,10 @@
 
 A candidate is a long run of key characters near a sensitive word. Its novelty is the number of
 bytes that it adds to the compressed size of the text around it, with the compressor primed by a
-dictionary of code and identifier words: natural words and identifiers compress well, keys do not.
+dictionary of code and identifier words: words that are known or stand nearby compress well, keys do
+not; identifiers of rarer words are reported too.
+Copies of the candidate, or of 16 characters of it, in that text are blanked out first, so that a key
+that stands twice does not prime itself. Every candidate is measured.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ CUES = ("passw", "secret", "token", "api_key", "apikey", "credential", "auth", "
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Characters after a sensitive word in which a candidate may start, and of text that primes it.
 REACH, AROUND = 64, 512
+#: Least length of a candidate, and of a piece of it that counts as its copy.
+LEAST = 16
 #: Compressed bits that a character of a candidate must add (letters of prose add 2 to 3).
 NOVEL_BITS = 4.2
 #: Words that source code and configuration files are full of.
@@ -53,11 +58,24 @@ def _compressor():
     return zstandard.ZstdCompressor(level=6, dict_data=words, write_checksum=False, write_content_size=False)
 
 
+def without_copies(text: str, candidate: str) -> str:
+    """The text with every piece of at least ``LEAST`` characters that the candidate holds too blanked out."""
+    out, at = [], 0
+    for m in RUN.finditer(text):
+        for i in range(m.start(), m.end() - LEAST + 1):
+            if text[i : i + LEAST] in candidate:
+                start = max(i, at)
+                out += [text[at:start], " " * (i + LEAST - start)]
+                at = i + LEAST
+    return "".join([*out, text[at:]])
+
+
 def novelty_bits(before: str, candidate: str, after: str) -> float:
     """Compressed bits that each character of the candidate adds to the text around it."""
     c = _compressor()
-    plain = len(c.compress((before + after).encode("utf-8", "surrogatepass")))
-    whole = len(c.compress((before + after + candidate).encode("utf-8", "surrogatepass")))
+    around = without_copies(before, candidate)[-AROUND:] + without_copies(after, candidate)[:AROUND]
+    plain = len(c.compress(around.encode("utf-8", "surrogatepass")))
+    whole = len(c.compress((around + candidate).encode("utf-8", "surrogatepass")))
     return 8 * (whole - plain) / len(candidate)
 
 
@@ -94,9 +112,9 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             if any(s < k[2] and k[0] < e for k in known):
                 continue
             cand = text[s:e]
-            if sum(c.isdigit() for c in cand) < 2 or len(set(cand)) < 8:
-                continue
-            if novelty_bits(text[max(0, s - AROUND) : s], cand, text[e : e + AROUND]) >= NOVEL_BITS:
+            # Longer than what primes it, so that a copy which its edge cuts is still seen.
+            reach = AROUND + LEAST - 1
+            if novelty_bits(text[max(0, s - reach) : s], cand, text[e : e + reach]) >= NOVEL_BITS:
                 out.append((s, 3, e))
     return out
 

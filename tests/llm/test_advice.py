@@ -1,6 +1,9 @@
 """Cases of the review's findings on the training-data operators."""
 
-from docloom.llm import html_extract
+import random
+import string
+
+from docloom.llm import html_extract, secret_scan
 
 
 def test_template_decides_inside_articles(spark):
@@ -9,3 +12,23 @@ def test_template_decides_inside_articles(spark):
     rows = [(i, "https://h.example/x", page.format(i)) for i in range(6)] + [(i, "https://c.example/x", copy) for i in range(10, 16)]
     got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\nFirst {i}\nSecond {i}, longer\nTold by {i}" for i in range(6)} | {i: "Same\nWhole" for i in range(10, 16)}
+
+
+def test_every_random_key_is_novel_and_copies_do_not_prime():
+    rng = random.Random(5)
+    for letters in (string.ascii_letters, string.ascii_letters + string.digits + "+/", string.digits):
+        for n in (16, 20, 24, 40):
+            for gap in (3, 120):
+                key = "".join(rng.choice(letters) for _ in range(n))
+                text = f"the auth header carries {key} and then {'some more words ' * gap}with auth again {key}. The end"
+                found = [text[s:e] for s, _, e in secret_scan.novel_spans(text, [])]
+                assert found == [key, f"{key}."], (found, key)
+    words = "the auth header carries configuration_settings_directory and the auth token count is ================="
+    assert secret_scan.novel_spans(words, []) == []
+
+
+def test_a_copy_at_the_edge_of_the_context_does_not_prime():
+    key = "qZrtWpLmXvBnKjHgFdSaTyUiOpQwErAsDfGhJkLz"
+    for cut in range(len(key) + 1):
+        text = f"auth {key}" + (" x y" * secret_scan.AROUND)[: secret_scan.AROUND - cut - 1] + f" {key} end"
+        assert (5, 3, 5 + len(key)) in secret_scan.novel_spans(text, []), cut
