@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -150,40 +151,89 @@ def _renumbered(v, to: dict[int, int]):
     return v
 
 
-def assemble(sources: list[tuple[bytes, bytes]], wanted: list[tuple[int, int, int]]) -> bytes:
-    """A document of pages (source, page number, extra rotation) with all that they refer to."""
+def _labels(doc: Document, tree, pages: list[int | None]) -> dict:
+    """Page labels of these pages (from 0; None has no label), one entry each."""
+    starts, todo, seen = {}, [tree], set()
+    while todo:
+        v = todo.pop()
+        if isinstance(v, Ref):
+            if v[0] in seen:
+                continue
+            seen.add(v[0])
+        d = doc.get(v)
+        if isinstance(d, dict):
+            flat = doc.get(d.get("Nums")) or []
+            starts |= {doc.get(k): doc.get(x) or {} for k, x in zip(flat[::2], flat[1::2], strict=False)}
+            todo += doc.get(d.get("Kids")) or []
+    order, out = sorted(starts), []
+    for i, p in enumerate(pages):
+        at = bisect.bisect_right(order, p) - 1 if p is not None else -1
+        label = starts[order[at]] if at >= 0 else {}
+        out += [i, label | {"St": (doc.get(label.get("St")) or 1) + p - order[at]} if label else {}]
+    return {"Nums": out}
+
+
+def assemble(sources: list[tuple[bytes, bytes]], wanted: list[tuple[int, int, int]], edited: int | None = None) -> bytes:
+    """A document of pages (source, page number, extra rotation) with all that they refer to.
+
+    ``edited``: the source of which the document is an edit. Its metadata, outline, form and other
+    entries of the catalog stay, as does its version; destinations on pages that are gone become null.
+    """
     docs = [Document(d, p) for d, p in sources]
     objects: dict[int, object] = {1: None, 2: None}
     maps: list[dict[int, int]] = [{} for _ in docs]
+    numbers = [{n for n, _ in doc.pages()} for doc in docs]
     kids = []
-    for s, page, turn in wanted:
-        doc, pages = docs[s], docs[s].pages()
-        if not 1 <= page <= len(pages):
-            raise DocError("no_page", str(page))
-        attrs = {k: v for k, v in pages[page - 1][1].items() if k != "Parent"}
-        todo = list(_refs(attrs))
-        page_numbers = {n for n, _ in pages}
+
+    def carry(s: int, value) -> None:
+        todo = list(_refs(value))
         while todo:
             n = todo.pop()
-            if n in maps[s] or n in page_numbers:
+            if n in maps[s] or n in numbers[s]:
                 continue
-            v = doc.obj(n)
+            v = docs[s].obj(n)
             if isinstance(v, dict) and v.get("Type") in ("Pages", "Catalog"):
                 continue
             maps[s][n] = new = len(objects) + 1
             objects[new] = (s, v)
             todo += list(_refs(v))
+
+    shown: list[dict[int, int]] = [{} for _ in docs]
+    for s, page, turn in wanted:
+        pages = docs[s].pages()
+        if not 1 <= page <= len(pages):
+            raise DocError("no_page", str(page))
+        attrs = {k: v for k, v in pages[page - 1][1].items() if k != "Parent"}
+        carry(s, attrs)
         new = len(objects) + 1
         objects[new] = (s, attrs | {"Type": Name("Page"), "Rotate": ((attrs.get("Rotate") or 0) + turn) % 360})
         kids.append(new)
+        shown[s].setdefault(pages[page - 1][0], new)
+    objects[1], trailer, version = {}, {"Root": Ref(1)}, "1.7"
+    if edited is not None:
+        doc, version = docs[edited], docs[edited].version
+        root = {k: v for k, v in (doc.get(doc.trailer.get("Root")) or {}).items() if k not in ("Type", "Pages")}
+        from_edited = [p - 1 if s == edited else None for s, p, _ in wanted]
+        if "PageLabels" in root and from_edited != list(range(len(doc.pages()))):
+            root["PageLabels"] = _labels(doc, root["PageLabels"], from_edited)
+        carry(edited, root)
+        objects[1] = (edited, root)
+        info = doc.get(doc.trailer.get("Info"))
+        if isinstance(info, dict):
+            carry(edited, info)
+            trailer["Info"] = Ref(len(objects) + 1)
+            objects[len(objects) + 1] = (edited, info)
+        if doc.file_id():
+            trailer["ID"] = doc.get(doc.trailer["ID"])
+    to = [m | at for m, at in zip(maps, shown, strict=True)]
     for n, v in objects.items():
         if isinstance(v, tuple) and not isinstance(v, Ref):
-            objects[n] = _renumbered(v[1], maps[v[0]])
+            objects[n] = _renumbered(v[1], to[v[0]])
     for k in kids:
         objects[k]["Parent"] = Ref(2)
-    objects[1] = {"Type": Name("Catalog"), "Pages": Ref(2)}
+    objects[1] |= {"Type": Name("Catalog"), "Pages": Ref(2)}
     objects[2] = {"Type": Name("Pages"), "Kids": [Ref(k) for k in kids], "Count": len(kids)}
-    return write(objects, {"Root": Ref(1)})
+    return write(objects, trailer, version)
 
 
 def merge(files: list[bytes], passwords: list[bytes] | None = None) -> bytes:
@@ -209,21 +259,21 @@ def delete_pages(data: bytes, pages: list[int], password: bytes = b"") -> bytes:
     left = [p for p in range(1, len(Document(data, password).pages()) + 1) if p not in set(pages)]
     if not left:
         raise DocError("no_page", "a document keeps a page")
-    return extract_pages(data, left, password)
+    return assemble([(data, password)], [(0, p, 0) for p in left], 0)
 
 
 def insert_pages(data: bytes, at: int, other: bytes, password: bytes = b"") -> bytes:
     """Pages of another document before page ``at``; 0 or beyond the end appends."""
     n, m = len(Document(data, password).pages()), len(Document(other).pages())
     cut = n if at < 1 or at > n else at - 1
-    return assemble([(data, password), (other, b"")], [(0, p, 0) for p in range(1, cut + 1)] + [(1, p, 0) for p in range(1, m + 1)] + [(0, p, 0) for p in range(cut + 1, n + 1)])
+    return assemble([(data, password), (other, b"")], [(0, p, 0) for p in range(1, cut + 1)] + [(1, p, 0) for p in range(1, m + 1)] + [(0, p, 0) for p in range(cut + 1, n + 1)], 0)
 
 
 def rotate_pages(data: bytes, angle: int, pages: list[int] | None = None, password: bytes = b"") -> bytes:
     if angle % 90:
         raise DocError("bad_angle", str(angle))
     n = len(Document(data, password).pages())
-    return assemble([(data, password)], [(0, p, angle if pages is None or p in pages else 0) for p in range(1, n + 1)])
+    return assemble([(data, password)], [(0, p, angle if pages is None or p in pages else 0) for p in range(1, n + 1)], 0)
 
 
 # -- forms
