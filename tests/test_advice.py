@@ -1,5 +1,6 @@
 """Cases of the review's findings on the document operators."""
 
+from docloom.operators import trees
 from docloom.pdf import writer
 from docloom.pdf.document import Document
 from docloom.pdf.syntax import Name, Ref
@@ -53,3 +54,10 @@ def test_compare_query_counts_all_kinds(spark, monkeypatch):
     monkeypatch.setattr(document_queries.compare, "compare", lambda *_: found)
     got = document_queries.pdf_compare(spark, "/root/testdata/sf0.001").collect()
     assert {(r.kind, r.n) for r in got} == {("metadata", 1), ("bookmark", 1), ("page", 1)}
+
+
+def test_full_names_at_any_depth(spark):
+    chain = [(i, i - 1 if i else None, f"t{i}") for i in range(150)]
+    rest = [(200, 201, "x"), (201, 200, "y"), (202, 201, "z"), (203, 999, "w"), (204, 0, None)]
+    got = {r.n: (r.full_name, r.depth) for r in trees.full_names(spark.createDataFrame(chain + rest, "n long, p long, t string"), "n", "p", "t").collect()}
+    assert got == {i: (".".join(f"t{k}" for k in range(i + 1)), i) for i in range(150)} | {204: ("t0", 1)}
