@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import compare
@@ -11,7 +11,11 @@ from docloom.plans.catalog import query, table
 from docloom.sources import documents
 
 _NUMBERED = "(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, text FROM conversations)"
-_CONV = F.col("file_id").cast("long").alias("conv_id")
+
+
+def _conv() -> Column:
+    """The conversation of a file. A function: columns can only be made while a session runs, and this module is imported before."""
+    return F.col("file_id").cast("long").alias("conv_id")
 
 
 def _files(spark, d) -> DataFrame:
@@ -25,22 +29,22 @@ def _again(files: DataFrame) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS pages FROM conversations GROUP BY conv_id")
 def pdf_pages(spark, d):
-    return documents.table(_files(spark, d), "pages").groupBy(_CONV).agg(F.count("*").alias("pages"))
+    return documents.table(_files(spark, d), "pages").groupBy(_conv()).agg(F.count("*").alias("pages"))
 
 
 @query(f"SELECT conv_id, page, unnest(range(len(l))) AS idx, unnest(l) AS text FROM (SELECT conv_id, page, string_split(text, chr(10)) AS l FROM {_NUMBERED})")
 def pdf_text_elements(spark, d):
-    return documents.table(_files(spark, d), "text_elements").select(_CONV, "page", "idx", "text")
+    return documents.table(_files(spark, d), "text_elements").select(_conv(), "page", "idx", "text")
 
 
 @query("SELECT conv_id, 'Conversation ' || conv_id AS title, count(*) AS page_count, false AS encrypted FROM conversations GROUP BY conv_id")
 def pdf_metadata(spark, d):
-    return documents.table(_files(spark, d), "metadata").select(_CONV, "title", "page_count", "encrypted")
+    return documents.table(_files(spark, d), "metadata").select(_conv(), "title", "page_count", "encrypted")
 
 
 @query("""SELECT conv_id, count(*) AS pages, sum(octet_length(encode(replace(text, chr(10), ''))))::BIGINT AS text_bytes, true AS has_text, false AS scanned FROM conversations GROUP BY conv_id""")
 def pdf_summary(spark, d):
-    return documents.document_summary(_files(spark, d)).select(_CONV, "pages", "text_bytes", "has_text", "scanned")
+    return documents.document_summary(_files(spark, d)).select(_conv(), "pages", "text_bytes", "has_text", "scanned")
 
 
 @query("SELECT conv_id, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1) // 2)::BIGINT AS part, text FROM conversations")
@@ -62,7 +66,7 @@ def pdf_merge(spark, d):
 @query(f"SELECT conv_id, page, CASE WHEN page = 1 THEN 270 ELSE 0 END::BIGINT AS rotation FROM {_NUMBERED}")
 def pdf_rotate(spark, d):
     turned = _again(documents.transform(_files(spark, d), lambda x: writer.rotate_pages(writer.rotate_pages(x, 180, [1]), 90, [1])))
-    return documents.table(turned, "pages").select(_CONV, "page", "rotation")
+    return documents.table(turned, "pages").select(_conv(), "page", "rotation")
 
 
 @query(f"SELECT conv_id, page - 1 AS page, string_split(text, chr(10))[1] AS first_line FROM {_NUMBERED} WHERE page > 1")
@@ -72,7 +76,7 @@ def pdf_delete(spark, d):
         return [writer.delete_pages(x, [1])] if n > 1 else []
 
     left = _again(documents.transform(_files(spark, d), rest))
-    return documents.table(left, "text_elements").filter("idx = 0").select(_CONV, "page", F.col("text").alias("first_line"))
+    return documents.table(left, "text_elements").filter("idx = 0").select(_conv(), "page", F.col("text").alias("first_line"))
 
 
 _FIRST = "(SELECT conv_id, arg_min(role, turn) AS role, count(*) AS n FROM conversations GROUP BY conv_id)"
@@ -90,12 +94,12 @@ def _filled(spark, d) -> DataFrame:
 def pdf_fill(spark, d):
     files = _filled(spark, d)
     unknown = files.select("file_id", F.array_join("unknown", ",").alias("unknown"))
-    return documents.table(files, "fields").join(unknown, "file_id").select(_CONV, F.col("full_name").alias("name"), "value", "unknown")
+    return documents.table(files, "fields").join(unknown, "file_id").select(_conv(), F.col("full_name").alias("name"), "value", "unknown")
 
 
 @query("SELECT DISTINCT conv_id, r AS rev FROM conversations, (VALUES (1::BIGINT), (2)) v(r)")
 def pdf_revisions(spark, d):
-    return documents.table(_filled(spark, d), "revisions").select(_CONV, "rev")
+    return documents.table(_filled(spark, d), "revisions").select(_conv(), "rev")
 
 
 @query("SELECT DISTINCT conv_id, 2::BIGINT AS rewritten FROM conversations")
@@ -103,14 +107,14 @@ def pdf_latest_objects(spark, d):
     """Objects of each file whose newest version stands in the second revision, besides the form itself."""
     newest = documents.latest_objects(documents.table(_filled(spark, d), "raw_objects"))
     fields = newest.filter("rev = 2").filter(F.decode("raw", "ISO-8859-1").contains("/Widget"))
-    return fields.groupBy(_CONV).agg(F.count("*").alias("rewritten"))
+    return fields.groupBy(_conv()).agg(F.count("*").alias("rewritten"))
 
 
 @query(f"SELECT conv_id, page, string_split(text, chr(10))[1] AS first_line, true AS encrypted FROM {_NUMBERED}")
 def pdf_encrypt(spark, d):
     locked = _again(documents.transform(_files(spark, d), lambda x: writer.encrypt(x, b"open", b"own", "V2")))
     state = documents.table(locked, "metadata", "own").select("file_id", "encrypted")
-    return documents.table(locked, "text_elements", "open").filter("idx = 0").join(state, "file_id").select(_CONV, "page", F.col("text").alias("first_line"), "encrypted")
+    return documents.table(locked, "text_elements", "open").filter("idx = 0").join(state, "file_id").select(_conv(), "page", F.col("text").alias("first_line"), "encrypted")
 
 
 @query("SELECT conv_id, 'page' AS kind, 'modified' AS category, 1::BIGINT AS n FROM conversations GROUP BY conv_id")
