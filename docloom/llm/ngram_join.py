@@ -1,18 +1,21 @@
 """N-gram Jaccard self-join with signature trees.
 
-Texts become sets of hashed word n-grams; equal sets are one class from then on. A pair of classes
-with Jaccard similarity t or more differs in at most (1-t)/(1+t) of its elements, so if the universe
-is cut into one part more than that, some part is the same in both: the hash of such a part is a
-signature that both carry (sets are dealt to size ranges, of which a pair can span two at most).
-Classes that share a signature are connected, and connected candidates meet with their whole sets.
-There a tree over the sets, whose nodes hold combined token bitmaps and size ranges, is traversed
-against itself; pairs of nodes are pruned by the overlap they can reach at most, and what is left
-is counted exactly.
+Texts become sets of hashed word n-grams; equal sets are one class from then on. All sets are read in
+one order of the n-grams, those that many texts hold last. Two sets that link share an n-gram
+among the first ones of each (a set of n needs n - t n + 1 of them), so each such n-gram is the root of
+a signature tree over the classes that have it there. Below it, classes stand by size; a node
+holds the OR and the AND of their token bitmaps, the range of their sizes and the most that can still
+follow in them. Each tree is traversed against itself, and pairs of nodes are pruned by the largest overlap that they can
+reach. What is left of all trees are candidate pairs, which are counted exactly on the whole sets.
+
+Nothing is left to chance: the order of the n-grams decides how much work there is, not what is found.
+Trees with very many classes (copies of one text that all differ a little) are cut into cells. Rounds
+of cells under changing deals first link most of their classes; then every pair of classes that is
+not connected by then meets, in one cell each.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,352 +24,457 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._common import bounded_batches, components, mix64
+from docloom.llm.shingles import BITS, bitmaps, later_in_run, set_id, shingle_sets
 from docloom.scratch import release, shuffle_width, stage
 
-WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Up to a set size: in how many independent ways sets are cut, and the fewest elements of a part that
-#: carries a signature. Parts with few elements match by a common line alone; a pair that agrees in
-#: no larger part in any of the ways is less likely than 1e-7 at the threshold, and far less above.
-CUTS = ((12, 8, 1), (24, 8, 2), (64, 8, 3), (256, 6, 3), (1 << 62, 1, 4))
-BLOCK = 2048
 LEAF = 32
-BITS = 2048
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, WORD_BASE, np.uint64)
-    p[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(p)
-
-
-_POW = _powers(1 << 12)
-_INV = int(pow(int(WORD_BASE), -1, 1 << 64))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """One 64-bit hash for each word of a text, A-Z lower-cased, by prefix polynomial sums."""
-    global _POW
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    inside = ~_SPACE[b]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    while len(b) > len(_POW):
-        _POW = _powers(2 * len(_POW))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POW[: len(b)], dtype=np.uint64)))
-        # Scaling to a common power makes equal words at different places equal.
-        h = (sums[ends] - sums[starts]) * _inverse_powers(len(b))[starts]
-        return mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-_INVPOW = np.ones(1, np.uint64)
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    global _INVPOW
-    if n > len(_INVPOW):
-        p = np.full(max(n, 2 * len(_INVPOW)), _INV, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            _INVPOW = np.multiply.accumulate(p)
-    return _INVPOW
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; a shorter text is one n-gram, no word none."""
-    w = word_hashes(text or "")
-    n = min(words, len(w))
-    if not n:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.full(len(w) - n + 1, n, np.uint64)
-        for i in range(n):
-            h = mix64(h * np.uint64(0x9FB21C651E98DF25) + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
-
-
-def set_id(s: np.ndarray) -> tuple[int, int]:
-    d = hashlib.md5(s.tobytes()).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
-def size_range(n: int, percent: int) -> tuple[int, int]:
-    """Number and last size of the size range that holds n; a partner's range is the same or the next."""
-    b, lo = 0, 1
-    while True:
-        hi = max(lo, lo * 100 // percent)
-        if n <= hi:
-            return b, hi
-        b, lo = b + 1, hi + 1
-
-
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Part signatures of a set, for its own size range and as the smaller set for the next one."""
-    b, hi = size_range(len(s), percent)
-    out = []
-    for rank, top in ((b, hi), (b + 1, max(hi + 1, (hi + 1) * 100 // percent))):
-        parts = (100 - percent) * 2 * top // (100 + percent) + 1
-        ways, least = next((w, n) for most, w, n in CUTS if top <= most)
-        for seed in range(ways):
-            with np.errstate(over="ignore"):
-                salt = np.uint64(0xA0761D6478BD642F * (seed + 1) + 0xE7037ED1A0B428DB * (rank + 1) & (1 << 64) - 1)
-                part = (mix64(s ^ salt) % np.uint64(parts)).astype(np.int64)
-                sums = np.zeros(parts, np.uint64)
-                np.add.at(sums, part, mix64(s + salt))
-                n = np.bincount(part, minlength=parts)
-                keep = n >= least
-                out.append(mix64(sums[keep] + mix64((np.flatnonzero(keep) + 1).astype(np.uint64) * salt)))
-    return np.concatenate(out)
-
-
-def shared_forest(marks: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the owners that share a mark (both sorted by mark)."""
-    same = np.flatnonzero((marks[1:] == marks[:-1]) & (owners[1:] != owners[:-1]))
-    ids, at = np.unique(np.concatenate((owners[same], owners[same + 1])), return_inverse=True)
-    lo, hi = at[: len(same)], at[len(same) :]
-    label = np.arange(len(ids))
-    while len(lo):
-        least = np.minimum(label[lo], label[hi])
-        new = label.copy()
-        np.minimum.at(new, lo, least)
-        np.minimum.at(new, hi, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[far], ids[label[far]]
+#: Classes of a tree that one task takes whole, and of a cell of a larger tree.
+WHOLE, CELL = 128, 1024
+#: n-grams are read last if about so many classes hold them; at most 2^18 are, the most frequent ones.
+LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 18
+#: Elements of sets in a window in which n-grams are counted, and the least count that is passed on.
+WINDOW, LEAST_LOCAL = 1 << 21, 3
+#: Elements of sets that meet in one cell of the exact count, about; prefix n-grams of a bucket.
+CELL_ELEMENTS, BUCKET_ELEMENTS = 1 << 20, 1 << 19
+FILTER_BITS = 1 << 25
+
+
+def prefix_size(n: np.ndarray | int, percent: int):
+    """A set of n and any set that it links with share one of this many first elements."""
+    return n + (-percent * n) // 100 + 1
+
+
+def may_link(size_a, left_a, size_b, left_b, percent: int):
+    """Whether sets of these sizes can link if at most so many elements of each are common."""
+    least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    return (100 * least >= percent * most) & ((100 + percent) * np.minimum(left_a, left_b) >= percent * (size_a + size_b))
+
+
+class Frequent:
+    """The n-grams that are read last, rarest first. Bounded by ``MOST_FREQUENT``, whatever the input."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        by = np.argsort(tokens)
+        self.tokens, self.counts = tokens[by], counts[by]
+        self.rank = np.empty(len(by), np.int64)
+        self.rank[np.lexsort((self.tokens, self.counts))] = np.arange(len(by))
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[(self.tokens >> np.uint64(42)).astype(np.int64)] = True
+
+    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first elements of a set (sorted by hash), and how many classes are known to hold each (0: few)."""
+        n = prefix_size(len(s), percent)
+        maybe = np.flatnonzero(self.sieve[(s >> np.uint64(42)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.tokens, s[maybe]), len(self.tokens) - 1)
+            hit = self.tokens[at] == s[maybe]
+            maybe, at = maybe[hit], at[hit]
+        if not len(maybe):
+            return s[:n], np.zeros(n, np.int64)
+        rest = np.delete(s, maybe)[:n]
+        last = at[np.argsort(self.rank[at])][: n - len(rest)]
+        return np.concatenate((rest, self.tokens[last])), np.concatenate((np.zeros(len(rest), np.int64), self.counts[last]))
+
+
+def _packed(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Rows (bucket, packed columns) for each bucket that has any."""
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)])) if len(by) else [0]
+    return [(int(bucket[by[p]]), *(c[by[p:q]].tobytes() for c in columns)) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits of x that y lacks, by row."""
+    return np.bitwise_count(x & ~y).sum(-1, dtype=np.int64)
+
+
+class Members:
+    """Classes of one tree or of many (``tree``), with what prunes them. ``left``: elements from the shared one on."""
+
+    def __init__(self, tree: np.ndarray, sizes: np.ndarray, left: np.ndarray, bits: np.ndarray, labels: np.ndarray | None, percent: int):
+        self.order = np.lexsort((sizes, tree))
+        self.tree, self.sizes, self.left, self.bits = tree[self.order], sizes[self.order].astype(np.int64), left[self.order].astype(np.int64), bits[self.order]
+        self.labels = None if labels is None else labels[self.order]
+        self.percent = percent
+
+    def linkable(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of these pairs no bound excludes."""
+        ok = np.flatnonzero(may_link(self.sizes[i], self.left[i], self.sizes[j], self.left[j], self.percent))
+        if self.labels is not None:
+            ok = ok[self.labels[i[ok]] != self.labels[j[ok]]]
+        out = []
+        for lo in range(0, len(ok), 1 << 16):
+            k = ok[lo : lo + (1 << 16)]
+            a, b = i[k], j[k]
+            x, y = self.sizes[a] - _missing(self.bits[a], self.bits[b]), self.sizes[b] - _missing(self.bits[b], self.bits[a])
+            out.append(k[may_link(self.sizes[a], x, self.sizes[b], y, self.percent)])
+        return np.concatenate(out) if out else ok
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate pairs (indexes as given) of all trees."""
+        found = []
+        starts = np.flatnonzero(np.concatenate(([True], self.tree[1:] != self.tree[:-1]))) if len(self.tree) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(self.tree))
+        small = np.repeat(ends - starts <= LEAF, ends - starts)
+        at = np.flatnonzero(small)  # trees of one leaf, all at once
+        for i, j in later_in_run(self.tree[at]):
+            k = self.linkable(at[i], at[j])
+            found.append((at[i[k]], at[j[k]]))
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            if hi - lo > LEAF:
+                found += self._traversed(lo, hi)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return self.order[np.concatenate([f[0] for f in found])], self.order[np.concatenate([f[1] for f in found])]
+
+    def _traversed(self, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        nodes: list[tuple] = []  # first, last, OR, AND, most left, the one label, children
+
+        def build(lo: int, hi: int) -> int:
+            kids = ()
+            if hi - lo > LEAF:
+                mid = (lo + hi) // 2
+                kids = (build(lo, mid), build(mid, hi))
+                a, b = nodes[kids[0]], nodes[kids[1]]
+                nodes.append((lo, hi, a[2] | b[2], a[3] & b[3], max(a[4], b[4]), a[5] if a[5] == b[5] else None, kids))
+            else:
+                one = None
+                if self.labels is not None and (self.labels[lo:hi] == self.labels[lo]).all():
+                    one = int(self.labels[lo])
+                nodes.append((lo, hi, np.bitwise_or.reduce(self.bits[lo:hi]), np.bitwise_and.reduce(self.bits[lo:hi]), int(self.left[lo:hi].max()), one, kids))
+            return len(nodes) - 1
+
+        def pruned(x: tuple, y: tuple) -> bool:
+            if x[5] is not None and x[5] == y[5]:
+                return True
+            low, high = (x, y) if x[0] <= y[0] else (y, x)  # smaller sets, larger sets
+            least, most = int(self.sizes[high[0]]), int(self.sizes[low[1] - 1])
+            if 100 * most < self.percent * least:
+                return True
+            reach = min(most - int(_missing(low[3], high[2])), int(self.sizes[high[1] - 1]) - int(_missing(high[3], low[2])), x[4], y[4])
+            return (100 + self.percent) * reach < self.percent * (int(self.sizes[low[0]]) + least)
+
+        out = []
+        todo = [(r := build(first, last), r)]
+        while todo:
+            i, j = todo.pop()
+            x, y = nodes[i], nodes[j]
+            if pruned(x, y) if i != j else x[5] is not None:
+                continue
+            if not x[6] and not y[6]:
+                a, b = (g.ravel() for g in np.meshgrid(np.arange(x[0], x[1]), np.arange(y[0], y[1]), indexing="ij"))
+                if i == j:
+                    a, b = a[a < b], b[a < b]
+                k = self.linkable(a, b)
+                out.append((a[k], b[k]))
+            elif i == j:
+                a, b = x[6]
+                todo += [(a, b), (a, a), (b, b)]
+            elif x[6] and (not y[6] or x[1] - x[0] >= y[1] - y[0]):
+                todo += [(k, j) for k in x[6]]
+            else:
+                todo += [(i, k) for k in y[6]]
+        return out
+
+
+def _met(group: pd.DataFrame, percent: int, whole: int) -> pd.DataFrame:
+    """The prefix n-grams of a bucket that can matter: others have the n-gram too, of fitting size and place."""
+    t, o, n, p, c = (np.frombuffer(b"".join(group[k]), k2) for k, k2 in (("tokens", np.uint64), ("owners", np.int64), ("sizes", np.int32), ("places", np.int32), ("counts", np.int32)))
+    by = np.lexsort((o, t))
+    by = by[np.concatenate(([True], (t[by][1:] != t[by][:-1]) | (o[by][1:] != o[by][:-1])))] if len(by) else by
+    t, o, n, p, c = t[by], o[by], n[by].astype(np.int64), p[by].astype(np.int64), c[by]
+    run = np.concatenate(([True], t[1:] != t[:-1])) if len(t) else np.zeros(0, bool)
+    group_of = np.cumsum(run) - 1
+    size = np.bincount(group_of)[group_of] if len(t) else group_of
+    # A large tree's classes are dealt over buckets, so that only others know its size.
+    large = (c > whole) | (size > whole)
+    alive = large.copy()
+    few = np.flatnonzero(~large & (size > 1))
+    for i, j in later_in_run(t[few]):
+        i, j = few[i], few[j]
+        ok = may_link(n[i], n[i] - p[i], n[j], n[j] - p[j], percent)
+        alive[i[ok]] = True
+        alive[j[ok]] = True
+    k = np.flatnonzero(alive)
+    return pd.DataFrame({"token": t[k].view(np.int64), "owner": o[k], "size": n[k], "rest": n[k] - p[k], "large": large[k]})
+
+
+def _bits_of(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
+
+
+_PAIRS = "a long, b long, size_a int, size_b int"
+
+
+def _candidates(group: pd.DataFrame, percent: int, nearest: bool = False) -> pd.DataFrame:
+    """Distinct candidate pairs of the trees of a group. ``nearest``: for each class only the one with the smallest id."""
+    owners, sizes = group["owner"].to_numpy(), group["size"].to_numpy()
+    tree = np.unique(group["token"].to_numpy(), return_inverse=True)[1]
+    labels = group["label"].to_numpy() if "label" in group else None
+    i, j = Members(tree, sizes, group["rest"].to_numpy(), _bits_of(group["bits"]), labels, percent).pairs()
+    if nearest and len(i):
+        a, b = np.where(owners[i] < owners[j], j, i), np.where(owners[i] < owners[j], i, j)
+        by = np.lexsort((owners[b], owners[a]))
+        head = by[np.concatenate(([True], owners[a[by]][1:] != owners[a[by]][:-1]))]
+        i, j = a[head], b[head]
+    a, b = np.where(owners[i] < owners[j], i, j), np.where(owners[i] < owners[j], j, i)
+    out = pd.DataFrame({"a": owners[a], "b": owners[b], "size_a": sizes[a], "size_b": sizes[b]})
+    return out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
+
+
+def _counted(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs whose whole sets link."""
+    whole = {o: np.frombuffer(e, np.uint64) for o, e in zip(sets["owner"], sets["elements"], strict=True)}
+    rows = []
+    for a, b in zip(pairs["a"], pairs["b"], strict=True):
+        x, y = whole[a], whole[b]
+        if len(x) > len(y):
+            x, y = y, x
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            rows.append((a, b))
+    return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """``a b`` of the candidate pairs that link, counted on whole sets (a staged table).
+
+    A pair meets at the smallest class that either side has a candidate in, so that sets of copies
+    move once; what meets in one place is dealt by size.
+    """
+    pairs = stage(pairs.distinct(), f"{label}-pairs")
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    least = stage(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("m")), f"{label}-least")
+    met = pairs.join(least.withColumnsRenamed({"x": "a", "m": "ma"}), "a").join(least.withColumnsRenamed({"x": "b", "m": "mb"}), "b")
+    met = stage(met.select("a", "b", "size_a", "size_b", F.least("ma", "mb").alias("cell")), f"{label}-met")
+    weight = met.select("cell", F.col("a").alias("x"), F.col("size_a").alias("n")).union(met.select("cell", "b", "size_b")).distinct()
+    parts = stage(weight.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_ELEMENTS).cast("int").alias("parts")), f"{label}-parts")
+    deal = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    dealt = stage(met.join(parts, "cell").select("cell", deal("a").alias("p"), deal("b").alias("q"), "a", "b"), f"{label}-dealt")
+    key = ["cell", "p", "q"]
+    needed = dealt.select("cell", "p", "q", F.col("a").alias("owner")).union(dealt.select("cell", "p", "q", "b")).distinct().toDF("at", "at_p", "at_q", "owner")
+    there = needed.join(sets.hint("merge"), "owner").select("at", "at_p", "at_q", "owner", "elements")
+    return stage(
+        dealt.groupBy(*key).cogroup(there.groupBy("at", "at_p", "at_q")).applyInPandas(lambda p, s: _counted(p, s, percent), "a long, b long"),
+        f"{label}-links",
+    )
+
+
+def _sets_of(text: DataFrame, wanted: DataFrame, words: int, salt: int, label: str) -> DataFrame:
+    """``owner elements``: the whole sets of the wanted classes (a staged table).
+
+    A filter of a fixed size keeps most other texts from being sent; the join makes it exact.
+    """
+    spark = text.sparkSession
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = _filter_places(b["owner"].to_numpy())
+            yield pd.DataFrame({"word": at >> 6, "bit": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
 
+    # At most FILTER_BITS / 64 rows.
+    flags = wanted.mapInPandas(marked, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[flags["word"].to_numpy(np.int64)] = flags["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
 
-class Forest:
-    """Union-find over small integers."""
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            rows = []
+            for s in shingle_sets(b["text"].tolist(), words):
+                if len(s) and (k := set_id(s, salt)[0]) not in seen:
+                    at = _filter_places(np.array([k]))
+                    if (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all():
+                        seen.add(k)
+                        rows.append((k, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["owner", "elements"])
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    got = text.select("text").mapInPandas(fetched, "owner long, elements binary")
+    return stage(got.join(wanted.hint("merge"), "owner", "left_semi").dropDuplicates(["owner"]), label)
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
 
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+def _filter_places(keys: np.ndarray) -> np.ndarray:
+    h = mix64(keys.astype(np.int64).view(np.uint64))
+    return np.concatenate((h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS))).astype(np.int64)
 
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.up[self.up]
-            if (up == self.up).all():
-                return up
-            self.up = up
 
+def _frequent(known: DataFrame) -> Frequent:
+    """The most frequent n-grams: the counts that windows passed on, above the least power of two that keeps them few."""
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), BITS // 64), np.uint64)
-    for i, s in enumerate(sets):
-        bit = (s % np.uint64(BITS)).astype(np.int64)
-        np.bitwise_or.at(out[i], bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
-    return out
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"token": np.frombuffer(b"".join(b["tokens"]), np.int64), "n": np.frombuffer(b"".join(b["counts"]), np.int64)})
+
+    told = known.filter("tokens is not null").select("tokens", "counts").mapInPandas(unpacked, "token long, n long")
+    sums = stage(told.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_FREQUENT), "shingle-counts")
+    scale = sorted(((r.e, r["count"]) for r in sums.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()), reverse=True)  # at most 64 rows
+    total, least = 0, 63
+    for e, n in scale:
+        if (total := total + n) > MOST_FREQUENT:
+            break
+        least = e
+    rows = sums.filter(F.floor(F.log2("n")) >= least).toPandas()
+    return Frequent(rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64))
 
 
-def tree_join(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> np.ndarray:
-    """Component roots (indexes) of the linked sets among ``sets``.
+def _identified(text: DataFrame, words: int, salt: int) -> DataFrame:
+    """A row for each text (``doc_id n_shingles k1 k2 bits``), and rows of n-gram counts (``tokens counts``)."""
 
-    A binary tree over sets in size order; a node holds the OR and AND of its bitmaps and its sizes.
-    Elements of every set of node x that hash to a bit which no set of node y has are in none of
-    y's sets, so no overlap of a pair exceeds max size(x) - bits(AND x minus OR y). Pairs of nodes
-    are also skipped once they are one component. ``sides``: only pairs across sides are wanted.
-    """
-    forest = Forest(len(sets))
-    order = np.array(sorted(range(len(sets)), key=lambda i: (len(sets[i]), sets[i][:4].tolist())))
-    sizes = np.array([len(sets[i]) for i in order])
-    bits = _bitmaps([sets[i] for i in order])
-    ids, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    nodes: list[tuple] = []  # first, last, OR, AND, children
-
-    def build(lo: int, hi: int) -> int:
-        kids = ()
-        if hi - lo > LEAF:
-            mid = (lo + hi) // 2
-            kids = (build(lo, mid), build(mid, hi))
-        nodes.append((lo, hi, np.bitwise_or.reduce(bits[lo:hi]), np.bitwise_and.reduce(bits[lo:hi]), kids))
-        return len(nodes) - 1
-
-    def pruned(x: tuple, y: tuple) -> bool:
-        least, most = sizes[x[0]], sizes[y[1] - 1]  # smallest of the earlier node, largest of the later
-        if 100 * sizes[x[1] - 1] < percent * sizes[y[0]]:
-            return True
-        reach = min(sizes[x[1] - 1] - int(np.bitwise_count(x[3] & ~y[2]).sum()), most - int(np.bitwise_count(y[3] & ~x[2]).sum()))
-        return (100 + percent) * reach < percent * (least + sizes[y[0]])
-
-    def leaves(x: tuple, y: tuple) -> None:
-        width, (lo, hi) = y[1] - y[0], (bounds[y[0]], bounds[y[1]])
-        grid = np.zeros((len(ids), width), np.uint8) if len(ids) * width <= 1 << 26 else None
-        local = None
-        if grid is None:
-            local, at = np.unique(flat[lo:hi], return_inverse=True)
-            grid = np.zeros((len(local) + 1, width), np.uint8)
-        else:
-            at = flat[lo:hi]
-        grid[at, np.repeat(np.arange(width), sizes[y[0] : y[1]])] = 1
-        for a in range(x[0], x[1]):
-            first = max(0, a + 1 - y[0]) if x is y else 0
-            if first >= width:
-                continue
-            mine = forest.root(order[a])
-            other = [b for b in range(y[0] + first, y[1]) if (sides is None or sides[order[a]] != sides[order[b]]) and forest.root(order[b]) != mine]
-            if not other:
-                continue
-            t = flat[bounds[a] : bounds[a + 1]]
-            if local is not None:
-                p = np.minimum(np.searchsorted(local, t), len(local) - 1)
-                t = np.where(local[p] == t, p, len(local))
-            same = grid[t].sum(0, dtype=np.int64)
-            for b in other:
-                both = same[b - y[0]]
-                if 100 * both >= percent * (sizes[a] + sizes[b] - both):
-                    forest.join(order[a], order[b])
-
-    root = build(0, len(order))
-    todo = [(root, root)]
-    while todo:
-        i, j = todo.pop()
-        x, y = nodes[i], nodes[j]
-        if i != j:
-            if pruned(x, y) or len({forest.root(k) for k in order[[*range(x[0], x[1]), *range(y[0], y[1])]]}) == 1:
-                continue
-        if not x[4] and not y[4]:
-            leaves(x, y)
-        elif i == j:
-            a, b = x[4]
-            todo += [(a, b), (b, b), (a, a)]
-        elif x[4] and (not y[4] or x[1] - x[0] >= y[1] - y[0]):
-            todo += [(k, j) for k in x[4]]
-        else:
-            todo += [(i, k) for k in y[4]]
-    return forest.roots()
+    def identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        window, held = [], 0
+
+        def counts() -> pd.DataFrame:
+            t, n = np.unique(np.concatenate(window), return_counts=True)
+            many = n >= LEAST_LOCAL
+            return pd.DataFrame({"doc_id": [None], "tokens": [t[many].tobytes()], "counts": [n[many].astype(np.int64).tobytes()]}).reindex(columns=columns)
+
+        columns = ["doc_id", "n_shingles", "k1", "k2", "bits", "tokens", "counts"]
+        for b in batches:
+            sets = shingle_sets(b["text"].tolist(), words)
+            keys = [set_id(s, salt) for s in sets]
+            flags = bitmaps(sets)
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
+                "bits": [f.tobytes() if len(s) else None for f, s in zip(flags, sets, strict=True)], "tokens": None, "counts": None,
+            })
+            for s, (k, _) in zip(sets, keys, strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    window.append(s)
+                    held += len(s)
+                    if held >= WINDOW:
+                        yield counts()
+                        window, held = [], 0
+        if held:
+            yield counts()
+
+    return stage(text.mapInPandas(identify, "doc_id long, n_shingles long, k1 long, k2 long, bits binary, tokens binary, counts binary"), "shingle-sets")
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id n_shingles component_id``.
 
     Nulls, empty texts and texts without a word have an empty set and link with nothing. Equal sets
-    are one class, represented by its smallest id, and links between classes are found without any
-    cap. Rows with a null id are compared like others; if their component has no other id it is
-    null. Very long texts are whole sets. An empty table gives an empty result.
+    are one class, and links between classes are found without any cap. Rows with a null id are
+    compared like others; a component is named by its smallest id, or null if it has none. Repeated
+    rows keep one row each. Very long texts are whole sets. An empty table gives an empty result; other columns are ignored.
     """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be between 1 and 100")
     spark = docs.sparkSession
     bounded_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    width = shuffle_width(spark)
-
-    def identify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, words) for t in b["text"]]
-            keys = [set_id(s) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys]})
-
-    known = stage(text.mapInPandas(identify, "doc_id long, n_shingles long, k1 long, k2 long"), "shingle-sets")
-    classes = stage(known.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "shingle-classes")
-
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Signatures with the class they come from, packed by the bucket that they will meet in."""
+    salt = 0
+    while True:
+        known = _identified(text, words, salt)
+        rows = known.filter("tokens is null")
+        classes = stage(
+            rows.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits")),
+            "shingle-classes",
+        )
+        if classes.groupBy("k1").count().filter("count > 1").isEmpty():
+            break
+        salt += 1  # two classes share the half of their digest that they meet by: take another digest
+    frequent = spark.sparkContext.broadcast(_frequent(known))
+    elements = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    whole, cell = WHOLE, CELL
+    width = max(shuffle_width(spark), int(elements * (100 - percent) / 100) // BUCKET_ELEMENTS + 1)
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Prefix n-grams of each class, packed by the bucket that they will meet in."""
         seen: set[int] = set()
         for b in batches:
-            marks, owners = [], []
-            for t in b["text"]:
-                s = shingle_set(t, words)
-                if len(s) and (k := set_id(s)[0]) not in seen:
+            tokens, owners, sizes, places, counts = [], [], [], [], []
+            for s in shingle_sets(b["text"].tolist(), words):
+                if len(s) and (k := set_id(s, salt)[0]) not in seen:
                     seen.add(k)
-                    marks.append(signatures(s, percent))
-                    owners.append(np.full(len(marks[-1]), k, np.int64))
-            if not marks:
+                    first, held = frequent.value.prefix(s, percent)
+                    tokens.append(first)
+                    counts.append(held.astype(np.int32))
+                    owners.append(np.full(len(first), k, np.int64))
+                    sizes.append(np.full(len(first), len(s), np.int32))
+                    places.append(np.arange(len(first), dtype=np.int32))
+            if not tokens:
                 continue
-            m, o = np.concatenate(marks), np.concatenate(owners)
-            by = np.lexsort((o, m))
-            m, o = m[by], o[by]
-            a, z = shared_forest(m, o)
-            # What the batch connects itself goes on as edges; each signature goes on once, for the
-            # class that stands for its connected ones.
-            once = np.concatenate(([True], m[1:] != m[:-1]))
-            m, o = m[once], o[once]
-            if len(a):
-                at = np.minimum(np.searchsorted(a, o), len(a) - 1)
-                o = np.where(a[at] == o, z[at], o)
-            rows = []
-            for known, key, value in ((False, m, o), (True, a.view(np.uint64), z)):
-                bucket = (mix64(key) % np.uint64(width)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(width + 1))
-                rows += [(i, known, key[by[p:q]].tobytes(), value[by[p:q]].tobytes()) for i, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if q > p]
-            yield pd.DataFrame(rows, columns=["bucket", "known", "marks", "owners"])
-
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the classes that share a signature, and the edges that are known."""
-        some, known = group[~group["known"]], group[group["known"]]
-        m, o = np.frombuffer(b"".join(some["marks"]), np.uint64), np.frombuffer(b"".join(some["owners"]), np.int64)
-        by = np.lexsort((o, m))
-        a, z = shared_forest(m[by], o[by])
-        return pd.DataFrame({
-            "a": np.concatenate((a, np.frombuffer(b"".join(known["marks"]), np.int64))),
-            "b": np.concatenate((z, np.frombuffer(b"".join(known["owners"]), np.int64))),
-        })
-
-    packed = text.mapInPandas(signed, "bucket int, known boolean, marks binary, owners binary")
-    near = stage(packed.groupBy("bucket").applyInPandas(met, "a long, b long"), "shingle-candidates")
+            t, o, c = np.concatenate(tokens), np.concatenate(owners), np.concatenate(counts)
+            spread = mix64(o.view(np.uint64)) % (c // cell + 1).astype(np.uint64) * (c > whole)
+            bucket = (mix64(t ^ mix64(spread)) % np.uint64(width)).astype(np.int64)
+            yield pd.DataFrame(_packed(bucket, t, o, np.concatenate(sizes), np.concatenate(places), c), columns=["bucket", "tokens", "owners", "sizes", "places", "counts"])
+
+    packed = text.mapInPandas(posted, "bucket long, tokens binary, owners binary, sizes binary, places binary, counts binary")
+    postings = stage(packed.groupBy("bucket").applyInPandas(lambda g: _met(g, percent, whole), "token long, owner long, size int, rest int, large boolean"), "shingle-postings")
     del packed
     release(spark)
-    block_of = components(near, "shingle")
-    members = stage(
-        classes.join(block_of.withColumnRenamed("node", "k1"), "k1").select(F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles", F.col("component").alias("block")),
-        "shingle-members",
-    )
-    sizes = stage(members.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "shingle-blocks")
 
-    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingle_set(t, words) for t in b["text"]]
-            right = [set_id(s) == (p, q) for s, p, q in zip(sets, b["k1"], b["k2"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "block": b["block"], "elements": [s.tobytes() for s in sets]})[right]
-
-    # A merge join at every size: members grow with the corpus, so they are never sent to all executors.
-    sets = text.join(members.hint("merge"), "doc_id").select("doc_id", "text", "k1", "k2", "block").mapInPandas(fetched, "doc_id long, block long, elements binary")
-    # Blocks beyond BLOCK classes are cut into parts, and each pair of parts is a task of its own.
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    dealt = sets.join(sizes, "block").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("doc_id", "elements", "block", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id")
-        ids = group["doc_id"].to_numpy()
-        across = group["p"].iloc[0] != group["q"].iloc[0]
-        roots = tree_join([np.frombuffer(e, np.uint64) for e in group["elements"]], percent, group["part"].to_numpy() if across else None)
-        far = np.flatnonzero(roots != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[far], "b": ids[roots[far]]})
-
-    links = stage(dealt.groupBy("block", "p", "q").applyInPandas(compared, "a long, b long"), "shingle-links")
-    del sets, dealt
+    # With bitmaps, whole trees meet in buckets.
+    bits = classes.select(F.col("k1").alias("owner"), "bits")
+    trees = postings.filter("not large").join(bits, "owner").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(width)))
+    pairs = stage(trees.groupBy("bucket").applyInPandas(lambda g: _candidates(g, percent), _PAIRS), "shingle-pairs")
+    del trees
+    large = postings.filter("large").join(bits, "owner")
+    ends = pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).union(postings.filter("large").select("owner"))
+    wanted = stage(ends.distinct(), "shingle-wanted")
+    sets = _sets_of(text, wanted, words, salt, "shingle-whole")
+    links = _linked(pairs, sets, percent, "shingle")
+    labels = components(links, "shingle")
+    if not postings.filter("large").isEmpty():
+        links, labels = _large_trees(stage(large, "shingle-large"), sets, links, labels, percent)
     release(spark)
-    joined = components(links, "ngram")
-    final = stage(
-        classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")),
-        "shingle-components",
-    )
-    return known.join(final, ["k1", "k2"], "left").select(
+    named = classes.join(labels.withColumnsRenamed({"node": "k1", "component": "label"}), "k1", "left").select("k1", "k2", "low", F.coalesce("label", "k1").alias("label"))
+    low = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    final = stage(named.join(low, "label").select("k1", "k2", "component_id"), "shingle-components")
+    return rows.join(final, ["k1", "k2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
+def _large_trees(large: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after the trees that are too large for a task: ``token owner size rest bits``."""
+    counts = stage(large.groupBy("token").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "tree-sizes")
+    placed = stage(large.join(counts, "token"), "tree-members")
+
+    def labelled() -> DataFrame:
+        return stage(
+            placed.join(labels.withColumnsRenamed({"node": "owner", "component": "label"}), "owner", "left").withColumn("label", F.coalesce("label", "owner")), "tree-labels"
+        )
+
+    def open_labels(now: DataFrame) -> int:
+        return now.groupBy("token", "label").agg(F.lit(1)).groupBy("token").count().filter("count > 1").agg(F.sum("count")).first()[0] or 0
+
+    now = labelled()
+    before, turn = open_labels(now), 0
+    while before:
+        cell = F.pmod(F.xxhash64("owner", F.lit(turn)), F.col("parts")).cast("int")
+        near = now.withColumn("cell", cell).groupBy("token", "cell").applyInPandas(lambda g: _candidates(g, percent, nearest=True), _PAIRS)
+        links = stage(links.union(_linked(near, sets, percent, f"tree-{turn}")).distinct(), "tree-links")
+        labels, turn = components(links, "tree"), turn + 1
+        now = labelled()
+        left = open_labels(now)
+        if left > 0.8 * before:
+            before = left
+            break
+        before = left
+    if not before:
+        return links, labels
+    # What is still apart: of each tree all but the classes of its largest label meet everyone.
+    shares = now.groupBy("token", "label").count()
+    top = stage(
+        shares.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels"))
+        .filter("labels > 1")
+        .select("token", F.col("top.label").alias("top"), F.ceil(F.col("top.count") / CELL).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.count")) / CELL).cast("int").alias("others")),
+        "tree-tops",
+    )
+    apart = now.drop("parts").join(top, "token").withColumn("main", F.col("label") == F.col("top"))
+    place = F.when(F.col("main"), F.pmod(F.xxhash64("owner"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("owner"), F.col("others")) + F.col("tops")).cast("int")
+    others = F.sequence(F.col("tops"), F.col("tops") + F.col("others") - 1)
+    each = F.when(F.col("main"), others).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
+    dealt = apart.withColumn("place", place).withColumn("other", F.explode(each)).withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
+    every = dealt.select("token", "owner", "size", "rest", "bits", "label", "p", "q").groupBy("token", "p", "q").applyInPandas(lambda g: _candidates(g, percent), _PAIRS)
+    links = stage(links.union(_linked(every, sets, percent, "tree-rest")).distinct(), "tree-links")
+    return links, components(links, "tree")
+
+
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)

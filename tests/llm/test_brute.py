@@ -63,14 +63,46 @@ def test_ngram_join(spark, words, percent):
     assert got == jaccard_components(made, words, percent)
 
 
-def test_tree_join_in_parts():
-    sets = [ngram_join.shingle_set(t, 4) for t in near_copies(7).values()]
-    sets = [s for s in sets if len(s)]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
-    assert ngram_join.tree_join(sets, 85).tolist() == roots(len(sets), links)
-    sides = np.arange(len(sets)) % 2
-    across = [(i, j) for i, j in links if sides[i] != sides[j]]
-    assert ngram_join.tree_join(sets, 85, sides).tolist() == roots(len(sets), across)
+def test_tree_prunes_no_link():
+    sets = [s for s in ngram_join.shingle_sets(list(near_copies(7).values()), 4) if len(s)]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    sizes = np.array([len(s) for s in sets])
+    for labels in (None, np.arange(len(sets)) % 2):
+        want = {(i, j) for i, j in links if labels is None or labels[i] != labels[j]}
+        i, j = ngram_join.Members(np.zeros(len(sets), int), sizes, sizes, ngram_join.bitmaps(sets), labels, 85).pairs()
+        got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+        assert want <= got and len(got) < len(sets) * (len(sets) - 1) // 4
+
+
+@pytest.mark.parametrize("sizes", [(3, 5), (128, 1024)])
+def test_large_trees_and_null_ids(spark, monkeypatch, sizes):
+    """A chain of near copies, a common line, rows without an id, and trees that are cut into cells."""
+    monkeypatch.setattr(ngram_join, "WHOLE", sizes[0])
+    monkeypatch.setattr(ngram_join, "CELL", sizes[1])
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(words, 30))
+    base = rng.choice(words, 120).tolist()
+    made = {}
+    for i in range(60):
+        base = list(base)
+        base[int(rng.integers(120))] = str(rng.choice(words))
+        made[i] = " ".join(base)
+    made |= {100 + i: line + " " + " ".join(rng.choice(words, int(rng.integers(1, 60)))) for i in range(60)}
+    rows = [(d, t) for d, t in made.items()]
+    # Two ids that are linked only through a row without one.
+    a, b, c = (" ".join([*(f"m{i}" for i in range(200)), *extra]) for extra in ([f"x{i}" for i in range(20)], [], [f"y{i}" for i in range(20)]))
+    rows += [(900, a), (None, b), (901, c), (None, "alone and without any id"), (902, "alone and without any id of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.ngram_components(df, 4, 85).collect()
+    want = jaccard_components({k: t for k, (_, t) in enumerate(rows)}, 4, 85)
+    by_root: dict = {}
+    for k, (d, _) in enumerate(rows):
+        by_root.setdefault(want[k][1], []).append(d)
+    low = {r: min((d for d in ds if d is not None), default=None) for r, ds in by_root.items()}
+    expected = sorted(repr((d, want[k][0], low[want[k][1]])) for k, (d, _) in enumerate(rows))
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == expected
+    assert {r.component_id for r in got if r.doc_id in (900, 901)} == {900}
 
 
 def test_embedding_links(spark):
