@@ -1,12 +1,17 @@
 """HTML extraction by equivalence-class template deduction.
 
-A page is a sequence of tokens: tags with their place in the tree, and texts of blocks. Tokens of a
-host that occur equally often on every one of its pages share an occurrence vector, of which an
-order-free fingerprint is aggregated. Frequent tokens with the same vector form a class; classes
-that hold together (the same number of times on each page, in one order) nest into the host's
-template. The texts between template tokens are slots, and a page's text is its slots, in articles or
-not. Texts that are themselves template are left out wherever they stand, as are parts that are menus,
-notices and the like by their kind or class, and outside articles blocks that are mostly links.
+A page is a sequence of tokens: elements with their path of names from the root, and the texts of blocks
+with the path that they stand in. Per host every token has an occurrence vector (how often it
+stands on each page), of which an order-free fingerprint is aggregated. Frequent element tokens
+with the same vector form an equivalence class; classes of several tokens nest, by their paths,
+into the host's template. What pages put between template tokens are its slots. A slot is
+classed by what all pages of the host put there: how much of the host's text it holds, how much of that is
+links, and how much of it comes back on other pages. Menus, teasers and notices are links or come
+back; parts that say by their kind or class what they are (nav, footer, comments) go too, unless
+nearly all of the host's text is in them. Texts that are themselves template go wherever they stand.
+
+A page that does not hold the tokens that all others have, in their order, is of another kind; it and pages of hosts with few
+pages are classed by their own text alone.
 """
 
 from __future__ import annotations
@@ -14,7 +19,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -31,59 +37,104 @@ SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-SKIP = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "svg", "canvas", "object", "template", "dialog", "menu", "figure-caption", "audio", "video", "map", "datalist", "fieldset"} | RAW
+#: Kinds that never hold text of a page, and kinds that say what they are.
+SKIP = {"head", "button", "select", "option", "svg", "canvas", "object", "template", "audio", "video", "map", "datalist"} | RAW
+MARKED = {"nav", "footer", "aside", "header", "form", "dialog", "menu", "fieldset"}
+#: Kinds that hold the article even where the part around them says otherwise.
+HOLDS = {"article", "main", "h1", "form", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
-#: Words in class and id names of parts that are not the article.
-NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "footer", "header", "masthead", "topbar", "widget", "widgets", "pagination", "pager", "skip", "copyright", "disclaimer", "hidden"}
+#: Words of class and id names of parts that are not the article, and words that go along with them.
+NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "footer", "masthead", "topbar", "widget", "widgets", "pagination", "pager", "copyright", "disclaimer", "hidden"}
+WITH = {"area", "bar", "block", "bottom", "box", "buttons", "container", "form", "header", "inner", "item", "items", "left", "line", "link", "links", "list", "main", "page", "panel", "posts", "primary", "right", "secondary", "section", "side", "site", "slot", "text", "thread", "top", "unit", "user", "wrap", "wrapper"}
 CLOSES_P = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "hr", "dl", "figure", "address", "fieldset", "details"}
+#: Pages of a host from which it has a template, and shares of them that frequent elements and texts stand on.
+LEAST_PAGES, FREQUENT, FREQUENT_TEXT = 4, 0.5, 0.9
+#: A slot with so much of the text is the page; one with so much in links, or repeated, is not the article.
+WHOLE, LINKS, REPEATED = 0.9, 0.5, 0.5
+
+
+@dataclass
+class Node:
+    token: int
+    parent: int
+    marked: bool
+    article: bool
+    holds: bool
+    mass: int = 0
+    linked: int = 0
 
 
 @dataclass
 class Block:
     text: str
-    path: str
-    article: int
+    node: int
     linked: int
 
 
-def _excluded(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in SKIP or tag == "header" and not in_article:
-        return True
-    if not attrs.strip():
-        return False
-    for k, v in ATTR.findall(attrs):
-        k, v = k.lower(), v.strip("\"'").lower()
-        if k in ("class", "id") and NAMES & set(re.split(r"[^a-z0-9]+", v)):
-            return True
-        if k == "role" and v in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v):
-            return True
-    return False
+@dataclass
+class Template:
+    """Of element tokens: whether their slots go, and the order of those that all pages have once; and the texts."""
+
+    gone: dict[int, bool] = field(default_factory=dict)
+    order: list[int] = field(default_factory=list)
+    texts: set[int] = field(default_factory=set)
+
+
+def _token(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@lru_cache(maxsize=1 << 16)
+def _step(parent: int, name: str) -> int:
+    return _token("e", str(parent), name)
+
 
+def names_part(name: str) -> bool:
+    """Whether a class or id is that of a part besides the article: known words only, one of them telling."""
+    words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+    return any(w in NAMES for w in words) and all(w in NAMES or w in WITH for w in words)
 
-def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], list[Block]]:
-    """Blocks outside excluded parts, tag tokens with their positions, and blocks of excluded parts."""
-    blocks, tags, dropped = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # tag, excluded part begins here, article begins here
+
+@lru_cache(maxsize=1 << 14)
+def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Name of an element in paths, whether it is hidden, and whether it says that it is not the article."""
+    classes, hidden, marked = [], False, tag in MARKED
+    for k, v in ATTR.findall(attrs):
+        k, v = k.lower(), v.strip("\"'").lower()
+        if k in ("class", "id"):
+            marked |= tag not in ("html", "body", "article", "main") and any(map(names_part, v.split()))
+            classes += [c for c in v.split() if k == "class" and not re.search(r"\d", c)]
+        hidden |= k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and bool(re.search(r"display\s*:\s*none", v))
+        marked |= k == "role" and v in ROLES
+    return ".".join([tag, *sorted(set(classes))]), hidden, marked
+
+
+def parse(page: str) -> tuple[list[Node], list[Block]]:
+    """Elements in page order (the first stands for the page), with the text in them; and the blocks of text."""
+    nodes, blocks = [Node(0, -1, False, False, False)], []
+    stack: list[tuple[str, int, bool]] = []  # tag, its element, a part that holds no text begins here
     text: list[str] = []
-    linked = article = excluded = links = articles = 0
-    at, n, place = 0, len(page), 0
+    linked = skipped = links = 0
+    at, n = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if text:
             got = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if got:
-                (dropped if excluded else blocks).append(Block(got, "/".join(t for t, _, _ in stack[-4:]), article, linked))
+                k = stack[-1][1] if stack else 0
+                part = min(linked, len(got))
+                blocks.append(Block(got, k, part))
+                nodes[k].mass += len(got)
+                nodes[k].linked += part
             text.clear()
         linked = 0
 
     def close(i: int) -> None:
-        nonlocal excluded, article, links
-        for tag, ex, ar in stack[i:]:
-            excluded -= ex
+        nonlocal skipped, links
+        for tag, _, skip in stack[i:]:
+            skipped -= skip
             links -= tag == "a"
-            if ar:
-                article = 0
         del stack[i:]
 
     while at < n:
@@ -91,7 +142,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], list[Block]]:
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
-            if page[m.start()] != "<" or at == m.start() + 1:
+            if not skipped and (page[m.start()] != "<" or at == m.start() + 1):
                 text.append(m[0])
                 linked += len(m[0]) if links else 0
             continue
@@ -104,9 +155,6 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], list[Block]]:
         if end:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if tag not in INLINE:
-                        tags.append(("/" + "/".join(t for t, _, _ in stack[: i + 1]), place))
-                        place += 1
                     close(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
@@ -121,25 +169,29 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, int]], list[Block]]:
                     break
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             close(len(stack) - 1)
-        if tag not in INLINE:
-            tags.append(("/".join([*(t for t, _, _ in stack), tag]), place))
-            place += 1
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else n
             continue
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
-        ex = _excluded(tag, attrs, bool(article))
-        ar = tag in ("article", "main") and not article and not excluded and not ex
-        if ar:
-            articles += 1
-            article = articles
-        excluded += ex
+        here = stack[-1][1] if stack else 0
+        name, hidden, marked = _described(tag, attrs) if attrs.strip() else (tag, False, tag in MARKED)
+        skip = tag in SKIP or hidden
+        if tag not in INLINE or marked:
+            up = nodes[here]
+            # The header of an article is its own.
+            nodes.append(Node(_step(up.token, name), here, marked and not (tag == "header" and up.article and name == "header"), up.article or tag in ("article", "main"), tag in HOLDS))
+            here = len(nodes) - 1
+        skipped += skip
         links += tag == "a"
-        stack.append((tag, ex, ar))
+        stack.append((tag, here, skip))
     flush()
-    return blocks, tags, dropped
+    for node in reversed(nodes[1:]):
+        nodes[node.parent].mass += node.mass
+        nodes[node.parent].linked += node.linked
+        nodes[node.parent].holds |= node.holds
+    return nodes, blocks
 
 
 def host_of(url: str | None) -> str:
@@ -147,85 +199,163 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _token(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def page_tokens(page: str) -> dict[int, tuple[int, int]]:
-    """Token to (count, first position): tag tokens, and texts, those of articles too."""
-    blocks, tags, _ = parse(page)
-    out: dict[int, tuple[int, int]] = {}
-    for key, p in [(_token("t", t), p) for t, p in tags] + [(_token("x", b.path, b.text), len(tags)) for b in blocks]:
-        c, first = out.get(key, (0, p))
-        out[key] = (c + 1, first)
-    return out
-
-
-def host_templates(pages: DataFrame, least_pages: int = 4, share: float = 0.9) -> DataFrame:
-    """``host, template array<long>``: tokens of the valid classes of each host, in page order.
-
-    Fingerprints of occurrence vectors are aggregated map-side, so a hot host is as many rows as any
-    other. A class is frequent if it is on most pages; it is valid if its tokens occur equally often on each page.
+def goes(marked: bool, article: bool, holds: bool, mass: int, linked: int, repeated: int, whole: int) -> bool:
+    """Whether the text of a slot is not the article's: by its kind, its links, or because it comes back."""
+    if marked or not mass:
+        return marked and not (holds and mass >= WHOLE * whole)
+    return mass < WHOLE * whole and not article and (linked >= LINKS * mass or repeated >= REPEATED * mass)
+
+
+_PATH, _TEXT, _PAGE = 1, 2, 0
+_STATS = "host string, kind int, token long, parent long, v1 long, v2 long, pages long, times long, least long, most long, place long, mass long, linked long, marked boolean, article boolean, holds boolean, one long, other long"
+
+
+def token_rows(host: str, who: str, page: str) -> list[list]:
+    """Occurrences of all tokens of a page: the page itself, its elements and its texts. Last: which page, twice."""
+    same = _token("p", page)
+    nodes, blocks = parse(page)
+    found: dict[tuple[int, int], list] = {}
+    for place, x in enumerate(nodes):
+        kind = _PATH if place else _PAGE
+        f = found.setdefault((kind, x.token), [nodes[x.parent].token if place else 0, 0, place, 0, 0, x.marked, x.article, x.holds])
+        f[1] += 1
+        f[3] += x.mass
+        f[4] += x.linked
+    for b in blocks:
+        up = nodes[b.node].token
+        f = found.setdefault((_TEXT, _token("x", str(up), b.text)), [up, 0, 0, 0, 0, False, nodes[b.node].article, False])
+        f[1] += 1
+        f[3] += len(b.text)
+    rows = []
+    for (kind, token), (parent, times, place, mass, linked, marked, article, holds) in found.items():
+        h = xxhash.xxh64_intdigest(f"{who} {times}")
+        rows.append([host, kind, token, parent, h & 0xFFFFFFFF, h >> 32, 1, times, times, times, place, mass, linked, marked, article, holds, same, same])
+    return rows
+
+
+def token_stats(pages: DataFrame) -> DataFrame:
+    """Each token of each host: the fingerprint of its occurrence vector, and sums over the host's pages (a staged table).
+
+    Fingerprints are sums, so repeated rows count like others and tasks add up what they have seen first.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _STATS.split(", ")]
         for b in batches:
-            got: dict[tuple[str, int], list[int]] = {}
+            got: dict[tuple, list] = {}
             for i, url, page in zip(b["page_id"], b["url"], b["html"], strict=True):
-                host = host_of(url)
                 page = page if isinstance(page, str) else ""
-                who = f"{i} {xxhash.xxh64_hexdigest(page.encode('utf-8', 'surrogatepass'))}"
-                for t, (c, first) in [*page_tokens(page).items(), (0, (1, 0))]:
-                    g = got.setdefault((host, t), [0, 0, 0, 0])
-                    g[0] ^= _token("v", who, str(c))
-                    g[1] += 1
-                    g[2] += c
-                    g[3] += first
-            rows = [(h, t, *v) for (h, t), v in got.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "vector", "pages", "times", "place"])
-
-    tokens = pages.select("page_id", "url", "html").mapInPandas(counted, "host string, token long, vector long, pages long, times long, place long")
-    stats = stage(
-        tokens.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("place").alias("place")),
+                for r in token_rows(host_of(url), f"{i} {xxhash.xxh64_hexdigest(page.encode('utf-8', 'surrogatepass'))}", page):
+                    g = got.get(key := (r[0], r[1], r[2]))
+                    if g is None:
+                        got[key] = r
+                        continue
+                    for k in (4, 5, 6, 7, 10, 11, 12):
+                        g[k] += r[k]
+                    g[8], g[9], g[16], g[17] = min(g[8], r[8]), max(g[9], r[9]), min(g[16], r[16]), max(g[17], r[17])
+                    g[13:16] = [x or y for x, y in zip(g[13:16], r[13:16], strict=True)]
+            yield pd.DataFrame(list(got.values()), columns=names)
+
+    rows = pages.select("page_id", "url", "html").mapInPandas(counted, _STATS)
+    return stage(
+        rows.groupBy("host", "kind", "token").agg(
+            F.min("parent").alias("parent"), *[F.sum(c).alias(c) for c in ("v1", "v2", "pages", "times", "place", "mass", "linked")],
+            F.min("least").alias("least"), F.max("most").alias("most"), F.max("marked").alias("marked"), F.max("article").alias("article"), F.max("holds").alias("holds"),
+            F.min("one").alias("one"), F.max("other").alias("other"),
+        ),
         "host-tokens",
+    )
+
+
+def deduced(tokens: pd.DataFrame, of: int, whole: int) -> tuple[list[int], list[bool], list[int], list[int]]:
+    """The template of a host from its frequent tokens: element tokens, whether their slots go, order, texts."""
+    paths = tokens[tokens["kind"] == _PATH]
+    texts = tokens.loc[tokens["kind"] == _TEXT, "token"].tolist()
+    # Classes: the same vector, verified by pages, times and extremes. Large ones are template.
+    same = ["v1", "v2", "pages", "times", "least", "most"]
+    size = paths.groupby(same)["token"].transform("size")
+    valid = paths[size >= 2].sort_values(["place", "token"])
+    # What comes back on other pages counts for all elements around it.
+    up = dict(zip(paths["token"], paths["parent"], strict=True))
+    repeated = dict.fromkeys(paths["token"], 0)
+    for token, own in zip(paths["token"], paths["repeated"], strict=True):
+        while token in repeated:
+            repeated[token] += int(own)
+            token = up[token]
+    gone = [goes(*x, repeated[t], whole) for t, *x in zip(*(valid[c].tolist() for c in ("token", "marked", "article", "holds", "mass", "linked")), strict=True)]
+    once = valid[(valid["pages"] == of) & (valid["least"] == 1) & (valid["most"] == 1)]
+    return valid["token"].tolist(), gone, once["token"].tolist(), texts
+
+
+def host_templates(pages: DataFrame) -> DataFrame:
+    """One row per host with a template: ``host tokens gone once texts`` (a staged table)."""
+    stats = token_stats(pages)
+    every = stats.filter(F.col("kind") == _PAGE).select("host", F.col("pages").alias("of"), F.col("mass").alias("whole")).filter(F.col("of") >= LEAST_PAGES)
+    # Copies of one page say nothing about what comes back.
+    back = stats.filter((F.col("kind") == _TEXT) & (F.col("one") != F.col("other"))).groupBy("host", F.col("parent").alias("token")).agg(F.sum("mass").alias("repeated"))
+    # Frequent tokens of a host are at most those of two of its pages.
+    frequent = stats.filter(F.col("kind") != _PAGE).join(every, "host").filter(
+        (F.col("pages") >= LEAST_PAGES)
+        & F.when(F.col("kind") == _PATH, F.col("pages") >= F.col("of") * FREQUENT).otherwise((F.col("pages") >= F.col("of") * FREQUENT_TEXT) & (F.col("one") != F.col("other")))
     )
-    every = stats.filter("token = 0").select("host", F.col("pages").alias("of"))
-    frequent = (
-        stats.filter("token <> 0").join(every, "host").filter((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("of") * share) & (F.col("times") % F.col("pages") == 0))
-    )
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("p"), "token")).alias("tokens")).filter(F.size("tokens") >= 2)
-    return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("t")).select("host", F.transform("t", lambda x: x["token"]).alias("template"))
+    known = frequent.join(back, ["host", "token"], "left").fillna(0, ["repeated"])
+
+    def deduce(group: pd.DataFrame) -> pd.DataFrame:
+        got = deduced(group, int(group["of"].iloc[0]), int(group["whole"].iloc[0]))
+        return pd.DataFrame([(group["host"].iloc[0], *got)], columns=["host", "tokens", "gone", "once", "texts"])
+
+    return stage(known.groupBy("host").applyInPandas(deduce, "host string, tokens array<long>, gone array<boolean>, once array<long>, texts array<long>"), "templates")
 
 
-def extract_page(page: str | None, template: set[int]) -> str:
-    """The slots: blocks whose text is not template, and that are in an article or not mostly links.
+def extract_page(page: str | None, template: Template | None = None) -> str:
+    """The text of a page's slots that are the article's.
 
-    Where pages of a host are copies of each other, all their text is template and no slot is left;
-    then the blocks of articles are the text.
+    Where nothing else is left, texts that are template stay; an element that no template knows is classed by this page's text.
     """
-    blocks, _, _ = parse(page or "")
-    kept = [b.text for b in blocks if _token("x", b.path, b.text) not in template and (b.article or 2 * b.linked < len(b.text) + 1)]
-    return "\n".join(kept or [b.text for b in blocks if b.article])
+    nodes, blocks = parse(page or "")
+    if template:
+        first: dict[int, int] = {}
+        for i, x in enumerate(nodes):
+            first.setdefault(x.token, i)
+        places = [first.get(t, -1) for t in template.order]
+        if -1 in places or places != sorted(places):
+            template = None
+    gone = [False] * len(nodes)
+    for i, x in enumerate(nodes[1:], 1):
+        known = template.gone.get(x.token) if template else None
+        gone[i] = gone[x.parent] or (goes(x.marked, x.article, x.holds, x.mass, x.linked, 0, nodes[0].mass) if known is None else known)
+    left = [b for b in blocks if not gone[b.node]]
+    kept = [b for b in left if _token("x", str(nodes[b.node].token), b.text) not in template.texts] if template else left
+    return "\n".join(b.text for b in kept or left)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id url text n_chars``.
 
     Null and empty pages give an empty text. A null url belongs to the host with an empty name.
-    Repeated rows count and return once each; pages of any length are parsed whole. An empty table
-    gives an empty result.
+    Repeated rows count and return once each; pages of any length are parsed whole. Ties between tokens
+    (the same place) go by their hash. An empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
-    templates = stage(host_templates(pages), "templates")
+    templates = host_templates(pages)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     joined = pages.select("page_id", "url", "html", host.alias("host")).join(templates, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, template = None, None
+        held: dict[str, Template | None] = {}
         for b in batches:
-            texts = [extract_page(p if isinstance(p, str) else "", set(t) if t is not None else set()) for p, t in zip(b["html"], b["template"], strict=True)]
+            texts = []
+            for host, page, tokens, gone, once, same in zip(*(b[c] for c in ("host", "html", "tokens", "gone", "once", "texts")), strict=True):
+                if host != name:
+                    if host not in held:
+                        held = {} if len(held) > 256 else held
+                        held[host] = Template(dict(zip(tokens.tolist(), gone.tolist(), strict=True)), once.tolist(), set(same.tolist())) if tokens is not None else None
+                    name, template = host, held[host]
+                texts.append(extract_page(page if isinstance(page, str) else "", template))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return joined.select("page_id", "url", "html", "template").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
