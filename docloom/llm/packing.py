@@ -30,8 +30,13 @@ END_ID = 2
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 1_300_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: Words that only the tokenizer itself splits and lower-cases right.
+#: Words and texts that only the tokenizer itself splits and lower-cases right.
 ODD = re.compile(r"<\||[\x00-\x1f\x7f-\x9fΣİ]")
+ODD_TEXT = re.compile(r"<\||[\x00-\x08\x0e-\x1f\x7f-\x9fΣİ]")
+#: Signs that are one pre-token where they end a word of letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of a pre-token from which on the tokenizer merges it: rows of letters are merged in time that grows with their square.
+LONG = 64
 #: White space to Python but not to the tokenizer; such texts go to it whole.
 NOT_SPACE = re.compile(r"[\x1c-\x1f]")
 
@@ -140,17 +145,28 @@ class WordTokenizer:
         self.sub: dict[str, list[int]] = {}
         self.flat, self.starts, self.lens, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
+    def _parts(self, w: str) -> list[str] | None:
+        """Pre-tokens of a word; None if only the tokenizer finds them."""
+        if ODD.search(w):
+            return None
+        low = w if w.islower() and w.isascii() else unicodedata.normalize("NFC", w).lower()
+        return self.split(low) if unicodedata.is_normalized("NFC", low) else None
+
     def _learn(self, words: list[str]) -> None:
         parts: list[list[str] | None] = []
         for w in words:
-            body, end = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            low = body.lower()
-            if body.isalpha() and (low.isascii() or not ODD.search(w) and unicodedata.is_normalized("NFC", w) and unicodedata.is_normalized("NFC", low)):
-                parts.append([low, end] if end else [low])  # letters are one pre-token, and so is a mark behind them
-                continue
-            low = unicodedata.normalize("NFC", w).lower()
-            parts.append(None if ODD.search(w) or not unicodedata.is_normalized("NFC", low) else self.split(low))
+            body = w.rstrip(MARKS)
+            # Lower-case letters are one pre-token, and so are signs behind them.
+            if body.isascii() and body.isalpha() and body.islower() or body.isalpha() and body == body.lower() and unicodedata.is_normalized("NFC", body) and not ODD.search(w):
+                parts.append([body, w[len(body) :]] if len(body) < len(w) else [body])
+            else:
+                parts.append(self._parts(w))
         new = list({p for ps in parts if ps for p in ps if p not in self.sub})
+        # Pre-tokens of one merge table: the tokenizer's own ids of long ones are the same.
+        long = {p: self.tok.encode(p, add_special_tokens=False).ids for p in new if len(p) > LONG // 4 and len(p.encode()) > LONG}
+        if long:
+            new = [p for p in new if p not in long]
+            self.sub.update(long)
         self.sub.update(zip(new, self.merger.encode(new), strict=True))
         sub, n0 = self.sub, len(self.place)
         lists = [
@@ -173,17 +189,29 @@ class WordTokenizer:
         self.used += len(ids)
         self.place.update(zip(words, range(n0, n0 + len(words)), strict=True))
 
+    @staticmethod
+    def _words(t: str) -> list[str]:
+        if NOT_SPACE.search(t):
+            return [t]
+        if ODD_TEXT.search(t) or not unicodedata.is_normalized("NFC", t) or not unicodedata.is_normalized("NFC", low := t.lower()):
+            return t.split()
+        return low.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [[t] if NOT_SPACE.search(t) else t.split() for t in texts]
-        unknown = set(itertools.chain.from_iterable(words)) - self.place.keys()
+        # Where lower-casing is plain it is done for the whole text, so that there are fewer words to know.
+        words = [t.lower().split() if t.isascii() and not ODD_TEXT.search(t) else self._words(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        known = list(map(self.place.get, flat))
         if len(self.sub) > CACHE_WORDS // 10:
             self.sub = {}
-        if len(self.place) + len(unknown) > CACHE_WORDS:
-            self._clear()
-            unknown = set(itertools.chain.from_iterable(words))
-        if unknown:
+        if None in known:
+            unknown = {w for w, k in zip(flat, known, strict=True) if k is None}
+            if len(self.place) + len(unknown) > CACHE_WORDS:
+                self._clear()
+                unknown = set(flat)
             self._learn(list(unknown))
-        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(words)), np.int64)
+            known = list(map(self.place.__getitem__, flat))
+        at = np.array(known, np.int64)
         lens = self.lens[at].astype(np.int64)
         ids = self.flat[ragged(self.starts[at], lens)]
         ends = np.concatenate(([0], np.cumsum(lens)))[np.cumsum([len(w) for w in words], dtype=np.int64)] if words else []
