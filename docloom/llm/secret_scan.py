@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -105,11 +106,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Incompressible candidates near a sensitive word that no fixed pattern has covered."""
     out, done = [], 0
+    # Spans of one kind don't overlap; of all kinds, how far any that starts before reaches.
+    starts, reach_of, far = [], [], 0
+    for start, _, end in sorted(known):
+        far = max(far, end)
+        starts.append(start)
+        reach_of.append(far)
     for cue in cue_ends(text):
         while (m := RUN.search(text, max(cue, done), cue + REACH + 16)) and m.start() <= cue + REACH:
             s, e = m.start(), RUN.match(text, m.start()).end()
             done = e
-            if any(s < k[2] and k[0] < e for k in known):
+            if (before := bisect_left(starts, e)) and reach_of[before - 1] > s:
                 continue
             cand = text[s:e]
             # Longer than what primes it, so that a copy which its edge cuts is still seen.
