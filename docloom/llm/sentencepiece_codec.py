@@ -31,6 +31,8 @@ SIEVE_SHIFT = np.uint64(42)
 #: Score of a character that has to be spelt in bytes: below any chain of pieces over the same span.
 BYTE_SCORE = -1e12
 CACHE_WORDS = 600_000
+#: Characters from which on a word is cut where no piece spans, so that its parts advance together.
+LONG = 40
 PUNCTUATION = ",.;:!?()[]{}<>\"#$%&*+=|~^@`"
 
 
@@ -66,6 +68,7 @@ class PieceCodec:
         # No piece joins these to what stands before them, so a word may end there: fewer words to know.
         ends = set(PUNCTUATION)
         pairs = {(a, b) for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:])}
+        self.pairs = {a + b for a, b in pairs}
         while cut := {b for a, b in pairs if b in ends and a not in ends and a != SPACE}:
             ends -= cut
         e = "".join(map(re.escape, sorted(ends)))
@@ -128,8 +131,19 @@ class PieceCodec:
                 row[:, end] = np.where(hit[rows, pick], which[rows, pick], -1)
         return start, row
 
+    def _cut(self, word: str) -> list[str]:
+        """Parts of a long word that no piece spans: the best segmentation goes through every such place."""
+        ends = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)], strict=True)]
+
     def segment(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each word, which is taken as it is (spaces already marked)."""
+        parts = [self._cut(w) if len(w) > LONG else [w] for w in words]
+        known = list(dict.fromkeys(itertools.chain.from_iterable(parts)))
+        ids = dict(zip(known, self._segment(known), strict=True))
+        return [ids[p[0]] if len(p) == 1 else list(itertools.chain.from_iterable(map(ids.__getitem__, p))) for p in parts]
+
+    def _segment(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in words]
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
