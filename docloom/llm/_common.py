@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -22,11 +25,29 @@ _CACHES: dict[str, Callable[[], None]] = {}
 
 def claim_cache(name: str, clear: Callable[[], None]) -> None:
     """A Python worker serves many tasks: whoever fills a cache first empties those of other operators."""
-    for other in [k for k in _CACHES if k != name]:
+    others = [k for k in _CACHES if k != name]
+    for other in others:
         _CACHES.pop(other)()
+    if others:
+        trim()
     _CACHES[name] = clear
 
 
+def trim() -> None:
+    """Give freed memory back to the machine: idle workers stay while other stages run."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes of all elements of the runs [start, start + len), in order."""
     total = int(lens.sum())

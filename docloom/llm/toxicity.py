@@ -20,16 +20,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches, claim_cache
+from docloom.llm._common import bounded_batches, claim_cache, fresh, trim
 
-#: Labelled rows that the model is fitted on, in the order of a hash of their ids, and the most bytes of such a text.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 20_000
+#: Bounds of the fit: labelled rows, in the order of a hash of their ids; bytes of such a text; sentences that the
+#: chain is trained on, a third of them with toxic tokens.
+SAMPLE_ROWS, SAMPLE_BYTES, MAX_SENTENCES = 6000, 20_000, 15_000
 #: A feature marks tokens if it is in so many toxic documents and so many times as frequent there.
 LEAST_DOCS, LEAST_ODDS = 4, 20.0
-MAX_SENTENCES = 15_000
 REJECT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
+#: Characters of texts that are tagged together.
+TAGGED = 1 << 20
 
 
 def features(word: str) -> list[str]:
@@ -138,8 +140,15 @@ class ToxicityModel:
         return np.array([1.0, np.log1p(total), np.log1p(1000 * total / (len(p) + 20)) / 3, float(p.max(initial=0)), np.log1p(len(p)) / 5])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        tags, _ = self.tag(texts)
-        x = np.array([self.doc_features(p) for p in tags]).reshape(-1, 5)
+        x, lo = [], 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TAGGED):
+                size += len(texts[hi])
+                hi += 1
+            x += [self.doc_features(p) for p in self.tag(texts[lo:hi])[0]]
+            lo = hi
+        x = np.array(x).reshape(-1, 5)
         return 1 / (1 + np.exp(-np.clip(x @ self.doc_weights, -30, 30)))
 
     def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int]]:
@@ -154,8 +163,8 @@ class ToxicityModel:
         return out
 
 
-def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """Label tokens, train the chain, then the document score."""
+def fit(texts: list[str], labels: list[int], max_sentences: int = MAX_SENTENCES) -> ToxicityModel:
+    """Label tokens, train the chain on at most ``max_sentences``, then the document score on all texts."""
     model = ToxicityModel()
     y_docs = np.array(labels)
     n1, n0 = int(y_docs.sum()), int((1 - y_docs).sum())
@@ -191,7 +200,7 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
             if end and sentence:
                 hit = [int(y and any(f in marks for f in features(x))) for x in sentence]
                 kind = int(any(hit))
-                if kept[kind] < MAX_SENTENCES * (1 if kind else 2) // 3 and (kind or not y):
+                if kept[kind] < max_sentences * (1 if kind else 2) // 3 and (kind or not y):
                     kept[kind] += 1
                     tokens += sentence
                     truth += hit
@@ -240,10 +249,13 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def fit_on(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fit on at most SAMPLE_ROWS labelled rows outside the held-out fold.
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES, sentences: int = MAX_SENTENCES) -> ToxicityModel:
+    """Fit on a bounded sample of the labelled rows outside the held-out fold.
 
-    Labels that are null or other than 0 and 1 are ignored; of several labels of an id, toxic counts.
+    The bounds: at most ``rows`` rows (the first by a hash of their ids) with texts of at most ``text_bytes``
+    bytes, longer ones are not sampled; the chain is trained on at most ``sentences`` of their sentences.
+    Labels that are null or other than 0 and 1 are ignored; of several labels of an id, toxic counts; rows that
+    repeat a labelled id count as rows. Without labels of both kinds every text gets the score of the one kind.
     """
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -252,45 +264,63 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_ROWS)
+        .limit(rows)
     )
-    # At most SAMPLE_ROWS pairs of numbers, so this side can be sent to every executor.
-    rows = (
+    # At most that many pairs of numbers, so this side can be sent to every executor.
+    sample = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .filter(F.octet_length("text") <= SAMPLE_BYTES)
+        .filter(F.octet_length("text") <= text_bytes)
         .join(F.broadcast(picked), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(SAMPLE_ROWS)
+        .limit(rows)
         .toPandas()
     )
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    return fit(sample["text"].tolist(), sample["toxic"].tolist(), sentences)
+
+
+def _score(model: ToxicityModel):
+    """The score of a text column; a worker forgets its words after each task, since it may be idle for long."""
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.scores([t if isinstance(t, str) else "" for t in texts]))
+        model._cache.clear()
+        trim()
+
+    return scored
+
+
+def reject_toxic(docs: DataFrame, model: ToxicityModel, least: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``least``, with their columns. Null and empty texts score as no evidence."""
+    bounded_batches(docs.sparkSession)
+    name = fresh(docs, "toxic_score")
+    return docs.withColumn(name, _score(model)(F.col("text"))).filter(F.col(name) < least).drop(name)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, with_spans: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` with ``toxic_score`` (and ``toxic_spans``, of rejected texts).
 
     Nulls count as empty texts, which get the score of no evidence. Texts are scored whole, by
-    sentences; repeated rows get the same score. An empty table gives an empty result.
+    sentences; repeated rows get the same score. An empty table gives an empty result. Columns of
+    ``docs`` that have these names are replaced, all others stay as they are.
     """
     bounded_batches(docs.sparkSession)
-
     if not with_spans:
-
-        @F.pandas_udf("double")
-        def scored(texts: pd.Series) -> pd.Series:
-            plain = [t if isinstance(t, str) else "" for t in texts]
-            return pd.Series(model.scores(plain))
-
-        return docs.withColumn("toxic_score", scored(F.col("text")))
+        return docs.withColumn("toxic_score", _score(model)(F.col("text")))
 
     @F.pandas_udf("struct<score: double, spans: string>")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        plain = [t if isinstance(t, str) else "" for t in texts]
-        score = model.scores(plain)
-        spans = [",".join(f"{a}:{b}" for a, b in model.spans(t)) if s >= REJECT else "" for t, s in zip(plain, score, strict=True)]
-        return pd.DataFrame({"score": score, "spans": spans})
-
-    return docs.withColumn("_toxic", both(F.col("text"))).withColumns({"toxic_score": F.col("_toxic.score"), "toxic_spans": F.col("_toxic.spans")}).drop("_toxic")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            plain = [t if isinstance(t, str) else "" for t in texts]
+            score = model.scores(plain)
+            spans = [",".join(f"{a}:{b}" for a, b in model.spans(t)) if s >= REJECT else "" for t, s in zip(plain, score, strict=True)]
+            yield pd.DataFrame({"score": score, "spans": spans})
+        model._cache.clear()
+        trim()
+
+    name = fresh(docs, "toxic")
+    return docs.withColumn(name, both(F.col("text"))).withColumns({"toxic_score": F.col(f"{name}.score"), "toxic_spans": F.col(f"{name}.spans")}).drop(name)
 
 
 def held_out_id(doc_id: int) -> bool:
