@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._common import bounded_batches, components, mix64
-from docloom.llm.shingles import BITS, bitmaps, later_in_run, set_id, shingle_sets
+from docloom.llm.shingles import LEAST_BITS, bitmap_bits, bitmaps, folded, later_in_run, set_id, shingle_sets
 from docloom.scratch import release, shuffle_width, stage
 
 LEAF = 32
-#: Classes of a tree that one task takes whole, and of a cell of a larger tree.
+#: Classes of a tree whose candidate pairs are all sent on at once, and of a cell of a larger tree.
 WHOLE, CELL = 128, 1024
+#: Bytes of bitmaps that are compared at once.
+COMPARED = 1 << 24
 #: n-grams are read last if about so many classes hold them; at most 2^18 are, the most frequent ones.
 LEAST_FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Elements of sets in a window in which n-grams are counted, and the least count that is passed on.
 WINDOW, LEAST_LOCAL = 1 << 21, 3
 #: Elements of sets that meet in one cell of the exact count, about; prefix n-grams of a bucket.
-CELL_ELEMENTS, BUCKET_ELEMENTS = 1 << 20, 1 << 19
+CELL_ELEMENTS, BUCKET_ELEMENTS = 1 << 18, 1 << 19
 FILTER_BITS = 1 << 25
 
 
@@ -91,43 +93,67 @@ def _missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Members:
     """Classes of one tree or of many (``tree``), with what prunes them. ``left``: elements from the shared one on."""
 
-    def __init__(self, tree: np.ndarray, sizes: np.ndarray, left: np.ndarray, bits: np.ndarray, labels: np.ndarray | None, percent: int):
+    def __init__(self, tree: np.ndarray, sizes: np.ndarray, left: np.ndarray, bits: list[bytes], labels: np.ndarray | None, percent: int):
         self.order = np.lexsort((sizes, tree))
-        self.tree, self.sizes, self.left, self.bits = tree[self.order], sizes[self.order].astype(np.int64), left[self.order].astype(np.int64), bits[self.order]
+        self.tree, self.sizes, self.left = tree[self.order], sizes[self.order].astype(np.int64), left[self.order].astype(np.int64)
         self.labels = None if labels is None else labels[self.order]
         self.percent = percent
+        # Sets that can link differ in size by less than 2 if percent is above 50, and their bitmaps by one level then.
+        self.level = np.log2(bitmap_bits(self.sizes)).astype(np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # level: place of each member, bitmaps folded to it
+        self.coarse = np.zeros((len(self.order), LEAST_BITS // 64), np.uint64)
+        for level in np.unique(self.level).tolist():
+            some = np.flatnonzero(self.level == level)
+            rows = np.frombuffer(b"".join(bits[k] for k in self.order[some].tolist()), np.uint64).reshape(len(some), -1)
+            self._hold(level, some, rows)
+            self.coarse[some] = folded(rows, LEAST_BITS)
+
+    def _hold(self, level: int, some: np.ndarray, rows: np.ndarray) -> None:
+        for lower in np.unique(self.level[self.level <= level]).tolist():
+            if level - lower > 1 and self.percent > 50:
+                continue
+            place, held = self.at.get(lower, (np.full(len(self.order), -1), np.zeros((0, (1 << lower) // 64), np.uint64)))
+            place[some] = len(held) + np.arange(len(some))
+            self.at[lower] = place, np.concatenate((held, folded(rows, 1 << lower)))
 
-    def linkable(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of these pairs no bound excludes."""
+    def linkable(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these pairs no bound excludes, and the most that they can have in common."""
         ok = np.flatnonzero(may_link(self.sizes[i], self.left[i], self.sizes[j], self.left[j], self.percent))
         if self.labels is not None:
             ok = ok[self.labels[i[ok]] != self.labels[j[ok]]]
-        out = []
-        for lo in range(0, len(ok), 1 << 16):
-            k = ok[lo : lo + (1 << 16)]
-            a, b = i[k], j[k]
-            x, y = self.sizes[a] - _missing(self.bits[a], self.bits[b]), self.sizes[b] - _missing(self.bits[b], self.bits[a])
-            out.append(k[may_link(self.sizes[a], x, self.sizes[b], y, self.percent)])
-        return np.concatenate(out) if out else ok
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate pairs (indexes as given) of all trees."""
+        out, reach = [ok[:0]], [ok[:0]]
+        low = np.minimum(self.level[i[ok]], self.level[j[ok]])
+        for level in np.unique(low).tolist():
+            some = ok[low == level]
+            place, rows = self.at[level]
+            step = max(1, COMPARED * 8 >> level)
+            for lo in range(0, len(some), step):
+                k = some[lo : lo + step]
+                a, b = i[k], j[k]
+                p, q = rows[place[a]], rows[place[b]]
+                x, y = self.sizes[a] - _missing(p, q), self.sizes[b] - _missing(q, p)
+                fits = may_link(self.sizes[a], x, self.sizes[b], y, self.percent)
+                out.append(k[fits])
+                reach.append(np.minimum(x, y)[fits])
+        return np.concatenate(out), np.concatenate(reach)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidate pairs (indexes as given) of all trees, and the most that they can have in common."""
         found = []
         starts = np.flatnonzero(np.concatenate(([True], self.tree[1:] != self.tree[:-1]))) if len(self.tree) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(self.tree))
         small = np.repeat(ends - starts <= LEAF, ends - starts)
         at = np.flatnonzero(small)  # trees of one leaf, all at once
         for i, j in later_in_run(self.tree[at]):
-            k = self.linkable(at[i], at[j])
-            found.append((at[i[k]], at[j[k]]))
+            k, most = self.linkable(at[i], at[j])
+            found.append((at[i[k]], at[j[k]], most))
         for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
             if hi - lo > LEAF:
                 found += self._traversed(lo, hi)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return self.order[np.concatenate([f[0] for f in found])], self.order[np.concatenate([f[1] for f in found])]
+        i, j, most = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
+        return self.order[i], self.order[j], most
 
-    def _traversed(self, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _traversed(self, first: int, last: int) -> list[tuple[np.ndarray, ...]]:
         nodes: list[tuple] = []  # first, last, OR, AND, most left, the one label, children
 
         def build(lo: int, hi: int) -> int:
@@ -141,7 +167,7 @@ class Members:
                 one = None
                 if self.labels is not None and (self.labels[lo:hi] == self.labels[lo]).all():
                     one = int(self.labels[lo])
-                nodes.append((lo, hi, np.bitwise_or.reduce(self.bits[lo:hi]), np.bitwise_and.reduce(self.bits[lo:hi]), int(self.left[lo:hi].max()), one, kids))
+                nodes.append((lo, hi, np.bitwise_or.reduce(self.coarse[lo:hi]), np.bitwise_and.reduce(self.coarse[lo:hi]), int(self.left[lo:hi].max()), one, kids))
             return len(nodes) - 1
 
         def pruned(x: tuple, y: tuple) -> bool:
@@ -165,8 +191,8 @@ class Members:
                 a, b = (g.ravel() for g in np.meshgrid(np.arange(x[0], x[1]), np.arange(y[0], y[1]), indexing="ij"))
                 if i == j:
                     a, b = a[a < b], b[a < b]
-                k = self.linkable(a, b)
-                out.append((a[k], b[k]))
+                k, most = self.linkable(a, b)
+                out.append((a[k], b[k], most))
             elif i == j:
                 a, b = x[6]
                 todo += [(a, b), (a, a), (b, b)]
@@ -177,7 +203,7 @@ class Members:
         return out
 
 
-def _met(group: pd.DataFrame, percent: int, whole: int) -> pd.DataFrame:
+def _met(group: pd.DataFrame, percent: int, whole: int, cell: int) -> pd.DataFrame:
     """The prefix n-grams of a bucket that can matter: others have the n-gram too, of fitting size and place."""
     t, o, n, p, c = (np.frombuffer(b"".join(group[k]), k2) for k, k2 in (("tokens", np.uint64), ("owners", np.int64), ("sizes", np.int32), ("places", np.int32), ("counts", np.int32)))
     by = np.lexsort((o, t))
@@ -187,7 +213,7 @@ def _met(group: pd.DataFrame, percent: int, whole: int) -> pd.DataFrame:
     group_of = np.cumsum(run) - 1
     size = np.bincount(group_of)[group_of] if len(t) else group_of
     # A large tree's classes are dealt over buckets, so that only others know its size.
-    large = (c > whole) | (size > whole)
+    large = (c > cell) | (size > whole)
     alive = large.copy()
     few = np.flatnonzero(~large & (size > 1))
     for i, j in later_in_run(t[few]):
@@ -199,24 +225,20 @@ def _met(group: pd.DataFrame, percent: int, whole: int) -> pd.DataFrame:
     return pd.DataFrame({"token": t[k].view(np.int64), "owner": o[k], "size": n[k], "rest": n[k] - p[k], "large": large[k]})
 
 
-def _bits_of(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)
-
-
 _PAIRS = "a long, b long, size_a int, size_b int"
 
 
 def _candidates(group: pd.DataFrame, percent: int, nearest: bool = False) -> pd.DataFrame:
-    """Distinct candidate pairs of the trees of a group. ``nearest``: for each class only the one with the smallest id."""
+    """Distinct candidate pairs of the trees of a group. ``nearest``: for each class only the likeliest one."""
     owners, sizes = group["owner"].to_numpy(), group["size"].to_numpy()
     tree = np.unique(group["token"].to_numpy(), return_inverse=True)[1]
     labels = group["label"].to_numpy() if "label" in group else None
-    i, j = Members(tree, sizes, group["rest"].to_numpy(), _bits_of(group["bits"]), labels, percent).pairs()
+    i, j, most = Members(tree, sizes, group["rest"].to_numpy(), group["bits"].tolist(), labels, percent).pairs()
     if nearest and len(i):
-        a, b = np.where(owners[i] < owners[j], j, i), np.where(owners[i] < owners[j], i, j)
-        by = np.lexsort((owners[b], owners[a]))
-        head = by[np.concatenate(([True], owners[a[by]][1:] != owners[a[by]][:-1]))]
-        i, j = a[head], b[head]
+        i, j, share = np.concatenate((i, j)), np.concatenate((j, i)), np.tile(most / (sizes[i] + sizes[j] - most), 2)
+        by = np.lexsort((owners[j], -share, owners[i]))
+        head = by[np.concatenate(([True], owners[i[by]][1:] != owners[i[by]][:-1]))]
+        i, j = i[head], j[head]
     a, b = np.where(owners[i] < owners[j], i, j), np.where(owners[i] < owners[j], j, i)
     out = pd.DataFrame({"a": owners[a], "b": owners[b], "size_a": sizes[a], "size_b": sizes[b]})
     return out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
@@ -337,7 +359,7 @@ def _identified(text: DataFrame, words: int, salt: int) -> DataFrame:
             flags = bitmaps(sets)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
-                "bits": [f.tobytes() if len(s) else None for f, s in zip(flags, sets, strict=True)], "tokens": None, "counts": None,
+                "bits": [f if len(s) else None for f, s in zip(flags, sets, strict=True)], "tokens": None, "counts": None,
             })
             for s, (k, _) in zip(sets, keys, strict=True):
                 if k not in seen:
@@ -399,12 +421,12 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             if not tokens:
                 continue
             t, o, c = np.concatenate(tokens), np.concatenate(owners), np.concatenate(counts)
-            spread = mix64(o.view(np.uint64)) % (c // cell + 1).astype(np.uint64) * (c > whole)
+            spread = mix64(o.view(np.uint64)) % (c // cell + 1).astype(np.uint64) * (c > cell)
             bucket = (mix64(t ^ mix64(spread)) % np.uint64(width)).astype(np.int64)
             yield pd.DataFrame(_packed(bucket, t, o, np.concatenate(sizes), np.concatenate(places), c), columns=["bucket", "tokens", "owners", "sizes", "places", "counts"])
 
     packed = text.mapInPandas(posted, "bucket long, tokens binary, owners binary, sizes binary, places binary, counts binary")
-    postings = stage(packed.groupBy("bucket").applyInPandas(lambda g: _met(g, percent, whole), "token long, owner long, size int, rest int, large boolean"), "shingle-postings")
+    postings = stage(packed.groupBy("bucket").applyInPandas(lambda g: _met(g, percent, whole, cell), "token long, owner long, size int, rest int, large boolean"), "shingle-postings")
     del packed
     release(spark)
 
@@ -413,14 +435,13 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     trees = postings.filter("not large").join(bits, "owner").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(width)))
     pairs = stage(trees.groupBy("bucket").applyInPandas(lambda g: _candidates(g, percent), _PAIRS), "shingle-pairs")
     del trees
-    large = postings.filter("large").join(bits, "owner")
     ends = pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).union(postings.filter("large").select("owner"))
     wanted = stage(ends.distinct(), "shingle-wanted")
     sets = _sets_of(text, wanted, words, salt, "shingle-whole")
     links = _linked(pairs, sets, percent, "shingle")
     labels = components(links, "shingle")
     if not postings.filter("large").isEmpty():
-        links, labels = _large_trees(stage(large, "shingle-large"), sets, links, labels, percent)
+        labels = _large_trees(postings.filter("large").drop("large"), bits, sets, links, labels, percent)
     release(spark)
     named = classes.join(labels.withColumnsRenamed({"node": "k1", "component": "label"}), "k1", "left").select("k1", "k2", "low", F.coalesce("label", "k1").alias("label"))
     low = named.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -430,50 +451,50 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
-def _large_trees(large: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and labels after the trees that are too large for a task: ``token owner size rest bits``."""
+def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels after the trees that are too large for a task: ``token owner size rest``."""
     counts = stage(large.groupBy("token").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "tree-sizes")
-    placed = stage(large.join(counts, "token"), "tree-members")
+    flags = stage(bits.join(large.select("owner").distinct(), "owner"), "tree-bits")
 
-    def labelled() -> DataFrame:
-        return stage(
-            placed.join(labels.withColumnsRenamed({"node": "owner", "component": "label"}), "owner", "left").withColumn("label", F.coalesce("label", "owner")), "tree-labels"
-        )
+    def labelled() -> tuple[DataFrame, DataFrame]:
+        """The members with their labels, without and with their bitmaps."""
+        known = labels.withColumnsRenamed({"node": "owner", "component": "label"})
+        plain = large.join(known, "owner", "left").withColumn("label", F.coalesce("label", "owner"))
+        info = flags.join(known, "owner", "left").withColumn("label", F.coalesce("label", "owner"))
+        return plain, large.join(counts, "token").join(info, "owner")
 
-    def open_labels(now: DataFrame) -> int:
-        return now.groupBy("token", "label").agg(F.lit(1)).groupBy("token").count().filter("count > 1").agg(F.sum("count")).first()[0] or 0
+    def apart() -> int:
+        """How many labels there are in trees that have several."""
+        return plain.groupBy("token", "label").agg(F.lit(1)).groupBy("token").count().filter("count > 1").agg(F.sum("count")).first()[0] or 0
 
-    now = labelled()
-    before, turn = open_labels(now), 0
+    plain, now = labelled()
+    before, turn = apart(), 0
     while before:
         cell = F.pmod(F.xxhash64("owner", F.lit(turn)), F.col("parts")).cast("int")
         near = now.withColumn("cell", cell).groupBy("token", "cell").applyInPandas(lambda g: _candidates(g, percent, nearest=True), _PAIRS)
-        links = stage(links.union(_linked(near, sets, percent, f"tree-{turn}")).distinct(), "tree-links")
+        links = stage(links.union(_linked(near, sets, percent, f"tree-{turn}")).distinct(), "tree-edges")
         labels, turn = components(links, "tree"), turn + 1
-        now = labelled()
-        left = open_labels(now)
-        if left > 0.8 * before:
-            before = left
+        plain, now = labelled()
+        was, before = before, apart()
+        if before > 0.9 * was:
             break
-        before = left
     if not before:
-        return links, labels
+        return labels
     # What is still apart: of each tree all but the classes of its largest label meet everyone.
-    shares = now.groupBy("token", "label").count()
+    shares = plain.groupBy("token", "label").count()
     top = stage(
         shares.groupBy("token").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("labels"))
         .filter("labels > 1")
         .select("token", F.col("top.label").alias("top"), F.ceil(F.col("top.count") / CELL).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.count")) / CELL).cast("int").alias("others")),
         "tree-tops",
     )
-    apart = now.drop("parts").join(top, "token").withColumn("main", F.col("label") == F.col("top"))
+    rest = now.drop("parts").join(top, "token").withColumn("main", F.col("label") == F.col("top"))
     place = F.when(F.col("main"), F.pmod(F.xxhash64("owner"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("owner"), F.col("others")) + F.col("tops")).cast("int")
     others = F.sequence(F.col("tops"), F.col("tops") + F.col("others") - 1)
     each = F.when(F.col("main"), others).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
-    dealt = apart.withColumn("place", place).withColumn("other", F.explode(each)).withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
+    dealt = rest.withColumn("place", place).withColumn("other", F.explode(each)).withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
     every = dealt.select("token", "owner", "size", "rest", "bits", "label", "p", "q").groupBy("token", "p", "q").applyInPandas(lambda g: _candidates(g, percent), _PAIRS)
-    links = stage(links.union(_linked(every, sets, percent, "tree-rest")).distinct(), "tree-links")
-    return links, components(links, "tree")
+    return components(stage(links.union(_linked(every, sets, percent, "tree-rest")).distinct(), "tree-edges"), "tree")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

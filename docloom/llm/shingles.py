@@ -11,7 +11,8 @@ from docloom.llm._common import mix64, ragged
 WORD_BASE = 0x9E3779B97F4A7C15
 #: Bytes that are hashed together; texts are gathered up to this size, longer ones go block by block.
 BLOCK_BYTES = 1 << 19
-BITS = 1024
+#: Bits of a set's bitmap, by its size.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 _MASK = (1 << 64) - 1
 _INVERSE = pow(WORD_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -102,18 +103,35 @@ def set_id(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``BITS`` bits for each set, as 64-bit words."""
-    out = np.zeros((len(sets), BITS // 64), np.uint64)
-    for lo in range(0, len(sets), 512):
-        some = sets[lo : lo + 512]
-        grid = np.zeros((len(some), BITS), bool)
-        if some:
-            grid[np.repeat(np.arange(len(some)), [len(s) for s in some]), (np.concatenate(some) % np.uint64(BITS)).astype(np.int64)] = True
-        out[lo : lo + len(some)] = np.packbits(grid, axis=1, bitorder="little").view(np.uint64)
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two from twice its size on, within bounds."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap of each set, an element at its value modulo the bits: halves of one, combined, are one of half the bits."""
+    out: list[bytes] = [b""] * len(sets)
+    bits = bitmap_bits(np.array([len(s) for s in sets], np.int64))
+    for width in np.unique(bits).tolist():
+        where = np.flatnonzero(bits == width)
+        step = max(1, (1 << 22) // width)
+        for lo in range(0, len(where), step):
+            some = where[lo : lo + step].tolist()
+            grid = np.zeros((len(some), width), bool)
+            grid[np.repeat(np.arange(len(some)), [len(sets[i]) for i in some]), (np.concatenate([sets[i] for i in some]) % np.uint64(width)).astype(np.int64)] = True
+            for i, row in zip(some, np.packbits(grid, axis=1, bitorder="little"), strict=True):
+                out[i] = row.tobytes()
     return out
 
 
+def folded(rows: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as bitmaps of fewer bits."""
+    while rows.shape[1] * 64 > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
 def later_in_run(run: np.ndarray, most: int = 1 << 21):
     """Index pairs (i, j), i before j, within runs of equal values, some at a time."""
     n = len(run)

@@ -69,8 +69,9 @@ def test_tree_prunes_no_link():
     sizes = np.array([len(s) for s in sets])
     for labels in (None, np.arange(len(sets)) % 2):
         want = {(i, j) for i, j in links if labels is None or labels[i] != labels[j]}
-        i, j = ngram_join.Members(np.zeros(len(sets), int), sizes, sizes, ngram_join.bitmaps(sets), labels, 85).pairs()
+        i, j, most = ngram_join.Members(np.zeros(len(sets), int), sizes, sizes, ngram_join.bitmaps(sets), labels, 85).pairs()
         got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
+        assert all(len(np.intersect1d(sets[a], sets[b])) <= m for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True))
         assert want <= got and len(got) < len(sets) * (len(sets) - 1) // 4
 
 
