@@ -124,12 +124,18 @@ def doc_anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, n
         yield flush()
 
 
-def _pack(bucket: np.ndarray, n: int, *columns: np.ndarray) -> list[tuple]:
-    """Rows (bucket, packed columns) for each bucket that has any."""
+def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket, and (bucket, first, last) of each bucket that has any, in time that the number of buckets has no part in."""
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(n + 1))
-    full = np.flatnonzero(cuts[1:] > cuts[:-1])
-    return [(int(b), *(c[by[cuts[b] : cuts[b + 1]]].tobytes() for c in columns)) for b in full]
+    there = bucket[by]
+    first = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1]))) if len(by) else np.zeros(0, np.int64)
+    return by, list(zip(there[first].tolist(), first.tolist(), np.append(first[1:], len(by)).tolist(), strict=True))
+
+
+def _pack(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Rows (bucket, packed columns) for each bucket that has any."""
+    by, cuts = _cuts(bucket)
+    return [(b, *(c[by[p:q]].tobytes() for c in columns)) for b, p, q in cuts]
 
 
 class Contexts:
@@ -343,9 +349,9 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 head = np.flatnonzero(new)
                 told = np.flatnonzero(~new | np.repeat(twice, np.diff(np.append(head, len(g)))))
                 told = told[np.concatenate(([True], (g[told][1:] != g[told][:-1]) | (o[told][1:] != o[told][:-1])))] if len(told) else told
-                sent = [(x, False, y, z) for x, y, z in _pack((g[head] % np.uint64(width)).astype(np.int64), width, g[head], o[head])]
+                sent = [(x, False, y, z) for x, y, z in _pack((g[head] % np.uint64(width)).astype(np.int64), g[head], o[head])]
                 # Known to be repeated: spread over buckets, since they are only passed on.
-                sent += [(x, True, y, z) for x, y, z in _pack(_bucket_of(o[told], width), width, g[told], o[told])]
+                sent += [(x, True, y, z) for x, y, z in _pack(_bucket_of(o[told], width), g[told], o[told])]
                 yield pd.DataFrame(sent, columns=["bucket", "known", "grams", "owners"])
 
     def counted(group: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +364,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         twice = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(g) else np.zeros(0, bool)
         g = np.concatenate((g[twice], np.frombuffer(b"".join(known["grams"]), np.uint64)))
         o = np.concatenate((o[twice], np.frombuffer(b"".join(known["owners"]), np.int64)))
-        return pd.DataFrame(_pack(_bucket_of(o, groups), groups, g, o), columns=["part", "grams", "owners"])
+        return pd.DataFrame(_pack(_bucket_of(o, groups), g, o), columns=["part", "grams", "owners"])
 
     packed = base.select("ord", "data").mapInPandas(anchored, "bucket int, known boolean, grams binary, owners binary")
     # The plans behind staged tables are not kept, so that their shuffle files can go.
@@ -390,15 +396,13 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 near = gathered(flat, offset[who] + at - left, left + right)
                 cov, lo, hi, first = repeated_intervals(near, gram, owner[who], at, left, right, length, only_equal=True)
                 o, s, e = _merge_by_owner(owner[who[cov]], lo, hi)
-                rows += [(b, True, x, y, z, None, None) for b, x, y, z in _pack(_bucket_of(o, width), width, o, s, e)]
+                rows += [(b, True, x, y, z, None, None) for b, x, y, z in _pack(_bucket_of(o, width), o, s, e)]
                 spot = np.cumsum(left + right) - left - right
-                bucket = (gram[first] % np.uint64(width)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(width + 1))
-                for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                    k = first[by[cuts[b] : cuts[b + 1]]]
+                by, cuts = _cuts((gram[first] % np.uint64(width)).astype(np.int64))
+                for b, p, q in cuts:
+                    k = first[by[p:q]]
                     sides = np.stack((left[k], right[k]), 1).astype(np.uint8)
-                    rows.append((int(b), False, owner[who[k]].tobytes(), at[k].tobytes(), None, sides.tobytes(), gathered(near, spot[k], left[k] + right[k]).tobytes()))
+                    rows.append((b, False, owner[who[k]].tobytes(), at[k].tobytes(), None, sides.tobytes(), gathered(near, spot[k], left[k] + right[k]).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "done", "owners", "x", "y", "sides", "bytes"])
 
     def sorted_(group: pd.DataFrame) -> pd.DataFrame:
@@ -414,7 +418,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             cov, s, e, _ = repeated_intervals(near, gram, owner, at, sides[:, 0], sides[:, 1], length)
             o, lo, hi = np.concatenate((o, owner[cov])), np.concatenate((lo, s)), np.concatenate((hi, e))
         o, lo, hi = _merge_by_owner(o, lo, hi)
-        return pd.DataFrame(_pack(_bucket_of(o, groups), groups, o, lo, hi), columns=["part", "owners", "starts", "ends"])
+        return pd.DataFrame(_pack(_bucket_of(o, groups), o, lo, hi), columns=["part", "owners", "starts", "ends"])
 
     contexts = dealt.groupBy("part").cogroup(repeated.groupBy("part")).applyInPandas(surrounded, "bucket int, done boolean, owners binary, x binary, y binary, sides binary, bytes binary")
     intervals = stage(contexts.groupBy("bucket").applyInPandas(sorted_, "part int, owners binary, starts binary, ends binary"), "repeated-intervals")
