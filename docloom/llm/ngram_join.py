@@ -9,8 +9,8 @@ follow in them. Each tree is traversed against itself, and pairs of nodes are pr
 reach. What is left of all trees are candidate pairs, which are counted exactly on the whole sets.
 
 Nothing is left to chance: the order of the n-grams decides how much work there is, not what is found.
-Trees with very many classes (copies of one text that all differ a little) are cut into cells. Rounds
-of cells under changing deals first link most of their classes; then every pair of classes that is
+Trees with very many classes (copies of one text that all differ a little) are cut into cells. Their
+likeliest pairs are counted first and connect most of their classes; then every pair of classes that is
 not connected by then meets, in one cell each.
 """
 
@@ -29,7 +29,7 @@ from docloom.scratch import release, shuffle_width, stage
 
 LEAF = 32
 #: Classes of a tree whose candidate pairs are all sent on at once, and of a cell of a larger tree.
-WHOLE, CELL = 128, 1024
+WHOLE, CELL = 128, 2048
 #: Bytes of bitmaps that are compared at once.
 COMPARED = 1 << 24
 #: n-grams are read last if about so many classes hold them; at most 2^18 are, the most frequent ones.
@@ -228,17 +228,39 @@ def _met(group: pd.DataFrame, percent: int, whole: int, cell: int) -> pd.DataFra
 _PAIRS = "a long, b long, size_a int, size_b int"
 
 
-def _candidates(group: pd.DataFrame, percent: int, nearest: bool = False) -> pd.DataFrame:
-    """Distinct candidate pairs of the trees of a group. ``nearest``: for each class only the likeliest one."""
+def _likeliest(i: np.ndarray, j: np.ndarray, share: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Indexes of a spanning forest of these pairs over labels, of the likeliest ones: each round takes every part's best pair."""
+    by = np.argsort(-share, kind="stable")
+    part = np.unique(labels, return_inverse=True)[1]
+    taken = []
+    while len(by := by[part[i[by]] != part[j[by]]]):
+        ends = np.stack((part[i[by]], part[j[by]]), 1).ravel()
+        best = np.unique(np.unique(ends, return_index=True)[1] // 2)
+        taken.append(by[best])
+        up = np.arange(part.max() + 1)
+        a, b = part[i[by[best]]], part[j[by[best]]]
+        while True:
+            low = np.minimum(up[a], up[b])
+            new = up.copy()
+            np.minimum.at(new, up[a], low)
+            np.minimum.at(new, up[b], low)
+            new = new[new]
+            if (new == up).all():
+                break
+            up = new
+        part = up[part]
+    return np.concatenate(taken) if taken else by
+
+
+def _candidates(group: pd.DataFrame, percent: int, forest: bool = False) -> pd.DataFrame:
+    """Distinct candidate pairs of the trees of a group. ``forest``: of one tree, the likeliest that connect what can be connected."""
     owners, sizes = group["owner"].to_numpy(), group["size"].to_numpy()
     tree = np.unique(group["token"].to_numpy(), return_inverse=True)[1]
     labels = group["label"].to_numpy() if "label" in group else None
     i, j, most = Members(tree, sizes, group["rest"].to_numpy(), group["bits"].tolist(), labels, percent).pairs()
-    if nearest and len(i):
-        i, j, share = np.concatenate((i, j)), np.concatenate((j, i)), np.tile(most / (sizes[i] + sizes[j] - most), 2)
-        by = np.lexsort((owners[j], -share, owners[i]))
-        head = by[np.concatenate(([True], owners[i[by]][1:] != owners[i[by]][:-1]))]
-        i, j = i[head], j[head]
+    if forest:
+        k = _likeliest(i, j, most / (sizes[i] + sizes[j] - most), labels)
+        i, j = i[k], j[k]
     a, b = np.where(owners[i] < owners[j], i, j), np.where(owners[i] < owners[j], j, i)
     out = pd.DataFrame({"a": owners[a], "b": owners[b], "size_a": sizes[a], "size_b": sizes[b]})
     return out[out["a"] != out["b"]].drop_duplicates(["a", "b"])
@@ -258,21 +280,24 @@ def _counted(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFr
     return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, label: str, few: bool = False) -> DataFrame:
     """``a b`` of the candidate pairs that link, counted on whole sets (a staged table).
 
     A pair meets at the smallest class that either side has a candidate in, so that sets of copies
-    move once; what meets in one place is dealt by size.
+    move once; what meets in one place is dealt by size. ``few``: no class has many pairs, and each meets at its first.
     """
     pairs = stage(pairs.distinct(), f"{label}-pairs")
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    least = stage(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("m")), f"{label}-least")
-    met = pairs.join(least.withColumnsRenamed({"x": "a", "m": "ma"}), "a").join(least.withColumnsRenamed({"x": "b", "m": "mb"}), "b")
-    met = stage(met.select("a", "b", "size_a", "size_b", F.least("ma", "mb").alias("cell")), f"{label}-met")
-    weight = met.select("cell", F.col("a").alias("x"), F.col("size_a").alias("n")).union(met.select("cell", "b", "size_b")).distinct()
-    parts = stage(weight.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_ELEMENTS).cast("int").alias("parts")), f"{label}-parts")
-    deal = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
-    dealt = stage(met.join(parts, "cell").select("cell", deal("a").alias("p"), deal("b").alias("q"), "a", "b"), f"{label}-dealt")
+    if few:
+        dealt = pairs.select(F.col("a").alias("cell"), F.lit(0).alias("p"), F.lit(0).alias("q"), "a", "b")
+    else:
+        ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        least = stage(ends.groupBy("x").agg(F.least("x", F.min("y")).alias("m")), f"{label}-least")
+        met = pairs.join(least.withColumnsRenamed({"x": "a", "m": "ma"}), "a").join(least.withColumnsRenamed({"x": "b", "m": "mb"}), "b")
+        met = stage(met.select("a", "b", "size_a", "size_b", F.least("ma", "mb").alias("cell")), f"{label}-met")
+        weight = met.select("cell", F.col("a").alias("x"), F.col("size_a").alias("n")).union(met.select("cell", "b", "size_b")).distinct()
+        parts = stage(weight.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_ELEMENTS).cast("int").alias("parts")), f"{label}-parts")
+        deal = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+        dealt = stage(met.join(parts, "cell").select("cell", deal("a").alias("p"), deal("b").alias("q"), "a", "b"), f"{label}-dealt")
     key = ["cell", "p", "q"]
     needed = dealt.select("cell", "p", "q", F.col("a").alias("owner")).union(dealt.select("cell", "p", "q", "b")).distinct().toDF("at", "at_p", "at_q", "owner")
     there = needed.join(sets.hint("merge"), "owner").select("at", "at_p", "at_q", "owner", "elements")
@@ -468,18 +493,20 @@ def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, links: Data
         return plain.groupBy("token", "label").agg(F.lit(1)).groupBy("token").count().filter("count > 1").agg(F.sum("count")).first()[0] or 0
 
     plain, now = labelled()
-    before, turn = apart(), 0
-    while before:
+    cells = counts.agg(F.max("parts")).first()[0]
+    before, turn = None, 0
+    while True:
+        # The likeliest pairs of each cell connect nearly all that links. Where a tree has several cells, other deals follow.
         cell = F.pmod(F.xxhash64("owner", F.lit(turn)), F.col("parts")).cast("int")
-        near = now.withColumn("cell", cell).groupBy("token", "cell").applyInPandas(lambda g: _candidates(g, percent, nearest=True), _PAIRS)
-        links = stage(links.union(_linked(near, sets, percent, f"tree-{turn}")).distinct(), "tree-edges")
+        near = now.withColumn("cell", cell).groupBy("token", "cell").applyInPandas(lambda g: _candidates(g, percent, forest=True), _PAIRS)
+        links = stage(links.union(_linked(near, sets, percent, f"tree-{turn}", few=True)).distinct(), "tree-edges")
         labels, turn = components(links, "tree"), turn + 1
         plain, now = labelled()
+        if cells == 1:
+            break
         was, before = before, apart()
-        if before > 0.9 * was:
+        if not before or was and before > 0.9 * was:
             break
-    if not before:
-        return labels
     # What is still apart: of each tree all but the classes of its largest label meet everyone.
     shares = plain.groupBy("token", "label").count()
     top = stage(
@@ -494,7 +521,7 @@ def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, links: Data
     each = F.when(F.col("main"), others).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
     dealt = rest.withColumn("place", place).withColumn("other", F.explode(each)).withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
     every = dealt.select("token", "owner", "size", "rest", "bits", "label", "p", "q").groupBy("token", "p", "q").applyInPandas(lambda g: _candidates(g, percent), _PAIRS)
-    return components(stage(links.union(_linked(every, sets, percent, "tree-rest")).distinct(), "tree-edges"), "tree")
+    return components(stage(links.union(_linked(every, sets, percent, "tree-rest", few=True)).distinct(), "tree-edges"), "tree")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
