@@ -156,8 +156,18 @@ def locales(xml: str | bytes) -> dict:
     return {"default": root.get("default", ""), "locales": [{"code": e.get("code") or e.get("name", ""), "name": e.get("name") or e.get("desc", ""), "settings": {_tag(c): _deep(c) for c in e}} for e in _all(root, "locale")]}
 
 
+def locale_rows(xml: str | bytes) -> list[dict]:
+    found = locales(xml)
+    return [r | {"is_default": r["code"] == found["default"]} for r in found["locales"]]
+
+
 def connections(xml: str | bytes) -> list[dict]:
-    return [{"name": e.get("name", ""), "type": e.get("type") or _tag(e), "uri": _deep(_child(e, "uri", "wsdlAddress"))} for e in parse(xml).iter() if _tag(e) == "connection" or _tag(e).endswith("Connection")]
+    """Connections with their address; other children are properties. Nothing is opened."""
+    return [
+        {"name": e.get("name", ""), "type": e.get("type") or _tag(e), "uri": _deep(_child(e, "uri", "wsdlAddress")), "properties": {_tag(c): _deep(c) for c in e if _tag(c) not in ("uri", "wsdlAddress")}}
+        for e in parse(xml).iter()
+        if _tag(e) == "connection" or _tag(e).endswith("Connection")
+    ]
 
 
 def styles(xml: str | bytes) -> list[dict]:
@@ -179,3 +189,89 @@ def questions_xml(questions: list[dict]) -> str:
             for o in q["options"]:
                 ET.SubElement(items, "text").text = o
     return ET.tostring(root, encoding="unicode")
+
+
+def rules_xml(rules: list[dict]) -> str:
+    """A template packet of rules, each inside its field, so that reading gives them back."""
+    root = ET.Element("template")
+    fields: dict[str, ET.Element] = {}
+    for r in rules:
+        if r["field"] not in fields:
+            fields[r["field"]] = ET.SubElement(root, "field", name=r["field"])
+        e = ET.SubElement(fields[r["field"]], r["kind"])
+        if r.get("activity"):
+            e.set("activity", r["activity"])
+        ET.SubElement(e, "script").text = r.get("script") or ""
+    return ET.tostring(root, encoding="unicode")
+
+
+def datasets_xml(values: list[dict]) -> str:
+    """A datasets packet of values by path; groups may hold groups."""
+    root = ET.Element("datasets")
+    data = ET.SubElement(root, "data")
+    groups: dict[tuple[str, ...], ET.Element] = {(): data}
+    for v in values:
+        path = tuple((v.get("path") or v["name"])[: -len(v["name"])].rstrip(".").split(".")) if (v.get("path") or v["name"]) != v["name"] else ()
+        for i in range(len(path)):
+            if path[: i + 1] not in groups:
+                groups[path[: i + 1]] = ET.SubElement(groups[path[:i]], path[i])
+        ET.SubElement(ET.SubElement(groups[path], "field", name=v["name"]), "value").text = v.get("value") or ""
+    return ET.tostring(root, encoding="unicode")
+
+
+def from_attributes(rows: list[dict]) -> str:
+    """The packet whose ``attributes`` these are, in their order."""
+    made: dict[str, ET.Element] = {}
+
+    def element(path: str) -> ET.Element:
+        if path not in made:
+            up, _, name = path.rpartition("/")
+            tag = name.split("[")[0]
+            made[path] = ET.SubElement(element(up), tag) if up else ET.Element(tag)
+        return made[path]
+
+    for r in rows:
+        e = element(r["path"])
+        if r.get("attribute"):
+            e.set(r["attribute"], r["value"])
+        else:
+            e.text = r["value"]
+    return ET.tostring(next((e for p, e in made.items() if "/" not in p), ET.Element("config")), encoding="unicode")
+
+
+def _pairs(m) -> list[tuple[str, str]]:
+    return list(m.items()) if isinstance(m, dict) else [tuple(x) for x in (m if m is not None else ())]
+
+
+def locales_xml(rows: list[dict]) -> str:
+    root = ET.Element("localeSet")
+    for r in rows:
+        if r.get("is_default"):
+            root.set("default", r["code"])
+        e = ET.SubElement(root, "locale", code=r["code"], name=r.get("name") or "")
+        for k, v in _pairs(r.get("settings")):
+            ET.SubElement(e, k).text = v
+    return ET.tostring(root, encoding="unicode")
+
+
+def connections_xml(rows: list[dict]) -> str:
+    root = ET.Element("connectionSet")
+    for r in rows:
+        e = ET.SubElement(root, "connection", name=r["name"], type=r.get("type") or "")
+        ET.SubElement(e, "uri").text = r.get("uri") or ""
+        for k, v in _pairs(r.get("properties")):
+            ET.SubElement(e, k).text = v
+    return ET.tostring(root, encoding="unicode")
+
+
+def styles_xml(rows: list[dict]) -> str:
+    root = ET.Element("stylesheet")
+    for r in rows:
+        e = ET.SubElement(root, "style", name=r["name"], type=r.get("type") or "")
+        parts: dict[str, ET.Element] = {}
+        for k, v in _pairs(r.get("properties")):
+            tag, _, attribute = k.partition(".")
+            if tag not in parts:
+                parts[tag] = ET.SubElement(e, tag)
+            parts[tag].set(attribute, v)
+    return ET.tostring(root, encoding="unicode")

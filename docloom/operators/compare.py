@@ -29,14 +29,20 @@ def _keyed(a: DataFrame, b: DataFrame, kind: str, keys: list[str], value: Column
 
 
 def compare(left: DataFrame, right: DataFrame, options: CompareOptions = CompareOptions()) -> DataFrame:
-    """Differences of pairs of files ``pair_id, file_id, content``: metadata, pages, text, graphics, images, annotations, outline, fields."""
+    """Differences of pairs of files ``pair_id, file_id, content``: metadata, pages, text, graphics, images, annotations, outline, fields.
+
+    Each file is read once. Kinds and metadata fields that the options ignore are left out.
+    """
+    read = ["metadata", "pages", "text_elements", "graphics", "annotations", "bookmarks", "fields", "image_refs", "images"]
+    once = {id(f): documents.parsed(f, read) for f in (left, right)}
 
     def of(files: DataFrame, name: str) -> DataFrame:
-        return documents.table(files, name).join(files.select("file_id", "pair_id"), "file_id")
+        return documents.table(once[id(files)], name).join(files.select("file_id", "pair_id"), "file_id")
 
     both = lambda name: (of(left, name), of(right, name))
     key = lambda c: F.transform(F.col(c), lambda v: F.floor(v * 10 + 0.5).cast("long")).cast("string")
     names = ["title", "author", "subject", "keywords", "creator", "producer", "creation_date", "modified_date", "version"]
+    names = [n for n in names if n not in options.ignore_metadata]
     flat = lambda df: df.select("pair_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))).alias("field", "v"))
     m = [flat(t) for t in both("metadata")]
     parts = [
@@ -58,7 +64,7 @@ def compare(left: DataFrame, right: DataFrame, options: CompareOptions = Compare
     out = text.select(*COLUMNS)
     for p in parts:
         out = out.unionByName(p.select(*COLUMNS))
-    return out
+    return out.filter(~F.col("kind").isin(*options.ignore_kinds)) if options.ignore_kinds else out
 
 
 def images(a_refs: DataFrame, b_refs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -84,3 +90,13 @@ def report(pairs: DataFrame, differences: DataFrame) -> DataFrame:
     total = F.coalesce("total", F.lit(0))
     body = F.array_join(F.concat(F.array(F.format_string("differences: %d", total.cast("long"))), F.coalesce("lines", F.array().cast("array<string>"))), "\n")
     return pairs.select("pair_id").distinct().join(lines, "pair_id", "left").select("pair_id", (total == 0).alias("identical"), body.alias("report"))
+
+
+def report_json(pairs: DataFrame, differences: DataFrame) -> DataFrame:
+    """``pair_id, json``: whether the files of a pair are the same, how many differences there are, and all of them in a fixed order."""
+    rows = F.sort_array(F.collect_list(F.struct(*[c for c in COLUMNS if c != "pair_id"])))
+    found = differences.groupBy("pair_id").agg(rows.alias("differences"))
+    j = pairs.select("pair_id").distinct().join(found, "pair_id", "left")
+    n = F.coalesce(F.size("differences"), F.lit(0))
+    body = F.struct((n == 0).alias("identical"), n.alias("total"), F.coalesce("differences", F.array().cast(dict(found.dtypes)["differences"])).alias("differences"))
+    return j.select("pair_id", F.to_json(body, {"pretty": "true"}).alias("json"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +58,13 @@ class CompareOptions:
     tolerance: float = 5.0
     detect_moves: bool = True
     sensitivity: str = "normal"
+    #: What of two texts at one place is compared: element (the texts), word (their words), char (their characters).
     granularity: str = "element"
+    #: How far apart the same text may stand and count as moved; None: any distance.
+    move_distance: float | None = None
+    #: Metadata fields and kinds of differences that don't count.
+    ignore_metadata: tuple[str, ...] = ()
+    ignore_kinds: tuple[str, ...] = ()
 
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +76,10 @@ def plain(text: str, o: CompareOptions) -> str:
     return "".join(text.split(" ")).translate(str.maketrans("", "", "\t\r\n")) if o.ignore_space else text
 
 
+def plain_case(text: str, o: CompareOptions) -> str:
+    return text.translate(ASCII_LOWER) if o.ignore_case else text
+
+
 def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
     """A longest common subsequence as index pairs; of equal moves back, the one that drops from b.
 
@@ -108,12 +119,33 @@ def change_ratio(a: str, b: str) -> float:
     return (sum(p != q for p, q in zip(x, y, strict=False)) + abs(len(x) - len(y))) / max(len(x), len(y))
 
 
+def split_words(text: str) -> list[str]:
+    return re.findall("[A-Za-z0-9]+", text)
+
+
+def word_ratio(a: str, b: str) -> float:
+    """Share of words that are in no longest common sequence of both."""
+    x, y = split_words(a), split_words(b)
+    return 1 - len(lcs_pairs(x, y)) / max(len(x), len(y)) if x or y else 0.0
+
+
 def align(left: list[dict], right: list[dict], o: CompareOptions) -> list[dict]:
     """Differences of two pages of text elements (dicts with text, x, y, font_name, font_size).
 
     Phases, each one-to-one in reading order: the same text at the same place; another text at the
     same place unless its text stands elsewhere; the same text in sequence (LCS) or moved; the rest.
+    Texts at one place differ by ``granularity``: where their words (or characters, as far as
+    they count) are the same they are equal.
     """
+    if o.granularity not in ("element", "word", "char"):
+        raise ValueError(f"no granularity {o.granularity}")
+
+    def changed(i: int, j: int) -> list[dict]:
+        a, b = plain_case(left[i]["text"], o), plain_case(right[j]["text"], o)
+        if o.granularity == "word" and split_words(a) == split_words(b) or o.granularity == "char" and plain(a, o) == plain(b, o):
+            return []
+        return [{"kind": "modified", "left_idx": i, "right_idx": j, "ratio": word_ratio(a, b) if o.granularity == "word" else change_ratio(left[i]["text"], right[j]["text"])}]
+
     key = [[(plain(t["text"], o), t.get("font_name"), t.get("font_size")) for t in side] for side in (left, right)]
     free = [dict.fromkeys(range(len(left))), dict.fromkeys(range(len(right)))]
     near = lambda i, j: abs(left[i]["x"] - right[j]["x"]) < o.tolerance and abs(left[i]["y"] - right[j]["y"]) < o.tolerance
@@ -134,11 +166,13 @@ def align(left: list[dict], right: list[dict], o: CompareOptions) -> list[dict]:
     for i in list(free[0]):
         j = next((j for j in around(i) if key[1][j][0] not in waiting[0] and key[0][i][0] not in waiting[1]), None)
         if j is not None:
-            out.append({"kind": "modified", "left_idx": i, "right_idx": j, "ratio": change_ratio(left[i]["text"], right[j]["text"])})
+            out += changed(i, j)
             del free[0][i], free[1][j]
     a, b = list(free[0]), list(free[1])
     for p, q in lcs_pairs([key[0][i] for i in a], [key[1][j] for j in b]):
         i, j = a[p], b[q]
+        if o.detect_moves and o.move_distance is not None and max(abs(left[i]["x"] - right[j]["x"]), abs(left[i]["y"] - right[j]["y"])) > o.move_distance:
+            continue
         if o.detect_moves and not near(i, j):
             out.append({"kind": "moved", "left_idx": i, "right_idx": j, "ratio": 0.0})
         del free[0][i], free[1][j]
@@ -148,12 +182,16 @@ def align(left: list[dict], right: list[dict], o: CompareOptions) -> list[dict]:
             by_text.setdefault(key[1][j][0], []).append(j)
         for i in list(free[0]):
             if options := by_text.get(key[0][i][0]):
-                j = options.pop(0)
+                far = lambda j: max(abs(left[i]["x"] - right[j]["x"]), abs(left[i]["y"] - right[j]["y"]))  # noqa: B023, E731
+                at = next((k for k, j in enumerate(options) if o.move_distance is None or far(j) <= o.move_distance), None)
+                if at is None:
+                    continue
+                j = options.pop(at)
                 out.append({"kind": "moved", "left_idx": i, "right_idx": j, "ratio": 0.0})
                 del free[0][i], free[1][j]
     for i in list(free[0]):
         if (j := next(iter(around(i)), None)) is not None:
-            out.append({"kind": "modified", "left_idx": i, "right_idx": j, "ratio": change_ratio(left[i]["text"], right[j]["text"])})
+            out += changed(i, j)
             del free[0][i], free[1][j]
     out += [{"kind": "removed", "left_idx": i, "right_idx": None, "ratio": 1.0} for i in free[0]]
     out += [{"kind": "added", "left_idx": None, "right_idx": j, "ratio": 1.0} for j in free[1]]

@@ -79,3 +79,42 @@ def field_kind(ft: Column, flags: Column) -> Column:
         .when(ft == "Sig", "signature")
         .otherwise("text")
     )
+
+
+def field_failure(ft: Column, flags: Column, value: Column, max_len: Column, options: Column) -> Column:
+    """The rule that a value of a field breaks, by the field's own type and flags, or null.
+
+    Texts have a greatest length; choices and radio buttons take their options only; any value does for a
+    check box; of a signature only its absence is wrong.
+    """
+    empty = value.isNull() | (value == "")
+    kind = field_kind(ft, F.coalesce(flags, F.lit(0)).cast("long"))
+    limited = kind.isin("radio", "select") & (F.size(F.coalesce(options, F.array().cast("array<string>"))) > 0)
+    return (
+        F.when((F.coalesce(flags, F.lit(0)).bitwiseAND(2) != 0) & empty, "required")
+        .when((kind == "text") & ~empty & (F.octet_length(value) > max_len), "max_length")
+        .when(limited & ~empty & ~F.array_contains(options, value), "option")
+    )
+
+
+def field_errors(fields: DataFrame, data: DataFrame) -> DataFrame:
+    """``file_id, name, rule``: values ``file_id, name, value`` against the fields of each file; unknown names and missing values too."""
+    own = fields.filter("terminal").select("file_id", F.col("full_name").alias("name"), "ft", "ff", "max_len", "opt", F.lit(True).alias("is_field"))
+    both = own.join(data.select("file_id", "name", "value", F.lit(True).alias("is_given")), ["file_id", "name"], "full_outer")
+    rule = F.when(F.col("is_field").isNull(), "unknown").otherwise(field_failure(F.col("ft"), F.col("ff"), F.col("value"), F.col("max_len"), F.col("opt")))
+    return both.select("file_id", "name", rule.alias("rule")).filter("rule is not null")
+
+
+def question_errors(questions: DataFrame, data: DataFrame) -> DataFrame:
+    """``file_id, name, rule`` of values against questions with ``required min_length max_length pattern options`` columns."""
+    both = questions.withColumn("is_asked", F.lit(True)).join(data.select("file_id", "name", "value"), ["file_id", "name"], "full_outer")
+    value, filled = F.col("value"), F.col("value").isNotNull() & (F.col("value") != "")
+    rule = (
+        F.when(F.col("is_asked").isNull(), "unknown")
+        .when(F.col("required") & ~filled, "required")
+        .when(filled & (F.octet_length(value) < F.col("min_length")), "min_length")
+        .when(filled & (F.octet_length(value) > F.col("max_length")), "max_length")
+        .when(filled & (F.coalesce("pattern", F.lit("")) != "") & ~F.regexp_like(value, F.col("pattern")), "pattern")
+        .when(filled & (F.size("options") > 0) & ~F.array_contains("options", value), "option")
+    )
+    return both.select("file_id", "name", rule.alias("rule")).filter("rule is not null")

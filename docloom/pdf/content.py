@@ -237,6 +237,17 @@ def page_content(doc: Document, attrs: dict) -> bytes:
     return b"\n".join(doc.decode(p) for p in parts if isinstance(p, Stream))
 
 
+def appearances(doc: Document) -> list[dict]:
+    """Normal appearances of form widgets, one for each state (null: the only one)."""
+    out = []
+    for f in doc.fields():
+        d = doc.obj(f["obj_num"]) if f["obj_num"] is not None else None
+        normal = doc.get((doc.get(d.get("AP")) or {}).get("N")) if isinstance(d, dict) else None
+        states = {None: normal} if isinstance(normal, Stream) else {str(k): doc.get(v) for k, v in normal.items()} if isinstance(normal, dict) else {}
+        out += [{"obj_num": f["obj_num"], "full_name": f["full_name"], "state": k, "bbox": [float(doc.get(x)) for x in doc.get(v.attrs.get("BBox")) or []], "data": doc.decode(v)} for k, v in states.items() if isinstance(v, Stream)]
+    return out
+
+
 def extract(data: bytes, password: bytes = b"") -> dict:
     """Everything a document shows, as lists of rows by kind."""
     doc = Document(data, password)
@@ -265,6 +276,7 @@ def extract(data: bytes, password: bytes = b"") -> dict:
                 out["images"].append({"image_id": k, "obj_num": ref[0] if isinstance(ref, Ref) else None, "width": get(x.attrs.get("Width")), "height": get(x.attrs.get("Height")), "bits": get(x.attrs.get("BitsPerComponent")), "color_space": str(cs[0] if isinstance(cs, list) else cs or ""), "format": {"DCTDecode": "jpeg", "JPXDecode": "jp2", "CCITTFaxDecode": "tiff", "JBIG2Decode": "jbig2"}.get(f, "raw"), "data": doc.decode(x)})
     out["fields"] = doc.fields()
     out["xfa"] = doc.xfa_packets()
+    out["appearances"] = appearances(doc)
     out["warnings"] = [{"code": c, "message": m} for c, m in doc.warnings]
     out["text"] = "\n".join(" ".join(t["text"] for t in out["text_elements"] if t["page"] == p["page"]) for p in out["pages"])
     return out

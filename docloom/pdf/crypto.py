@@ -6,6 +6,8 @@ import hashlib
 import os
 import struct
 
+import numpy as np
+
 from docloom.pdf.syntax import DocError
 
 #: Fixed value: the padding string of the standard.
@@ -49,17 +51,22 @@ def _sbox() -> list[int]:
 
 
 class Aes:
-    """The block cipher, on 16-byte blocks."""
+    """The block cipher: words through combined tables to encrypt, all blocks at once to decrypt."""
 
     _box: list[int] = []
-    _back: list[int] = []
-    _mul: dict[int, list[int]] = {}
+    _mix: list[list[int]] = []
+    _unbox = np.zeros(0, np.uint8)
+    _unmul: dict[int, np.ndarray] = {}
 
     def __init__(self, key: bytes):
-        if not Aes._box:
-            Aes._box = _sbox()
-            Aes._back = [Aes._box.index(i) for i in range(256)]
-            Aes._mul = {k: [_times(i, k) for i in range(256)] for k in (2, 3, 9, 11, 13, 14)}
+        if not Aes._mix:
+            box = _sbox()
+            column = [(_times(s, 2), s, s, _times(s, 3)) for s in box]
+            # Table k: a byte's substitute times the mixing column, turned by k places.
+            Aes._mix = [[int.from_bytes(bytes(c[(i - k) % 4] for i in range(4))) for c in column] for k in range(4)]
+            Aes._unbox = np.argsort(np.array(box)).astype(np.uint8)
+            Aes._unmul = {k: np.array([_times(i, k) for i in range(256)], np.uint8) for k in (9, 11, 13, 14)}
+            Aes._box = box
         words, n = [key[i : i + 4] for i in range(0, len(key), 4)], len(key) // 4
         self.rounds, rcon = n + 6, 1
         for i in range(n, 4 * (self.rounds + 1)):
@@ -71,45 +78,52 @@ class Aes:
             elif n > 6 and i % n == 4:
                 t = bytes(self._box[b] for b in t)
             words.append(bytes(a ^ b for a, b in zip(words[i - n], t, strict=True)))
-        self.keys = [b"".join(words[4 * r : 4 * r + 4]) for r in range(self.rounds + 1)]
-
-    def encrypt(self, block: bytes) -> bytes:
-        s = bytes(a ^ b for a, b in zip(block, self.keys[0], strict=True))
-        two, three = self._mul[2], self._mul[3]
-        for r in range(1, self.rounds + 1):
-            s = [self._box[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
-            if r < self.rounds:
-                s = [two[s[c + i]] ^ three[s[c + (i + 1) % 4]] ^ s[c + (i + 2) % 4] ^ s[c + (i + 3) % 4] for c in range(0, 16, 4) for i in range(4)]
-            s = bytes(a ^ b for a, b in zip(s, self.keys[r], strict=True))
-        return s
-
-    def decrypt(self, block: bytes) -> bytes:
-        s = bytes(a ^ b for a, b in zip(block, self.keys[self.rounds], strict=True))
-        m9, m11, m13, m14 = (self._mul[k] for k in (9, 11, 13, 14))
+        self.words = [int.from_bytes(w) for w in words]
+
+    def encrypt(self, a: int, b: int, c: int, d: int) -> tuple[int, int, int, int]:
+        """One block as four words."""
+        k, (m0, m1, m2, m3), s = self.words, self._mix, self._box
+        a, b, c, d = a ^ k[0], b ^ k[1], c ^ k[2], d ^ k[3]
+        for r in range(4, 4 * self.rounds, 4):
+            a, b, c, d = (
+                m0[a >> 24] ^ m1[b >> 16 & 255] ^ m2[c >> 8 & 255] ^ m3[d & 255] ^ k[r],
+                m0[b >> 24] ^ m1[c >> 16 & 255] ^ m2[d >> 8 & 255] ^ m3[a & 255] ^ k[r + 1],
+                m0[c >> 24] ^ m1[d >> 16 & 255] ^ m2[a >> 8 & 255] ^ m3[b & 255] ^ k[r + 2],
+                m0[d >> 24] ^ m1[a >> 16 & 255] ^ m2[b >> 8 & 255] ^ m3[c & 255] ^ k[r + 3],
+            )
+        last = lambda w, x, y, z, key: (s[w >> 24] << 24 | s[x >> 16 & 255] << 16 | s[y >> 8 & 255] << 8 | s[z & 255]) ^ key
+        k = k[4 * self.rounds :]
+        return last(a, b, c, d, k[0]), last(b, c, d, a, k[1]), last(c, d, a, b, k[2]), last(d, a, b, c, k[3])
+
+    def decrypt(self, blocks: np.ndarray) -> np.ndarray:
+        """Blocks as rows of 16 bytes."""
+        keys = np.array(self.words, ">u4").view(np.uint8).reshape(-1, 16)
+        back = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
+        s = blocks ^ keys[self.rounds]
+        m = self._unmul
         for r in range(self.rounds - 1, -1, -1):
-            s = [self._back[s[(i - 4 * (i % 4)) % 16]] for i in range(16)]
-            s = [a ^ b for a, b in zip(s, self.keys[r], strict=True)]
+            s = self._unbox[s[:, back]] ^ keys[r]
             if r:
-                s = [m14[s[c + i]] ^ m11[s[c + (i + 1) % 4]] ^ m13[s[c + (i + 2) % 4]] ^ m9[s[c + (i + 3) % 4]] for c in range(0, 16, 4) for i in range(4)]
-        return bytes(s)
+                x = s.reshape(-1, 4, 4)
+                s = (m[14][x] ^ m[11][np.roll(x, -1, 2)] ^ m[13][np.roll(x, -2, 2)] ^ m[9][np.roll(x, -3, 2)]).reshape(-1, 16)
+        return s
 
 
 def aes_cbc(key: bytes, iv: bytes, data: bytes, decrypt: bool, pad: bool = True) -> bytes:
-    cipher, out, last = Aes(key), bytearray(), iv
+    cipher = Aes(key)
     if not decrypt and pad:
         n = 16 - len(data) % 16
         data += bytes([n]) * n
-    for i in range(0, len(data) // 16 * 16, 16):
-        block = data[i : i + 16]
-        if decrypt:
-            out += bytes(a ^ b for a, b in zip(cipher.decrypt(block), last, strict=True))
-            last = block
-        else:
-            last = cipher.encrypt(bytes(a ^ b for a, b in zip(block, last, strict=True)))
-            out += last
-    if decrypt and pad and out and 1 <= out[-1] <= 16:
-        del out[-out[-1] :]
-    return bytes(out)
+    data = data[: len(data) // 16 * 16]
+    if decrypt:
+        blocks = np.frombuffer(data, np.uint8).reshape(-1, 16)
+        out = (cipher.decrypt(blocks) ^ np.concatenate((np.frombuffer(iv[:16], np.uint8)[None], blocks[:-1]))).tobytes() if len(blocks) else b""
+        return out[: -out[-1]] if pad and out and 1 <= out[-1] <= 16 else out
+    words, last, made = struct.unpack(f">{len(data) // 4}I", data), struct.unpack(">4I", iv[:16]), []
+    for i in range(0, len(words), 4):
+        last = cipher.encrypt(words[i] ^ last[0], words[i + 1] ^ last[1], words[i + 2] ^ last[2], words[i + 3] ^ last[3])
+        made += last
+    return struct.pack(f">{len(made)}I", *made)
 
 
 def file_key(password: bytes, e: dict, file_id: bytes) -> bytes:
@@ -208,7 +222,7 @@ def setup(user: bytes, owner: bytes, file_id: bytes, permissions: int = -4, meth
         ue = aes_cbc(hash_r6(user, uk, b"", 6), bytes(16), key, False, pad=False)
         o = hash_r6(owner or user, ov, u, 6) + ov + ok
         oe = aes_cbc(hash_r6(owner or user, ok, u, 6), bytes(16), key, False, pad=False)
-        perms = Aes(key).encrypt(struct.pack("<i", permissions) + b"\xff" * 4 + (b"T" if metadata else b"F") + b"adb" + random(4))
+        perms = aes_cbc(key, bytes(16), struct.pack("<i", permissions) + b"\xff" * 4 + (b"T" if metadata else b"F") + b"adb" + random(4), False, pad=False)
         return {"v": 5, "r": 6, "length": 256, "p": permissions, "o": o, "u": u, "oe": oe, "ue": ue, "perms": perms, "metadata": metadata, "method": method}, key
     r = {"V2": 3, "AESV2": 4}[method]
     e = {"v": 2 if r == 3 else 4, "r": r, "length": 128, "p": permissions, "metadata": metadata, "method": method}

@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 
+from docloom.functions import xfa
 from docloom.pdf import crypto
 from docloom.pdf.document import Document
 from docloom.pdf.syntax import Name, DocError, Ref, Stream, write_value
@@ -311,6 +312,48 @@ def fill_form(data: bytes, values: dict[str, object]) -> tuple[bytes, list[str]]
     return (append_revision(data, changed) if changed else data), unknown
 
 
+def with_packets(data: bytes, packets: dict[str, bytes]) -> bytes:
+    """The document with an appended revision in which these form packets are new or replaced, in place and order."""
+    doc = Document(data)
+    have = {p["name"]: p["obj_num"] for p in doc.xfa_packets()}
+    body = lambda b: Stream({"Filter": Name("FlateDecode")}, zlib.compress(b))
+    changed: dict[int, object] = {}
+    top = max(doc.entries, default=0) + 1
+    new = []
+    for name, b in packets.items():
+        if have.get(name) is not None:
+            changed[have[name]] = body(b)
+            continue
+        changed[top] = body(b)
+        new += [name, Ref(top)]
+        top += 1
+    if new:
+        root = doc.trailer["Root"]
+        form = (doc.get(root) or {}).get("AcroForm")
+        old = doc.get(doc.form().get("XFA"))
+        whole = dict(doc.form()) | {"XFA": [*(old if isinstance(old, list) else []), *new]}
+        whole.setdefault("Fields", [])
+        if isinstance(form, Ref):
+            changed[form[0]] = whole
+        else:
+            changed[root[0]] = dict(doc.get(root)) | {"AcroForm": whole}
+    return append_revision(data, changed) if changed else data
+
+
+def update_packet_values(data: bytes, values: dict[str, object]) -> tuple[bytes, list[str]]:
+    """The document with new values in its datasets packet; and the names that the packet doesn't have."""
+    packet = next((p for p in Document(data).xfa_packets() if p["name"] == "datasets"), None)
+    if packet is None or packet["obj_num"] is None:
+        raise DocError("no_object", "no datasets packet")
+    xml, unknown = xfa.update_values(packet["data"], values)
+    return with_packets(data, {"datasets": xml.encode()}), unknown
+
+
+def build_from_packets(packets: dict[str, bytes], pages: list[Page] | None = None) -> bytes:
+    """A document of form packets: all of them, in the order given, on a blank page unless others are given."""
+    return with_packets(build(pages or [Page()]), packets)
+
+
 def flatten_form(data: bytes) -> bytes:
     """Field values as page content instead of fields."""
     doc = Document(data)
@@ -422,8 +465,8 @@ class Page:
         return self.save().color(grey).transform(c, n, -n, c, self.size[0] / 4, self.size[1] / 4).text(s, 0, 0, size).restore()
 
 
-def build(pages: list[Page], metadata: dict[str, str] | None = None, bookmarks: list[dict] | None = None, fields: list[dict] | None = None, **how) -> bytes:
-    """Pages with optional metadata, outline ({title, page, children}) and text fields ({name, page, rect, value, ...})."""
+def build(pages: list[Page], metadata: dict[str, str] | None = None, bookmarks: list[dict] | None = None, fields: list[dict] | None = None, links: list[dict] | None = None, **how) -> bytes:
+    """Pages with optional metadata, outline ({title, page, children}), text fields ({name, page, rect, value, ...}) and links ({uri, page, rect})."""
     objects: dict[int, object] = {1: {"Type": Name("Catalog"), "Pages": Ref(2)}, 2: {"Type": Name("Pages"), "Count": len(pages)}}
     add = lambda v: objects.update({len(objects) + 1: v}) or len(objects)
     fonts: dict[str, int] = {}
@@ -451,6 +494,10 @@ def build(pages: list[Page], metadata: dict[str, str] | None = None, bookmarks:
             refs.append(Ref(n))
         objects[1]["AcroForm"] = Ref(add({"Fields": refs, "DA": "/Helv 12 Tf 0 g"}))
 
+    for k in links or ():
+        n = add({"Type": Name("Annot"), "Subtype": Name("Link"), "Rect": list(k["rect"]), "A": {"S": Name("URI"), "URI": k["uri"]}})
+        objects[kids[k.get("page", 1) - 1]].setdefault("Annots", []).append(Ref(n))
+
     def outline(items: list[dict], parent: int) -> tuple[int, int]:
         nums = [add({}) for _ in items]
         for i, (n, b) in enumerate(zip(nums, items, strict=True)):

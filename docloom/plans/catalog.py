@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import codecs, text
-from docloom.operators import diff, forms, pageset, revisions, trees
+from docloom.functions import codecs, issues, objects, text
+from docloom.operators import compare, diff, forms, pageset, profile, revisions, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,25 +29,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 @query("""SELECT source, count(*) AS n_docs, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS text_bytes,
   max(octet_length(encode(coalesce(text, ''))))::BIGINT AS longest, bool_or(coalesce(text, '') <> '') AS has_text FROM documents GROUP BY source""")
 def doc_summary(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").groupBy("source").agg(
-        F.count("*").alias("n_docs"), F.sum(F.octet_length(t)).alias("text_bytes"), F.max(F.octet_length(t)).cast("long").alias("longest"), F.bool_or(t != "").alias("has_text")
-    )
-
-
-@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
-def link_annotations(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
-@query("""SELECT page_id, coalesce(html, '') <> '' AS has_text, contains(html, '<img') AS has_images, contains(html, '<img') AND coalesce(html, '') = '' AS scanned,
-  len(regexp_extract_all(html, 'href="'))::BIGINT AS n_links FROM pages""")
-def content_flags(spark, d):
-    h = F.col("html")
-    return table(spark, d, "pages").select(
-        "page_id", (F.coalesce(h, F.lit("")) != "").alias("has_text"), h.contains("<img").alias("has_images"), (h.contains("<img") & (F.coalesce(h, F.lit("")) == "")).alias("scanned"),
-        F.size(F.regexp_extract_all(h, F.lit('href="'), F.lit(0))).cast("long").alias("n_links"),
-    )
+    return profile.text_profile(table(spark, d, "documents"), "source")
 
 
 _CASE = f"translate(text, '{text.UPPER}', '{text.LOWER}')"
@@ -331,25 +313,53 @@ def pdf_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.pdf_date(F.col("o_orderdate")).alias("pdf_date"))
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), '') AS lang FROM pages")
+@query("SELECT p_partkey, p_name AS name, replace(p_brand, '#', '') AS brand, p_size::VARCHAR AS size, NULL::VARCHAR AS missing FROM part")
 def dict_value(spark, d):
-    take = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
-    return table(spark, d, "pages").select("page_id", take("<title>([^<]*)</title>").alias("title"), take('lang="([a-z]+)"').alias("lang"))
+    """Each part as the text of a dictionary object, and its entries read back."""
+    brand = F.concat(F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")))
+    raw = F.concat(F.lit("<< /Name ("), text.escape_string(F.col("p_name")), F.lit(") % a comment\n/Brand "), brand, F.lit(" /Kids [<< /Size 7 >>] /Size "), F.col("p_size").cast("string"), F.lit(" >>"))
+    take = lambda k: objects.dict_value(F.col("raw"), k)
+    return table(spark, d, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", take("Name").alias("name"), take("Brand").alias("brand"), take("Size").alias("size"), take("Missing").alias("missing"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+'))::BIGINT AS ref FROM pages")
+@query("SELECT n_nationkey, unnest([n_nationkey, n_regionkey + 100, n_nationkey + 1000])::BIGINT AS ref FROM nation")
 def refs(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.transform(F.regexp_extract_all("url", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long"))).alias("ref"))
+    raw = F.format_string("<< /A %d 0 R /B [(1 0 R) << /C %d 0 R >> %d 0 R] /D 5 >>", F.col("n_nationkey").cast("int"), (F.col("n_regionkey") + 100).cast("int"), (F.col("n_nationkey") + 1000).cast("int"))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(objects.refs(raw)).alias("ref"))
 
 
 @query("SELECT doc_id, md5(hex(encode(text)) || '>') AS digest FROM documents")
 def ascii_hex(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.concat(F.hex(F.encode("text", "UTF-8")), F.lit(">"))).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(codecs.encoded(F.encode("text", "UTF-8"), "ASCIIHexDecode")).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def digest(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    return table(spark, d, "documents").select("doc_id", objects.digests(F.encode("text", "UTF-8")).alias("x")).select("doc_id", "x.*")
+
+
+#: Filters with what they read, in hexadecimal, and what that is.
+_VECTORS = [
+    ("ASCIIHexDecode", "34383635364336433646" + "3E", "48656C6C6F"),
+    ("AHx", "34383635366336633666" + "3E", "48656C6C6F"),
+    ("ASCIIHexDecode", "34382036350A37" + "3E", "486570"),
+    ("ASCII85Decode", b"<~87cURD]j7BEbo80~>".hex().upper(), b"Hello world!".hex().upper()),
+    ("ASCII85Decode", b"<~z~>".hex().upper(), "00000000"),
+    ("RunLengthDecode", "0448656C6C6F80", "48656C6C6F"),
+    ("RunLengthDecode", "FC4180", "4141414141"),
+    ("RL", "02486921FD2080", "48692120202020"),
+    ("DCTDecode", "FFD8FFE0", "FFD8FFE0"),
+    ("DCTDecode", "00112233", None),
+    ("RunLengthDecode", "0548", None),
+    ("FlateDecode", "00112233", None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', {f"'{v}'" if v is not None else 'NULL'})" for i, (n, _, v) in enumerate(_VECTORS)) + ") t(id, name, decoded)")
+def codec_vectors(spark, d):
+    rows = spark.createDataFrame([(i, n, x) for i, (n, x, _) in enumerate(_VECTORS)], "id long, name string, x string").withColumn("data", F.unhex("x"))
+    out = F.coalesce(*[F.when(F.col("name") == n, F.hex(codecs.decoded(F.col("data"), n))) for n in sorted({n for n, _, _ in _VECTORS})])
+    return rows.select("id", "name", out.alias("decoded"))
 
 
 def _round_trip(spark, d, name: str) -> DataFrame:
@@ -375,18 +385,24 @@ def flate_roundtrip(spark, d):
 @query("SELECT event_type AS code, CASE WHEN value < 10 THEN 'info' WHEN value < 50 THEN 'warning' ELSE 'error' END AS level, count(*) AS n FROM events GROUP BY ALL")
 def warnings_by_level(spark, d):
     level = F.when(F.col("value") < 10, "info").when(F.col("value") < 50, "warning").otherwise("error")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("code"), level.alias("level")).agg(F.count("*").alias("n"))
+    return issues.level_counts(table(spark, d, "events").select(F.col("event_type").alias("code"), level.alias("level")))
 
 
-@query("SELECT event_id, event_type IN ('click') AS not_found, event_type IN ('view', 'purchase') AS validation FROM events")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'not_found' WHEN 'view' THEN 'validation' WHEN 'purchase' THEN 'encryption' ELSE 'other' END AS class,
+  event_type = 'click' AS not_found, user_id::VARCHAR AS who FROM events""")
 def error_class(spark, d):
-    return table(spark, d, "events").select("event_id", F.col("event_type").isin("click").alias("not_found"), F.col("event_type").isin("view", "purchase").alias("validation"))
+    code = text.response_type(F.col("event_type"), {"click": "no_field", "view": "maximum", "purchase": "wrong_password"}, "unheard_of")
+    e = table(spark, d, "events").withColumn("code", code).withColumn("context", issues.with_context(F.create_map(F.lit("who"), F.lit("nobody")), "who", F.col("user_id")))
+    return e.select("event_id", issues.error_class(F.col("code")).alias("class"), issues.is_class(F.col("code"), "not_found").alias("not_found"), F.col("context")["who"].alias("who"))
 
 
-@query(f"SELECT category, 'Fields ' || category || ': ' || count(*) AS line FROM ({SQL['diff_forms_by_name']}) GROUP BY category")
+@query(f"""WITH l AS (SELECT o_custkey AS pair_id, category, count(*) AS n FROM ({SQL['diff_forms_by_name']}) WHERE category <> 'equal' GROUP BY ALL)
+SELECT c.o_custkey::VARCHAR AS pair_id, coalesce(sum(l.n), 0) = 0 AS identical,
+  'differences: ' || coalesce(sum(l.n), 0)::BIGINT || coalesce(string_agg(chr(10) || 'field ' || l.category || ': ' || l.n, '' ORDER BY l.category), '') AS report
+FROM (SELECT DISTINCT o_custkey FROM orders) c LEFT JOIN l ON c.o_custkey = l.pair_id GROUP BY c.o_custkey""")
 def report_lines(spark, d):
-    n = diff_forms_by_name(spark, d).groupBy("category").count()
-    return n.select("category", F.format_string("Fields %s: %d", "category", "count").alias("line"))
+    found = diff_forms_by_name(spark, d).filter("category <> 'equal'").select(F.col("o_custkey").cast("string").alias("pair_id"), F.lit("field").alias("kind"), "category")
+    return compare.report(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("pair_id")), found)
 
 
 def _turns(spark, d, shift: int) -> DataFrame:

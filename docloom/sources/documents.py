@@ -6,6 +6,8 @@ treat relationally. A file that can't be read is a row with an error, never a fa
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -13,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import forms
 from docloom.pdf import content, writer
 from docloom.pdf.document import Document
 from docloom.pdf.syntax import DocError, Stream
+from docloom.scratch import stage
 
 _POINT = "array<double>"
 SCHEMAS = {
@@ -30,6 +34,7 @@ SCHEMAS = {
     "bookmarks": "file_id string, node_id long, parent_id long, ordinal long, depth long, title string, page long, uri string",
     "fields": f"file_id string, obj_num long, parent_obj long, ft string, t string, full_name string, tu string, ff long, max_len long, opt array<string>, value string, default_value string, rect {_POINT}, terminal boolean",
     "xfa": "file_id string, name string, data binary, obj_num long",
+    "appearances": f"file_id string, obj_num long, full_name string, state string, bbox {_POINT}, data binary",
     "revisions": "file_id string, rev long, start_offset long, eof_offset long, end_offset long, startxref long",
     "raw_objects": "file_id string, rev long, obj_num long, gen long, offset long, end_offset long, raw binary, is_stream boolean",
     "xref_entries": "file_id string, section_no long, kind string, obj_num long, in_use boolean, offset long, gen long, stream_obj long, stream_idx long",
@@ -72,30 +77,85 @@ def _shown(data: bytes, password: bytes) -> dict[str, list[dict]]:
     return out
 
 
+def _kernel(name: str) -> Callable[[bytes, bytes], dict[str, list[dict]]]:
+    return _structure if name in ("revisions", "raw_objects", "xref_entries") else _shown
+
+
+def _columns(name: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in _split(SCHEMAS[name])]
+
+
 def table(files: DataFrame, name: str, password: str = "") -> DataFrame:
-    """One of the tables of SCHEMAS over ``file_id, content``. Unreadable files show in ``warnings`` only."""
-    schema = SCHEMAS[name]
-    columns = [c.strip().split(" ")[0] for c in _split(schema)]
-    kernel = _structure if name in ("revisions", "raw_objects", "xref_entries") else _shown
+    """One of the tables of SCHEMAS over ``file_id, content``, or over ``parsed`` files. Unreadable files show in ``warnings`` only."""
+    schema, columns = SCHEMAS[name], _columns(name)
+    if name in files.columns:
+        return files.select("file_id", F.inline(name)).select(*columns)
+    kernel = _kernel(name)
     numbers = [c.split(" ")[0] for c in map(str.strip, _split(schema)) if c.endswith(" long")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for fid, data in zip(b["file_id"], b["content"], strict=True):
-                try:
-                    got = kernel(bytes(data or b""), password.encode())[name]
-                except DocError as e:
-                    got = [{"code": e.code, "message": str(e)}] if name == "warnings" else []
-                except Exception as e:  # a damaged file must not stop the scan of the others
-                    got = [{"code": "unreadable", "message": f"{type(e).__name__}: {e}"}] if name == "warnings" else []
-                rows += [{"file_id": fid} | r for r in got]
+                rows += [{"file_id": fid} | r for r in _read(kernel, data, password).get(name, [])]
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({c: "Int64" for c in numbers})
 
     return files.select("file_id", "content").mapInPandas(run, schema)
 
 
+def _read(kernel: Callable[[bytes, bytes], dict[str, list[dict]]], data, password: str) -> dict[str, list[dict]]:
+    try:
+        return kernel(bytes(data or b""), password.encode())
+    except DocError as e:
+        return {"warnings": [{"code": e.code, "message": str(e)}]}
+    except Exception as e:  # a damaged file must not stop the scan of the others
+        return {"warnings": [{"code": "unreadable", "message": f"{type(e).__name__}: {e}"}]}
+
+
+def parsed(files: DataFrame, names: list[str], password: str = "") -> DataFrame:
+    """``file_id`` and an array column for each of these tables: every file is read once, and ``table`` takes it from there.
+
+    The tables of one call come from one kernel. The result is staged, since several plans start from it.
+    """
+    fields = {n: [c.strip().split(" ", 1) for c in _split(SCHEMAS[n])][1:] for n in names}
+    schema = "file_id string, " + ", ".join(f"{n} array<struct<{', '.join(f'{c}:{t}' for c, t in fs)}>>" for n, fs in fields.items())
+    kernel = _kernel(names[0])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for fid, data in zip(b["file_id"], b["content"], strict=True):
+                got = _read(kernel, data, password)
+                rows.append((fid, *([{c: r.get(c) for c, _ in fs} for r in got.get(n, [])] for n, fs in fields.items())))
+            yield pd.DataFrame(rows, columns=["file_id", *fields])
+
+    return stage(files.select("file_id", "content").mapInPandas(run, schema), "parsed")
+
+
+def content_json(files: DataFrame, password: str = "") -> DataFrame:
+    """``file_id, json``: all content of each file as indented JSON; bytes in base 64. Unreadable files have null."""
+
+    def plain(v):
+        return base64.b64encode(v).decode() if isinstance(v, (bytes, bytearray)) else str(v)
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series) -> pd.Series:
+        out = []
+        for d in data:
+            got = _read(content.extract, d, password)
+            out.append(json.dumps(got, indent=2, default=plain, ensure_ascii=False) if "metadata" in got else None)
+        return pd.Series(out, dtype=object)
+
+    return files.select("file_id", run("content").alias("json"))
+
+
+def sample_objects(xref_entries: DataFrame, most: int) -> DataFrame:
+    """The first object numbers in use of each file, at most ``most``."""
+    used = xref_entries.filter("in_use").groupBy("file_id").agg(F.array_sort(F.collect_set("obj_num")).alias("n"))
+    return used.select("file_id", F.explode(F.slice("n", 1, most)).alias("obj_num"))
+
+
 def _split(schema: str) -> list[str]:
     """Top-level columns of a schema text."""
     out, depth, at = [], 0, 0
@@ -114,6 +174,7 @@ def latest_objects(raw_objects: DataFrame) -> DataFrame:
 
 def document_summary(files: DataFrame) -> DataFrame:
     """Pages, bytes of text, images, and flags of each file; scanned: pages with images and no text."""
+    files = parsed(files, ["pages", "text_elements", "images", "bookmarks", "fields"])
     pages = table(files, "pages").groupBy("file_id").agg(F.count("*").alias("pages"))
     text = table(files, "text_elements").groupBy("file_id").agg(F.sum(F.octet_length("text")).alias("text_bytes"))
     images = table(files, "images").groupBy("file_id").agg(F.count("*").alias("images"))
@@ -138,6 +199,8 @@ def transform(files: DataFrame, f: Callable[[bytes], bytes | list[bytes]]) -> Da
                     rows += [(fid, i, x, None) for i, x in enumerate(got if isinstance(got, list) else [got], 1)]
                 except DocError as e:
                     rows.append((fid, 0, None, str(e)))
+                except Exception as e:  # a damaged or null file must not stop the others
+                    rows.append((fid, 0, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["file_id", "part", "content", "error"])
 
     return files.select("file_id", "content").mapInPandas(run, "file_id string, part long, content binary, error string")
@@ -154,14 +217,18 @@ def merged(files: DataFrame, group: str, order: str) -> DataFrame:
 
 def filled(files: DataFrame, data: DataFrame) -> DataFrame:
     """Files with an appended revision of form values ``file_id, name, value``, and the unknown names."""
-    values = data.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))
+    return _with_entries(files, data.select("file_id", "name", "value"), writer.fill_form)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *writer.fill_form(bytes(c), dict(v) if v is not None else {})) for i, c, v in zip(b["file_id"], b["content"], b["values"], strict=True)]
-            yield pd.DataFrame(rows, columns=["file_id", "content", "unknown"])
 
-    return files.join(values, "file_id", "left").select("file_id", "content", "values").mapInPandas(run, "file_id string, content binary, unknown array<string>")
+def filled_valid(files: DataFrame, data: DataFrame, password: str = "") -> tuple[DataFrame, DataFrame]:
+    """Files filled with those values ``file_id, name, value`` that keep the rules of their fields; and what was found wrong.
+
+    The second table is ``file_id, name, rule``: broken rules, required fields without a value, and unknown names.
+    """
+    fields = table(files, "fields", password)
+    wrong = stage(forms.field_errors(fields, data), "form-errors")
+    good = data.join(wrong.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti")
+    return filled(files, good), wrong
 
 
 def built(rows: DataFrame, group: str, order: str, text: str, title: str | None = None) -> DataFrame:
@@ -180,6 +247,44 @@ def built(rows: DataFrame, group: str, order: str, text: str, title: str | None
     return rows.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, content binary")
 
 
+def built_from_packets(packets: DataFrame) -> DataFrame:
+    """Documents of form packets ``file_id, name, data``: one document a file, its packets in the order of their names."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = {n: bytes(d) for n, d in rows.sort_values("name")[["name", "data"]].itertuples(index=False)}
+        return pd.DataFrame({"file_id": [key[0]], "content": [writer.build_from_packets(parts)]})
+
+    return packets.select("file_id", "name", "data").groupBy("file_id").applyInPandas(run, "file_id string, content binary")
+
+
+def with_packets(files: DataFrame, packets: DataFrame) -> DataFrame:
+    """``file_id, content, error``: files in which packets ``file_id, name, data`` are new or replaced."""
+    return _with_entries(files, packets.select("file_id", "name", "data"), lambda c, new: (writer.with_packets(c, {k: bytes(v) for k, v in sorted(new.items())}), []))
+
+
+def with_packet_values(files: DataFrame, data: DataFrame) -> DataFrame:
+    """``file_id, content, unknown, error``: files whose datasets packet has the values ``file_id, name, value``."""
+    return _with_entries(files, data.select("file_id", "name", "value"), writer.update_packet_values)
+
+
+def _with_entries(files: DataFrame, entries: DataFrame, f: Callable[[bytes, dict], tuple[bytes, list[str]]]) -> DataFrame:
+    name, value = entries.columns[1:]
+    given = entries.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias("given"))
+
+    def one(data, new) -> tuple:
+        try:
+            return (*f(bytes(data), dict(new) if new is not None else {}), None)
+        except Exception as e:  # a damaged file must not stop the others
+            return None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *one(c, v)) for i, c, v in zip(b["file_id"], b["content"], b["given"], strict=True)]
+            yield pd.DataFrame(rows, columns=["file_id", "content", "unknown", "error"])
+
+    return files.join(given, "file_id", "left").select("file_id", "content", "given").mapInPandas(run, "file_id string, content binary, unknown array<string>, error string")
+
+
 def save_files(df: DataFrame, folder: str, name: str, data: str = "content") -> DataFrame:
     """Writes each row's bytes to a file below a mounted shared folder; gives the paths and sizes.
 
@@ -208,8 +313,11 @@ def stream_bytes(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for fid, data in zip(b["file_id"], b["content"], strict=True):
-                doc = Document(bytes(data))
-                rows += [(fid, n, doc.decode(s)) for n in sorted(doc.entries) if isinstance(s := doc.obj(n), Stream)]
+                try:
+                    doc = Document(bytes(data or b""))
+                    rows += [(fid, n, doc.decode(s)) for n in sorted(doc.entries) if isinstance(s := doc.obj(n), Stream)]
+                except Exception:  # such a file has no streams here; its warnings are a table of their own
+                    continue
             yield pd.DataFrame(rows, columns=["file_id", "obj_num", "data"])
 
     return files.select("file_id", "content").mapInPandas(run, "file_id string, obj_num long, data binary")

@@ -112,7 +112,7 @@ def test_packets():
     new, unknown = xfa.update_values(data, {"f1": "a<b&", "nope": 1, "h": True})
     assert unknown == ["nope"] and [v["value"] for v in xfa.dataset_values(new)] == ["a<b&", "123", "true"]
     assert xfa.locales("<localeSet default='en_US'><locale code='en_US' name='English'><currency>USD</currency></locale></localeSet>")["locales"][0]["settings"] == {"currency": "USD"}
-    assert xfa.connections("<connectionSet><connection name='c' type='http'><uri>http://x</uri></connection></connectionSet>") == [{"name": "c", "type": "http", "uri": "http://x"}]
+    assert xfa.connections("<connectionSet><connection name='c' type='http'><uri>http://x</uri></connection></connectionSet>") == [{"name": "c", "type": "http", "uri": "http://x", "properties": {}}]
     assert xfa.styles("<stylesheet><style name='s' type='t'><font family='F' size='9'/></style></stylesheet>")[0]["properties"] == {"font.family": "F", "font.size": "9"}
     assert {"path": "config/present[1]", "attribute": "renderPolicy", "value": "client"} in xfa.attributes("<config><present renderPolicy='client'><pdf version='1.7'/></present></config>")
 
