@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.scratch import stage
+
 
 def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Full outer join on the keys with ``category``: added, removed, modified or equal."""
@@ -41,7 +43,8 @@ def band_match(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]],
 def moved(items: DataFrame, digest: Column, item: str, other: str) -> DataFrame:
     """Each later copy of the same bytes with the first place where they stood."""
     keyed = items.withColumn("_digest", digest)
-    firsts = keyed.groupBy("_digest").agg(F.min(item).alias(other))
+    # From a written table, so that the skew join can split the copies of one text.
+    firsts = stage(keyed.groupBy("_digest").agg(F.min(item).alias(other)), "first-places")
     return keyed.join(firsts, "_digest").filter(F.col(item) > F.col(other)).drop("_digest")
 
 

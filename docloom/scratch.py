@@ -7,6 +7,7 @@ later jobs (and retries after an executor is lost) start from files that every e
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -16,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_APPS: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,9 +36,28 @@ def scratch_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared scratch folder and return it read back, with its lineage cut."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    app = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+    if app not in _APPS:
+        _APPS.add(app)
+        atexit.register(_delete, spark, app)
+    path = f"{app}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by then
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again. Others, and those that are left, go when the program ends."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            _delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
