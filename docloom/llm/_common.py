@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.scratch import stage
+from docloom.scratch import discard, stage
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -83,9 +83,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     )
     labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), f"{label}-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         step = stage(
-            labels.join(near.withColumnRenamed("a", "node"), "node")
+            labels.select("node", "component").join(near.withColumnRenamed("a", "node"), "node")
             .select("node", F.least("component", "m").alias("component"), F.col("component").alias("was")),
             f"{label}-step",
         )
@@ -94,9 +94,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             step.join(up, "component").select("node", F.col("root").alias("component"), F.col("was")),
             f"{label}-labels",
         )
-        labels = labels_next.select("node", "component")
-        if labels_next.filter("component <> was").isEmpty():
-            return labels
+        done = labels_next.filter("component <> was").isEmpty()
+        discard(step, labels)  # superseded
+        labels = labels_next
+        if done:
+            discard(both)
+            return labels.select("node", "component")
 
 
 def ranked_within(df: DataFrame, key: str, order: list[str], count: str, per_bucket: int, max_buckets: int) -> DataFrame:

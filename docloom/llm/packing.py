@@ -327,8 +327,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """One row per piece: ``doc_id start length ids_crc32 doc_tokens sequence_id offset``.
 
     A null or empty text is a document of the end id alone. Texts longer than a sequence are cut into
-    full sequences and a rest. Rows that repeat an id are packed as often as they occur. An empty
-    table gives an empty result.
+    full sequences and a rest. Rows that repeat an id are packed as often as they occur; ties of rank are
+    rows that are the same. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -140,7 +140,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``doc_id n_assign n_access n_hex base_sha256 spans``.
 
     Nulls count as empty texts, which have no spans (``spans`` is then empty). Positions are code
-    points of the whole text. Repeated rows give repeated results; an empty table gives none.
+    points of the whole text; spans that start together stand in the order of their kinds. Repeated rows give
+    repeated results; an empty table gives none; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
 

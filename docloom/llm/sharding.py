@@ -1,9 +1,10 @@
 """Sharding by a minimax contiguous partition.
 
-Documents of equal text form one atomic group. Groups are ordered by a 63-bit hash of their text;
-the smallest shard capacity for which a greedy sweep needs at most ``n_shards`` shards is found by
-binary search, and the order is cut there. A group larger than an equal share gets a shard of its
-own (no cut can make that shard smaller) and the rest is solved again with one shard less.
+Documents of equal text form one atomic group. In the order of the groups those larger than an equal
+share come first, the largest ahead, and all others follow by a 63-bit hash of their text. Shards are contiguous
+in that order: a group larger than an equal share is a shard (no cut can make that shard smaller), and for the rest,
+with so many shards less, the smallest capacity for which a greedy sweep needs no more shards is found by
+binary search, and the order is cut there, as evenly as that capacity allows.
 
 The driver never sees groups. It holds sums over at most 65,536 hash blocks and splits only those
 blocks in which a cut falls, by another 16 bits at a time, so what it collects has a fixed bound.
@@ -169,8 +170,8 @@ def shard_documents(
     """One row per document with its shard and a gapless slot in it, under the law ``bytes``.
 
     Size is the UTF-8 length of the text plus 1. Null texts count as empty and form one group with
-    them. Null or repeated ids keep one row each; slots order rows by id within hash buckets. An
-    empty table gives an empty result. Other columns of the input are ignored.
+    them. Null or repeated ids keep one row each; slots order rows by id within hash buckets, ties by
+    their group. An empty table gives an empty result. Other columns of the input are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = stage(
