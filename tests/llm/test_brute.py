@@ -106,7 +106,11 @@ def test_large_trees_and_null_ids(spark, monkeypatch, sizes):
     assert {r.component_id for r in got if r.doc_id in (900, 901)} == {900}
 
 
-def test_embedding_links(spark):
+@pytest.mark.parametrize("per_cell", [0.02, 2.0, None])
+def test_embedding_links(spark, monkeypatch, per_cell):
+    """With the usual two centroids a half, with few and with many."""
+    if per_cell:
+        monkeypatch.setattr(embedding_dedup, "PER_CELL", per_cell)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
     x = np.concatenate((base, base[rng.integers(0, 60, 200)] + rng.normal(scale=0.05, size=(200, 16)), base[:5], base[:1].repeat(40, 0)))
