@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.scratch import shuffle_width, stage
+
 
 def latest_wins(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The values of the last row of each key; partial maxima keep a hot key cheap."""
@@ -22,5 +24,18 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str], values: list[st
 
 
 def bounds(df: DataFrame, keys: list[str], order: list[str], end: str, start: str) -> DataFrame:
-    """Each row's end together with its predecessor's, from which it starts."""
-    return df.withColumn(start, F.lag(end).over(Window.partitionBy(*keys).orderBy(*order)))
+    """Each row's end together with its predecessor's, from which it starts; null for the first of a key.
+
+    Rows are dealt by ranges of (keys, order), so a hot key spreads over many tasks; the first row of
+    a key in a range starts where the key's last row in an earlier range ends.
+    """
+    ranged = stage(df.repartitionByRange(shuffle_width(df.sparkSession), *keys, *order).withColumn("_range", F.spark_partition_id()), "bounds")
+    groups = [*keys, "_range"]
+    lasts = ranged.groupBy(*groups).agg(F.max_by(end, F.struct(*order)).alias("_last"))
+    before = lasts.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")))
+    before = before.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)], "_before")
+    within = Window.partitionBy(*groups).orderBy(*order)
+    placed = ranged.withColumns({"_first": F.row_number().over(within) == 1, "_lag": F.lag(end).over(within)})
+    on = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(groups)]
+    found = placed.join(before, on).withColumn(start, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag")))
+    return found.drop("_range", "_first", "_lag", "_before", *[f"_k{i}" for i in range(len(groups))])
