@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.scratch import release, stage
+from docloom.scratch import stage
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: At least 1,024 characters, then up to the next word gap of a certain kind; 4,096 at most.
@@ -33,7 +33,6 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and of rows that repeat an id with the same text exactly one stays. Texts of any length are cut
     into chunks of at most 4,096 characters. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     norm = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     recipes = stage(
         norm.withColumn("chunks", chunks_of(F.col("norm"))).select(
@@ -41,10 +40,11 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "doc_id",
             F.sha2("norm", 256).alias("text_sha256"),
             F.array_join(F.transform("chunks", F.md5), "").alias("recipe"),
+            F.transform("chunks", lambda c: F.struct(F.unhex(F.md5(c)).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest"), F.length(c).alias("n"))).alias("parts"),
         ),
         "recipes",
     )
-    if not chunks_verified(norm):
+    if not chunks_verified(recipes):
         # Two chunks share an identifier: lists can't be trusted, so the texts themselves are the lists.
         recipes = stage(
             norm.select(
@@ -55,7 +55,6 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ),
             "recipes",
         )
-    release(spark)
     groups = stage(
         recipes.groupBy("recipe").agg(
             F.min(F.struct(F.isnull("doc_id").alias("n"), "doc_id", "row_id")).alias("first"),
@@ -74,14 +73,13 @@ def group_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def chunks_verified(norm: DataFrame) -> bool:
+def chunks_verified(recipes: DataFrame) -> bool:
     """Whether chunks with the same identifier are the same chunk, over all chunks of all documents.
 
     Compared are their lengths and 256-bit digests, reduced to their extremes before they are shuffled.
     """
-    chunk = norm.select(F.explode(chunks_of(F.col("norm"))).alias("chunk"))
-    known = chunk.select(F.unhex(F.md5("chunk")).alias("chunk_id"), F.concat_ws(":", F.sha2("chunk", 256), F.length("chunk")).alias("digest"))
-    return known.groupBy("chunk_id").agg((F.min("digest") != F.max("digest")).alias("differs")).filter("differs").isEmpty()
+    part = recipes.select(F.explode("parts").alias("p")).select("p.id", F.struct("p.digest", "p.n").alias("what"))
+    return part.groupBy("id").agg((F.min("what") != F.max("what")).alias("differs")).filter("differs").isEmpty()
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
