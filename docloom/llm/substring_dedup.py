@@ -127,8 +127,10 @@ def doc_anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, n
 def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by bucket, and (bucket, first, last) of each bucket that has any, in time that the number of buckets has no part in."""
     by = np.argsort(bucket, kind="stable")
+    if not len(by):
+        return by, []
     there = bucket[by]
-    first = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1]))) if len(by) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], there[1:] != there[:-1])))
     return by, list(zip(there[first].tolist(), first.tolist(), np.append(first[1:], len(by)).tolist(), strict=True))
 
 

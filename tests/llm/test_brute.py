@@ -164,6 +164,12 @@ def test_substrings_of_shared_passages(spark, parts):
     assert got == repeats(rows, 100)
 
 
+def test_packing_by_bucket():
+    assert substring_dedup._pack(np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
+    got = substring_dedup._pack(np.array([7, 2, 7]), np.array([1, 2, 3]))
+    assert [(b, np.frombuffer(c, np.int64).tolist()) for b, c in got] == [(2, [2]), (7, [1, 3])]
+
+
 def test_suffix_sort_is_the_plain_order():
     rng = np.random.default_rng(2)
     strings = [bytes(rng.choice([97, 98], rng.integers(24, 90)).astype(np.uint8)) for _ in range(80)]
