@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 import struct
 import zlib
 
+import numpy as np
+
 from docloom.functions import xfa
 from docloom.pdf import crypto
-from docloom.pdf.document import Document
+from docloom.pdf.document import Document, unpredict
 from docloom.pdf.syntax import Name, DocError, Ref, Stream, write_value
 
 
@@ -406,27 +409,68 @@ def jpeg_header(data: bytes) -> tuple[int, int, str]:
     raise DocError("bad_image", "no frame")
 
 
-def png_image(data: bytes) -> tuple[dict, bytes]:
-    """A grey or RGB PNG without alpha and interlace as image attributes and data (its own compression is kept)."""
+#: First column and row, and steps, of the passes of an interlaced image.
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _samples(raw: bytes, w: int, h: int, bits: int, channels: int) -> tuple[np.ndarray, int]:
+    """Samples of filtered rows (of 16 bits the upper eight), and the bytes they took."""
+    width = (channels * bits * w + 7) // 8
+    if not w or not h:
+        return np.zeros((h, w, channels), np.uint8), 0
+    n = (width + 1) * h
+    rows = np.frombuffer(unpredict(raw[:n], {"Predictor": 15, "Colors": channels, "BitsPerComponent": bits, "Columns": w}), np.uint8).reshape(h, width)
+    if bits == 16:
+        return rows.reshape(h, w, channels, 2)[..., 0], n
+    if bits < 8:
+        rows = np.unpackbits(rows, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1])
+    return rows[:, : w * channels].reshape(h, w, channels).astype(np.uint8), n
+
+
+def png_image(data: bytes) -> tuple[dict, bytes, bytes | None]:
+    """A PNG as image attributes, data, and compressed 8-bit alpha if it has any.
+
+    Grey and RGB without alpha and interlace keep their own compression; all others are written anew with 8 bits.
+    """
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise DocError("bad_image", "no PNG")
     w, h, bits, kind, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
-    if kind not in (0, 2) or interlace:
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if channels is None:
         raise DocError("bad_image", f"colour type {kind}")
-    body, at = b"", 8
+    parts, at = {b"IDAT": b"", b"PLTE": b"", b"tRNS": b""}, 8
     while at + 8 <= len(data):
         n, tag = struct.unpack(">I4s", data[at : at + 8])
-        body += data[at + 8 : at + 8 + n] if tag == b"IDAT" else b""
+        if tag in parts:
+            parts[tag] += data[at + 8 : at + 8 + n]
         at += 12 + n
-    colors = 1 if kind == 0 else 3
-    return {"Width": w, "Height": h, "BitsPerComponent": bits, "ColorSpace": Name("DeviceGray" if kind == 0 else "DeviceRGB"), "Filter": Name("FlateDecode"), "DecodeParms": {"Predictor": 15, "Colors": colors, "BitsPerComponent": bits, "Columns": w}}, body
+    attrs = lambda colors, b: {"Width": w, "Height": h, "BitsPerComponent": b, "ColorSpace": Name("DeviceGray" if colors == 1 else "DeviceRGB"), "Filter": Name("FlateDecode")}
+    if kind in (0, 2) and not interlace:
+        return attrs(channels, bits) | {"DecodeParms": {"Predictor": 15, "Colors": channels, "BitsPerComponent": bits, "Columns": w}}, parts[b"IDAT"], None
+    raw, at = zlib.decompress(parts[b"IDAT"]), 0
+    pixels = np.zeros((h, w, channels), np.uint8)
+    for x, y, dx, dy in PASSES if interlace else [(0, 0, 1, 1)]:
+        some, n = _samples(raw[at:], max(0, -(-(w - x) // dx)), max(0, -(-(h - y) // dy)), bits, channels)
+        pixels[y::dy, x::dx] = some
+        at += n
+    alpha = None
+    if kind == 3:
+        table = np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)
+        if parts[b"tRNS"]:
+            alpha = np.concatenate((np.frombuffer(parts[b"tRNS"], np.uint8), np.full(256, 255, np.uint8)))[pixels[..., 0]]
+        pixels = table[pixels[..., 0]]
+    elif kind in (4, 6):
+        pixels, alpha = pixels[..., :-1], pixels[..., -1]
+    elif bits < 8:
+        pixels = (pixels.astype(np.uint16) * 255 // (2**bits - 1)).astype(np.uint8)
+    return attrs(pixels.shape[2], 8), zlib.compress(pixels.tobytes()), None if alpha is None else zlib.compress(np.ascontiguousarray(alpha).tobytes())
 
 
 class Page:
     """Content operators of a page, each returning the page."""
 
     def __init__(self, width: float = 612, height: float = 792):
-        self.size, self.ops, self.fonts, self.images = (width, height), [], {}, {}
+        self.size, self.ops, self.fonts, self.images, self.states = (width, height), [], {}, {}, {}
 
     def op(self, *parts) -> Page:
         self.ops.append(b" ".join(p if isinstance(p, bytes) else write_value(p) for p in parts))
@@ -458,11 +502,20 @@ class Page:
         key = self.images.setdefault(data, f"Im{len(self.images) + 1}")
         return self.save().transform(w, 0, 0, h, x, y).op(Name(key), b"Do").restore()
 
-    def watermark(self, s: str, size: float = 48, angle: float = 45, grey: float = 0.8) -> Page:
-        import math
+    def opacity(self, share: float) -> Page:
+        """How much of what follows covers what is there, until the state is restored."""
+        return self.op(Name(self.states.setdefault(float(share), f"GS{len(self.states) + 1}")), b"gs")
 
+    def watermark(self, s: str, size: float = 48, angle: float = 45, grey: float = 0.8, opacity: float = 1.0) -> Page:
         c, n = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-        return self.save().color(grey).transform(c, n, -n, c, self.size[0] / 4, self.size[1] / 4).text(s, 0, 0, size).restore()
+        page = self.save().color(grey)
+        if opacity < 1:
+            page.opacity(opacity)
+        return page.transform(c, n, -n, c, self.size[0] / 4, self.size[1] / 4).text(s, 0, 0, size).restore()
+
+    def image_watermark(self, data: bytes, w: float, h: float, opacity: float = 0.3) -> Page:
+        """An image over the middle of the page."""
+        return self.save().opacity(opacity).image(data, (self.size[0] - w) / 2, (self.size[1] - h) / 2, w, h).restore()
 
 
 def build(pages: list[Page], metadata: dict[str, str] | None = None, bookmarks: list[dict] | None = None, fields: list[dict] | None = None, links: list[dict] | None = None, **how) -> bytes:
@@ -481,10 +534,13 @@ def build(pages: list[Page], metadata: dict[str, str] | None = None, bookmarks:
                 w, h, cs = jpeg_header(data)
                 attrs, body = {"Width": w, "Height": h, "BitsPerComponent": 8, "ColorSpace": Name(cs), "Filter": Name("DCTDecode")}, data
             else:
-                attrs, body = png_image(data)
+                attrs, body, alpha = png_image(data)
+                if alpha is not None:
+                    mask = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": attrs["Width"], "Height": attrs["Height"], "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray"), "Filter": Name("FlateDecode")}
+                    attrs |= {"SMask": Ref(add(Stream(mask, alpha)))}
             shown[key] = Ref(add(Stream(attrs | {"Type": Name("XObject"), "Subtype": Name("Image")}, body)))
         content = add(Stream({"Filter": Name("FlateDecode")}, zlib.compress(b"\n".join(p.ops))))
-        kids.append(add({"Type": Name("Page"), "Parent": Ref(2), "MediaBox": [0, 0, *p.size], "Contents": Ref(content), "Resources": {"Font": {k: Ref(fonts[f]) for f, k in p.fonts.items()}, "XObject": shown}}))
+        kids.append(add({"Type": Name("Page"), "Parent": Ref(2), "MediaBox": [0, 0, *p.size], "Contents": Ref(content), "Resources": {"Font": {k: Ref(fonts[f]) for f, k in p.fonts.items()}, "XObject": shown} | ({"ExtGState": {k: {"Type": Name("ExtGState"), "ca": v, "CA": v} for v, k in p.states.items()}} if p.states else {})}))
     objects[2]["Kids"] = [Ref(k) for k in kids]
     if fields:
         refs = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import codecs, issues, objects, text
 from docloom.operators import compare, diff, forms, pageset, profile, revisions, trees
+from docloom.streaming import revisions as streaming
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -405,6 +406,35 @@ def report_lines(spark, d):
     return compare.report(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("pair_id")), found)
 
 
+def _events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("SELECT date_trunc('day', ts)::VARCHAR AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_tumbling(spark, d):
+    got = streaming.windowed_counts(_events(spark, d), "ts", ["event_type"])
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("""SELECT (date_trunc('day', ts - INTERVAL 12 HOUR * k) + INTERVAL 12 HOUR * k)::VARCHAR AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) s(k) GROUP BY ALL""")
+def window_sliding(spark, d):
+    got = streaming.sliding_counts(_events(spark, d), "ts", ["event_type"])
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def window_session(spark, d):
+    got = streaming.session_counts(_events(spark, d), "ts", ["user_id"], "6 hours")
+    return got.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("SELECT user_id, event_type, min(epoch_us(ts)) AS ts_us FROM events GROUP BY ALL")
+def first_seen(spark, d):
+    return streaming.first_seen(_events(spark, d), "ts", ["user_id", "event_type"]).select("user_id", "event_type", F.unix_micros("ts").alias("ts_us"))
+
+
 def _turns(spark, d, shift: int) -> DataFrame:
     c = table(spark, d, "conversations")
     return c.select((F.col("conv_id") - shift).alias("pair"), F.col("turn").alias("idx"), "text", F.lit(72.0).alias("x"), (720 - 10 * F.col("turn")).cast("double").alias("y"), F.col("role").alias("font_name"), F.lit(12.0).alias("font_size"))
