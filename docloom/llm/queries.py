@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, secret_scan, sentencepiece_codec, sharding, substring_dedup, toxicity
+from docloom.llm import (
+    bpe_codec, embedding_dedup, exact_dedup, fill_middle, html_extract, ngram_join, packing, resampling, secret_scan, sentencepiece_codec, sharding, substring_dedup, toxicity,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_bpe": bpe_codec.op13_bpe,
 }
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op11_resampling": resampling.OP11_SQL, "op12_fill_middle": fill_middle.OP12_SQL}
