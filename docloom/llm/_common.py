@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def off_driver(spark: SparkSession, work: Callable[[], object]) -> object:
+    """What ``work()`` gives, computed in one Python worker; input and result have to be bounded.
+
+    Beside the driver runs a JVM, and threaded linear algebra may not come back from there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work())], pa.binary())], ["result"])
+
+    return pickle.loads(bytes(spark.range(0, 1, 1, 1).mapInArrow(run, "result binary").first().result))
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes of all elements of the runs [start, start + len), in order."""
     total = int(lens.sum())

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches, components
+from docloom.llm._common import bounded_batches, components, off_driver
 from docloom.scratch import stage
 
 #: Vectors that the codebooks are fitted on, in the order of a hash of their ids.
@@ -47,6 +47,7 @@ def _dist2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.array(vectors.tolist(), np.float64)
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large and very small components stay finite and above zero
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -83,7 +84,9 @@ def link_embeddings(
 
     Vectors that are null, empty, zero or hold null or non-finite components, rows with a null
     label or id, and vectors of different lengths link with nothing. Identical vectors are linked;
-    they are compared with others once, by their smallest id. An empty table gives an empty result.
+    they are compared with others once. Rows that repeat an id are vectors of their own, each with its
+    links; a component is named by the smallest id of its rows. Components of any finite size count, also those
+    whose squares are not finite. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -96,10 +99,11 @@ def link_embeddings(
         "vectors",
     )
     classes = stage(
-        rows.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")),
+        rows.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumns({"dim": F.size("v"), "class_id": F.monotonically_increasing_id()}),
         "vector-classes",
     )
-    sample = classes.orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).select("v", "dim").toPandas()
+    sample = classes.orderBy(F.xxhash64("v"), "least").limit(SAMPLE).select("v", "dim").toPandas()
     if sample.empty:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     shape = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
@@ -107,7 +111,7 @@ def link_embeddings(
     fit_on = _unit(sample["v"][sample["dim"] == dim])
     k = int(min(MAX_CENTROIDS, len(fit_on), max(2, (shape.n / max(1, shape.labels) / PER_CELL) ** 0.5)))
     half = max(1, dim // 2)
-    books = (_fit(fit_on[:, :half], k), _fit(fit_on[:, half:], k) if dim > 1 else np.zeros((1, 0)))
+    books = off_driver(spark, lambda: (_fit(fit_on[:, :half], k), _fit(fit_on[:, half:], k) if dim > 1 else np.zeros((1, 0))))
     most = 2 - 2 * min_cosine + 1e-9
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,10 +179,11 @@ def link_embeddings(
     links = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     of_class = stage(
         classes.join(links, "class_id", "left").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "class_id").alias("c")),
+        .select("label", "v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "class_id").alias("component")),
         "vector-class-links",
     )
-    linked = rows.filter("usable").join(of_class, ["label", "v"]).select(
+    named = of_class.groupBy("component").agg(F.min("least").alias("c"))
+    linked = rows.filter("usable").join(of_class.join(named, "component"), ["label", "v"]).select(
         "vec_id", F.col("n").cast("long").alias("n_links"), F.col("c").alias("component_id"), (F.col("vec_id") == F.col("c")).alias("kept")
     )
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

@@ -272,23 +272,47 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), counts
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps over whole rows. The driver holds a JVM beside it, where threaded linear algebra may not come back."""
+    n = len(matrix)
+    both = np.hstack((matrix, np.eye(n)))
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, max_rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns with how often each is used, covering the demand exactly; by column generation.
 
-    Revised simplex over the pattern LP. Columns are priced by ``best_pattern``; Farley's bound
+    Revised simplex over the pattern LP. Columns are priced by ``best_pattern``, at duals drawn towards those of
+    the best bound so far, which keeps them from swinging; Farley's bound
     stops it within ``gap`` of the optimum. Floors of the solution are kept, and what they leave
-    uncovered is placed best-fit decreasing.
+    uncovered is placed best-fit decreasing. Products are sums of elements, without a threaded library.
     """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = (inverse * demand).sum(1)
+    bound, centre = 0.0, np.zeros(m)
     for round_ in range(max_rounds):
         duals = inverse.sum(axis=0)
-        value, column = best_pattern(np.maximum(duals, 0), sizes, capacity)
-        if value <= 1 + gap:
+        for pull in (0.8, 0.0):
+            at = np.maximum(pull * centre + (1 - pull) * duals, 0)
+            value, column = best_pattern(at, sizes, capacity)
+            if (lower := float((at * demand).sum()) / max(value, 1e-12)) > bound:
+                bound, centre = lower, at / value
+            if (duals * column).sum() > 1 + 1e-9:
+                break
+        else:
+            break  # no pattern is worth more than a sequence
+        if x.sum() <= bound * (1 + gap):
             break
-        step = inverse @ column
+        step = (inverse * column).sum(1)
         up = step > 1e-9
         ratio = np.where(up, x / np.where(up, step, 1), np.inf)
         out = int(ratio.argmin())
@@ -300,8 +324,8 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
         if round_ % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+            x = np.maximum((inverse * demand).sum(1), 0)
     left = demand.astype(np.int64).copy()
     out_patterns: list[tuple[np.ndarray, int]] = []
     for j in np.argsort(-x):

@@ -2,8 +2,11 @@
 
 import random
 import string
+import time
 
-from docloom.llm import html_extract, secret_scan
+import numpy as np
+
+from docloom.llm import embedding_dedup, html_extract, packing, secret_scan
 
 
 def test_template_decides_inside_articles(spark):
@@ -32,3 +35,38 @@ def test_a_copy_at_the_edge_of_the_context_does_not_prime():
     for cut in range(len(key) + 1):
         text = f"auth {key}" + (" x y" * secret_scan.AROUND)[: secret_scan.AROUND - cut - 1] + f" {key} end"
         assert (5, 3, 5 + len(key)) in secret_scan.novel_spans(text, []), cut
+
+
+def test_linear_program_of_many_classes_in_a_live_session(spark):
+    assert spark.range(10).count() == 10
+    rng = np.random.default_rng(2)
+    sizes, demand = np.arange(1, 257), rng.integers(1, 60, 256)
+    began = time.time()
+    patterns = packing.cutting_stock(sizes, demand, 256)
+    assert time.time() - began < 60
+    assert (sum(c * n for c, n in patterns) == demand).all() and all((c * sizes).sum() <= 256 for c, _ in patterns)
+    used, least = sum(n for _, n in patterns), -(-int((sizes * demand).sum()) // 256)
+    assert least <= used <= least * 1.02
+    matrix = rng.normal(size=(40, 40))
+    assert np.allclose(packing._inverse(matrix), np.linalg.inv(matrix))
+
+
+def test_embeddings_of_any_size_and_repeated_ids(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-170, 1e-170], 1), (3, [1.0, 1.0], 1), (4, [5e-324, 0.0], 1), (5, [1e308, 1.0], 1), (6, [-1e200, 1e200], 1)]
+    rows += [(7, [0.0, 1.0], 2), (7, [1.0, 0.0], 2), (7, [1.0, 0.0], 3), (8, [1.0, 0.01], 2), (9, [0.01, 1.0], 2), (3, [-0.0, 7.0], 2), (10, [1.0, 0.0], 3), (10, [1.0, 0.0], 3)]
+    rng = np.random.default_rng(4)
+    for i in range(200):
+        a = rng.integers(0, 12) / 12 * np.pi
+        rows.append((int(rng.integers(20, 60)), (10.0 ** int(rng.integers(-160, 160)) * np.array([np.cos(a + i * 1e-3), np.sin(a + i * 1e-3)])).tolist(), 4))
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)).collect()]
+    x = np.array([r[1] for r in rows])
+    x /= np.abs(x).max(1)[:, None]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    label = np.array([r[2] for r in rows])
+    link = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    reach = link | np.eye(len(rows), dtype=bool)
+    for _ in range(9):
+        reach = reach @ reach
+    least = [min(rows[j][0] for j in np.flatnonzero(reach[i])) for i in range(len(rows))]
+    assert sorted(got) == sorted((r[0], int(link[i].sum()), least[i], r[0] == least[i]) for i, r in enumerate(rows))
