@@ -440,15 +440,54 @@ def _turns(spark, d, shift: int) -> DataFrame:
     return c.select((F.col("conv_id") - shift).alias("pair"), F.col("turn").alias("idx"), "text", F.lit(72.0).alias("x"), (720 - 10 * F.col("turn")).cast("double").alias("y"), F.col("role").alias("font_name"), F.lit(12.0).alias("font_size"))
 
 
-@query()
+#: Both sides' rows stand at one place if they are of one turn. {p}: the text as it is compared; {moves}: whether moves are told.
+_ALIGN = """WITH RECURSIVE l0 AS (SELECT conv_id AS pair, turn AS idx, text, role AS font, {p} AS p FROM conversations), r0 AS (SELECT conv_id - 1 AS pair, turn AS idx, text, role AS font, {p} AS p FROM conversations),
+same AS (SELECT pair, idx FROM l0 JOIN r0 USING (pair, idx) WHERE l0.p IS NOT DISTINCT FROM r0.p),
+l1 AS (SELECT * FROM l0 ANTI JOIN same USING (pair, idx)), r1 AS (SELECT * FROM r0 ANTI JOIN same USING (pair, idx)),
+changed AS (SELECT l1.pair, l1.idx FROM l1 JOIN r1 USING (pair, idx) WHERE NOT EXISTS (SELECT 1 FROM r1 o WHERE o.pair = l1.pair AND o.p = l1.p) AND NOT EXISTS (SELECT 1 FROM l1 o WHERE o.pair = r1.pair AND o.p = r1.p)),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY idx) AS k FROM l1 ANTI JOIN changed USING (pair, idx)), r2 AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY idx) AS k FROM r1 ANTI JOIN changed USING (pair, idx)),
+size AS (SELECT pair, n, m FROM (SELECT pair, count(*) AS n FROM l2 GROUP BY pair) JOIN (SELECT pair, count(*) AS m FROM r2 GROUP BY pair) USING (pair)),
+grid(pair, q, t) AS (SELECT pair, 0::BIGINT, []::BIGINT[] FROM size UNION ALL
+  SELECT g.pair, q + 1, list_append(t, CASE WHEN q // (m + 1) = 0 OR q % (m + 1) = 0 THEN 0 WHEN a.p = b.p AND a.font = b.font THEN t[q - m - 1] + 1 ELSE greatest(t[q - m], t[q]) END)
+  FROM grid g JOIN size z ON z.pair = g.pair LEFT JOIN l2 a ON a.pair = g.pair AND a.k = q // (m + 1) LEFT JOIN r2 b ON b.pair = g.pair AND b.k = q % (m + 1) WHERE q < (n + 1) * (m + 1)),
+walk(pair, i, j, hit) AS (SELECT pair, n, m, false FROM size UNION ALL
+  SELECT w.pair, CASE WHEN a.p = b.p AND a.font = b.font OR t[(i - 1) * (m + 1) + j + 1] > t[i * (m + 1) + j] THEN i - 1 ELSE i END,
+    CASE WHEN NOT (a.p = b.p AND a.font = b.font) AND t[(i - 1) * (m + 1) + j + 1] > t[i * (m + 1) + j] THEN j ELSE j - 1 END, a.p = b.p AND a.font = b.font
+  FROM walk w JOIN size z ON z.pair = w.pair JOIN grid g ON g.pair = w.pair AND g.q = (n + 1) * (m + 1) JOIN l2 a ON a.pair = w.pair AND a.k = i JOIN r2 b ON b.pair = w.pair AND b.k = j),
+chain AS (SELECT w.pair, a.idx AS left_idx, b.idx AS right_idx FROM walk w JOIN l2 a ON a.pair = w.pair AND a.k = i + 1 JOIN r2 b ON b.pair = w.pair AND b.k = j + 1 WHERE hit),
+l3 AS (SELECT *, row_number() OVER (PARTITION BY pair, p ORDER BY idx) AS nth FROM l2 WHERE NOT EXISTS (SELECT 1 FROM chain c WHERE c.pair = l2.pair AND c.left_idx = l2.idx)),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY pair, p ORDER BY idx) AS nth FROM r2 WHERE NOT EXISTS (SELECT 1 FROM chain c WHERE c.pair = r2.pair AND c.right_idx = r2.idx)),
+moved AS (SELECT l3.pair, l3.idx AS left_idx, r3.idx AS right_idx FROM l3 JOIN r3 USING (pair, p, nth) WHERE {moves}),
+l4 AS (SELECT * FROM l3 WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.pair = l3.pair AND c.left_idx = l3.idx)), r4 AS (SELECT * FROM r3 WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.pair = r3.pair AND c.right_idx = r3.idx)),
+last AS (SELECT l4.pair, l4.idx FROM l4 JOIN r4 USING (pair, idx)),
+found AS (SELECT pair, 'modified' AS kind, idx AS left_idx, idx AS right_idx FROM changed UNION ALL SELECT pair, 'modified', idx, idx FROM last
+  UNION ALL SELECT pair, 'moved', left_idx, right_idx FROM chain WHERE {moves} AND left_idx <> right_idx UNION ALL SELECT pair, 'moved', left_idx, right_idx FROM moved
+  UNION ALL SELECT pair, 'removed', idx, NULL FROM l4 ANTI JOIN last USING (pair, idx) UNION ALL SELECT pair, 'added', NULL, idx FROM r4 ANTI JOIN last USING (pair, idx)),
+bytes AS (SELECT f.pair, f.kind, f.left_idx, f.right_idx, regexp_extract_all(hex(encode(l0.text)), '..') AS x, regexp_extract_all(hex(encode(r0.text)), '..') AS y
+  FROM found f LEFT JOIN l0 ON l0.pair = f.pair AND l0.idx = left_idx LEFT JOIN r0 ON r0.pair = f.pair AND r0.idx = right_idx)
+SELECT pair, kind, left_idx::BIGINT AS left_idx, right_idx::BIGINT AS right_idx, CASE kind WHEN 'moved' THEN 0.0 WHEN 'modified' THEN
+  list_sum(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: CASE WHEN x[i] IS NOT DISTINCT FROM y[i] THEN 0 ELSE 1 END))::DOUBLE / greatest(len(x), len(y)) ELSE 1.0 END AS ratio FROM bytes"""
+
+
+def _aligned(spark, d, options: diff.CompareOptions) -> DataFrame:
+    from docloom.operators import matching
+
+    found = matching.align_sequences(_turns(spark, d, 0), _turns(spark, d, 1), ["pair"], options)
+    c = table(spark, d, "conversations")
+    found = found.join(c.select(F.col("conv_id").alias("pair"), F.col("turn").alias("left_idx"), F.col("text").alias("a")), ["pair", "left_idx"], "left")
+    found = found.join(c.select((F.col("conv_id") - 1).alias("pair"), F.col("turn").alias("right_idx"), F.col("text").alias("b")), ["pair", "right_idx"], "left")
+    ratio = F.when(F.col("kind") == "moved", 0.0).when(F.col("kind") == "modified", text.change_ratio(F.col("a"), F.col("b"))).otherwise(1.0)
+    return found.select("pair", "kind", F.col("left_idx").cast("long").alias("left_idx"), F.col("right_idx").cast("long").alias("right_idx"), ratio.alias("ratio"))
+
+
+@query(_ALIGN.format(p="text", moves="true"))
 def greedy_diff(spark, d):
-    return diff.align_elements(_turns(spark, d, 0), _turns(spark, d, 1), ["pair"])
+    return _aligned(spark, d, diff.CompareOptions())
 
 
-@query()
+@query(_ALIGN.format(p=f"regexp_replace({_CASE}, '[ \\t\\r\\n]', '', 'g')", moves="false"))
 def lcs_match(spark, d):
-    o = diff.CompareOptions(ignore_case=True, ignore_space=True, detect_moves=False)
-    return diff.align_elements(_turns(spark, d, 0), _turns(spark, d, 1), ["pair"], o)
+    return _aligned(spark, d, diff.CompareOptions(ignore_case=True, ignore_space=True, detect_moves=False))
 
 
-from docloom.plans import document_queries  # noqa: E402, F401  registers its queries here
+from docloom.plans import document_queries, sequence_queries  # noqa: E402, F401  register their queries here
