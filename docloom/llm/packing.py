@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from docloom.scratch import stage
 SEQUENCE = 4096
 GRAIN = 16
 END_ID = 2
+#: Characters of texts that are encoded at a time.
+SLICE = 3_000_000
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 1_300_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -152,10 +156,17 @@ class WordTokenizer:
         low = w if w.islower() and w.isascii() else unicodedata.normalize("NFC", w).lower()
         return self.split(low) if unicodedata.is_normalized("NFC", low) else None
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], plain: bool) -> None:
+        """``plain``: they are words of texts in lower case without anything odd."""
         parts: list[list[str] | None] = []
         for w in words:
+            if plain and w.isalpha():
+                parts.append([w])
+                continue
             body = w.rstrip(MARKS)
+            if plain:
+                parts.append([body, w[len(body) :]] if body.isalpha() else self.split(w))
+                continue
             # Lower-case letters are one pre-token, and so are signs behind them.
             if body.isascii() and body.isalpha() and body.islower() or body.isalpha() and body == body.lower() and unicodedata.is_normalized("NFC", body) and not ODD.search(w):
                 parts.append([body, w[len(body) :]] if len(body) < len(w) else [body])
@@ -190,32 +201,48 @@ class WordTokenizer:
         self.place.update(zip(words, range(n0, n0 + len(words)), strict=True))
 
     @staticmethod
-    def _words(t: str) -> list[str]:
-        if NOT_SPACE.search(t):
-            return [t]
-        if ODD_TEXT.search(t) or not unicodedata.is_normalized("NFC", t) or not unicodedata.is_normalized("NFC", low := t.lower()):
-            return t.split()
-        return low.split()
+    def _plain(t: str) -> str | None:
+        """A text in lower case, if that and its words are plain."""
+        if ODD_TEXT.search(t):
+            return None
+        low = t.lower()
+        return low if t.isascii() or unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", low) else None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # Where lower-casing is plain it is done for the whole text, so that there are fewer words to know.
-        words = [t.lower().split() if t.isascii() and not ODD_TEXT.search(t) else self._words(t) for t in texts]
-        flat = list(itertools.chain.from_iterable(words))
-        known = list(map(self.place.get, flat))
+    def _ids(self, words: list[str], plain: bool) -> np.ndarray:
+        """Places of distinct words among those known, after learning the others."""
         if len(self.sub) > CACHE_WORDS // 10:
             self.sub = {}
-        if None in known:
-            unknown = {w for w, k in zip(flat, known, strict=True) if k is None}
-            if len(self.place) + len(unknown) > CACHE_WORDS:
-                self._clear()
-                unknown = set(flat)
-            self._learn(list(unknown))
-            known = list(map(self.place.__getitem__, flat))
-        at = np.array(known, np.int64)
+        unknown = [w for w in words if w not in self.place]
+        if unknown and len(self.place) + len(unknown) > CACHE_WORDS:
+            self._clear()
+            unknown = words
+        if unknown:
+            self._learn(unknown, plain)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def _of(self, at: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         lens = self.lens[at].astype(np.int64)
         ids = self.flat[ragged(self.starts[at], lens)]
-        ends = np.concatenate(([0], np.cumsum(lens)))[np.cumsum([len(w) for w in words], dtype=np.int64)] if words else []
-        return np.split(ids, ends[:-1]) if len(ends) else []
+        return np.split(ids, np.concatenate(([0], np.cumsum(lens)))[ends][:-1]) if len(ends) else []
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # Where lower-casing is plain it is done for the whole text, so that there are fewer words to know.
+        low = [self._plain(t) for t in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if easy := [i for i, t in enumerate(low) if t is not None]:
+            lists = pc.utf8_split_whitespace(pa.array([low[i] for i in easy], pa.large_string()))
+            words = lists.flatten().dictionary_encode()
+            at = self._ids(words.dictionary.to_pylist(), True)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+            ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
+            for i, ids in zip(easy, self._of(at, ends), strict=True):
+                out[i] = ids
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                parts = [t] if NOT_SPACE.search(t) else t.split()
+                distinct = list(dict.fromkeys(parts))
+                where = dict(zip(distinct, self._ids(distinct, False).tolist(), strict=True))
+                out[i] = self._of(np.array([where[w] for w in parts], np.int64), np.array([len(parts)]))[0]
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -236,8 +263,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for b in batches:
             rows = []
             texts = [t if isinstance(t, str) else "" for t in b["text"]]
-            for i in range(0, len(texts), 256):
-                for d, ids in zip(b["doc_id"][i : i + 256], tok.encode(texts[i : i + 256]), strict=True):
+            # Some MB of text at a time: enough for its words to repeat.
+            starts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SLICE, prepend=-1))
+            for i, j in zip(starts, [*starts[1:], len(texts)], strict=True):
+                for d, ids in zip(b["doc_id"][i:j], tok.encode(texts[i:j]), strict=True):
                     ids = np.append(ids, END_ID).astype("<u4")
                     for s in range(0, len(ids), SEQUENCE):
                         part = ids[s : s + SEQUENCE]
