@@ -44,7 +44,7 @@ MARKED = {"nav", "footer", "aside", "header", "form", "dialog", "menu", "fieldse
 HOLDS = {"article", "main", "h1", "form", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
 #: Words of class and id names of parts that are not the article, and words that go along with them.
-NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "footer", "masthead", "topbar", "widget", "widgets", "pagination", "pager", "copyright", "disclaimer", "hidden"}
+NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc", "cookie", "cookies", "consent", "feedback", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion", "footer", "masthead", "topbar", "widget", "widgets", "pagination", "pager", "copyright", "disclaimer", "hidden"}
 WITH = {"area", "bar", "block", "bottom", "box", "buttons", "container", "form", "header", "inner", "item", "items", "left", "line", "link", "links", "list", "main", "page", "panel", "posts", "primary", "right", "secondary", "section", "side", "site", "slot", "text", "thread", "top", "unit", "user", "wrap", "wrapper"}
 CLOSES_P = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "hr", "dl", "figure", "address", "fieldset", "details"}
 #: Pages of a host from which it has a template, and shares of them that frequent elements and texts stand on.
@@ -113,60 +113,59 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     """Elements in page order (the first stands for the page), with the text in them; and the blocks of text."""
     nodes, blocks = [Node(0, -1, False, False, False)], []
     stack: list[tuple[str, int, bool]] = []  # tag, its element, a part that holds no text begins here
-    text: list[str] = []
-    linked = skipped = links = 0
+    places: dict[str, list[int]] = {}  # of each open tag in the stack; "" stands for all that are not inline
+    text: list[tuple[int, str, bool]] = []  # element, text, in a link
+    skipped = links = 0
     at, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
-        if text:
-            got = SPACE.sub(" ", entities.unescape("".join(text))).strip()
+        # An inline element that says what it is has a text of its own, beside that of the block around it.
+        parts: dict[int, list[tuple[int, str, bool]]] = {}
+        for t in text:
+            parts.setdefault(t[0], []).append(t)
+        for k, own in parts.items():
+            got = SPACE.sub(" ", entities.unescape("".join([t[1] for t in own]))).strip()
             if got:
-                k = stack[-1][1] if stack else 0
-                part = min(linked, len(got))
+                part = min(sum(len(t[1]) for t in own if t[2]), len(got))
                 blocks.append(Block(got, k, part))
                 nodes[k].mass += len(got)
                 nodes[k].linked += part
-            text.clear()
-        linked = 0
+        text.clear()
 
     def close(i: int) -> None:
         nonlocal skipped, links
         for tag, _, skip in stack[i:]:
             skipped -= skip
             links -= tag == "a"
+            places[tag].pop()
+            if tag not in INLINE:
+                places[""].pop()
         del stack[i:]
 
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
+
     while at < n:
         m = LEX.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             if not skipped and (page[m.start()] != "<" or at == m.start() + 1):
-                text.append(m[0])
-                linked += len(m[0]) if links else 0
+                text.append((stack[-1][1] if stack else 0, m[0], links > 0))
             continue
         tag, end, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag not in INLINE:
             if tag == "br":
-                text.append(" ")
+                text.append((stack[-1][1] if stack else 0, " ", False))
                 continue
             flush()
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            # An inline end does not reach beyond the block that it stands in.
+            if (i := last(tag)) >= 0 and (tag not in INLINE or i > last("")):
+                close(i)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and (i := last("p")) >= 0 and i == last(""):
+            close(i)
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             close(len(stack) - 1)
         if tag in RAW:
@@ -185,6 +184,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             here = len(nodes) - 1
         skipped += skip
         links += tag == "a"
+        for t in (tag, "") if tag not in INLINE else (tag,):
+            places.setdefault(t, []).append(len(stack))
         stack.append((tag, here, skip))
     flush()
     for node in reversed(nodes[1:]):

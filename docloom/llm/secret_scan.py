@@ -3,7 +3,7 @@
 A candidate is a long run of key characters near a sensitive word. Its novelty is the number of
 bytes that it adds to the compressed size of the text around it, with the compressor primed by a
 dictionary of code and identifier words: words that are known or stand nearby compress well, keys do
-not; identifiers of rarer words are reported too.
+not. Long words, identifiers and links of rarer words are told from keys by their pieces and letter pairs.
 Copies of the candidate, or of 16 characters of it, in that text are blanked out first, so that a key
 that stands twice does not prime itself. Every candidate is measured.
 """
@@ -27,12 +27,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-CUES = ("passw", "secret", "token", "api_key", "apikey", "credential", "auth", "private", "bearer", "signature")
+#: Sensitive words; a longer word that only begins like one ("author", "authentic", "privately") is none, ``authToken`` and ``secret_key`` are.
+CUE = re.compile(r"(?:passw|api_?key|credential)|(?:secret|token|auth|authorization|authentication|private|bearer|signature)(?:s|_|(?![A-Za-z]))|(?:[Ss]ecret|[Tt]oken|[Aa]uth|[Pp]rivate|[Bb]earer|[Ss]ignature)(?=[A-Z])")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Characters after a sensitive word in which a candidate may start, and of text that primes it.
 REACH, AROUND = 64, 512
 #: Least length of a candidate, and of a piece of it that counts as its copy.
 LEAST = 16
+#: Parts of a candidate: letters of one case (also capitalised), digits.
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Share of a candidate's letter pairs that are known where it is made of words.
+WORD_PAIRS = 0.75
+CUE_PARTS = ("passw", "secret", "token", "api_key", "apikey", "credential", "auth", "private", "bearer", "signature")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Compressed bits that a character of a candidate must add (letters of prose add 2 to 3).
 NOVEL_BITS = 4.2
 #: Words that source code and configuration files are full of.
@@ -82,13 +89,31 @@ def novelty_bits(before: str, candidate: str, after: str) -> float:
 
 def cue_ends(text: str) -> list[int]:
     """Where sensitive words end, in either case, ascending."""
-    low, out = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text) if len(text.lower()) != len(text) else text.lower(), []
-    for w in CUES:
-        at = low.find(w)
-        while at >= 0:
-            out.append(at + len(w))
-            at = low.find(w, at + 1)
-    return sorted(out)
+    low = text.translate(_LOWER)
+    if not any(w in low for w in CUE_PARTS):
+        return []
+    return sorted({m.end() for t in (low, text) for m in CUE.finditer(t)})
+
+
+def _pairs(text: str) -> set[str]:
+    return {p for p in map("".join, zip(text, text[1:])) if p.isalpha()}
+
+
+@lru_cache(maxsize=1)
+def _known_pairs() -> frozenset[str]:
+    return frozenset(_pairs(CODE_WORDS))
+
+
+def reads_as_words(before: str, candidate: str, after: str) -> bool:
+    """Whether a candidate is long words, an identifier or a link: pieces of four letters and more in the mean, of one
+    case each, few short numbers, and letter pairs of which most stand in the dictionary or the text around."""
+    pieces = PIECE.findall(candidate)
+    letters = [p for p in pieces if p.isalpha()]
+    if not letters or any(p.isdigit() and len(p) > 4 for p in pieces) or sum(p.isdigit() for p in pieces) > len(letters) or sum(map(len, letters)) < 4 * len(letters):
+        return False
+    near = _pairs((without_copies(before, candidate)[-AROUND:] + " " + without_copies(after, candidate)[:AROUND]).translate(_LOWER))
+    found = [p[i : i + 2] for p in map(str.lower, letters) for i in range(len(p) - 1)]
+    return sum(p in near or p in _known_pairs() for p in found) >= WORD_PAIRS * len(found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -121,7 +146,8 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             cand = text[s:e]
             # Longer than what primes it, so that a copy which its edge cuts is still seen.
             reach = AROUND + LEAST - 1
-            if novelty_bits(text[max(0, s - reach) : s], cand, text[e : e + reach]) >= NOVEL_BITS:
+            sides = text[max(0, s - reach) : s], cand, text[e : e + reach]
+            if novelty_bits(*sides) >= NOVEL_BITS and not reads_as_words(*sides):
                 out.append((s, 3, e))
     return out
 

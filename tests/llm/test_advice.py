@@ -70,3 +70,42 @@ def test_embeddings_of_any_size_and_repeated_ids(spark):
         reach = reach @ reach
     least = [min(rows[j][0] for j in np.flatnonzero(reach[i])) for i in range(len(rows))]
     assert sorted(got) == sorted((r[0], int(link[i].sum()), least[i], r[0] == least[i]) for i, r in enumerate(rows))
+
+
+#: Long words, links and identifiers of prose and code.
+LONG_WORDS = """counterrevolutionaries internationalization Donaudampfschifffahrtsgesellschaft Lebensversicherungsgesellschaften
+self-explanatory/straightforward anticonstitucionalmente incomprehensiblement Geschwindigkeitsbegrenzung electroencefalografista
+Rechtsschutzversicherungsgesellschaften otorrinolaringologia constitutionnellement gouvernementalisation deinstitutionalization
+uncharacteristically www.example.org/blog/2024/05/how-we-build-things example.com/articles/understanding-distributed-systems
+github.com/project/repository/issues/1234 configuration_settings_directory getAuthenticationProviderFactory responsabilidades-compartidas
+user_registration_confirmation_page static/images/background-header.png CONNECTION_TIMEOUT_SECONDS ThisIsAVeryLongIdentifierName""".split()
+AROUND_THEM = [
+    "The committee said that {0} {1} was a matter for the people who had come from many places to hear what the others would say about it in the end.",
+    "Der Ausschuss hat gesagt, dass {0} {1} eine Sache der Menschen ist, die von weit her gekommen sind, um zu hören, was die anderen am Ende dazu sagen.",
+    "Le comité a dit que {0} {1} est une affaire pour les gens qui sont venus de loin pour entendre ce que les autres diraient à la fin de la journée.",
+    "El comité ha dicho que {0} {1} es un asunto de las personas que han venido de muchos lugares para escuchar lo que los otros dirían al final del día.",
+]
+
+
+def test_prose_stays_and_keys_are_found():
+    found = [(w, c) for w in LONG_WORDS for t in AROUND_THEM for c in ("auth", "private", "the token", "password") if secret_scan.novel_spans(t.format(c, w), [])]
+    assert len(found) <= 0.03 * len(LONG_WORDS) * 16, found
+    for cue in ("author", "authentic", "authorities", "privately", "signatureless"):  # no sensitive words
+        assert not any(secret_scan.novel_spans(t.format(cue, w), []) for w in [*LONG_WORDS, "qZrtWpLmXvBnKjHgFdSaTyUiOpQwErAs"] for t in AROUND_THEM)
+    rng, missed, n = random.Random(1), [], 0
+    low, digits = string.ascii_lowercase, string.digits
+    for letters in (string.ascii_letters, string.ascii_letters + digits, string.ascii_letters + digits + "+/", digits, low, low + digits, low.upper() + digits):
+        for size in (16, 20, 32, 40):
+            for t in AROUND_THEM:
+                for cue in ("authToken", "client_secret is", "the auth", "Private keys:"):
+                    key = "".join(rng.choice(letters) for _ in range(size))
+                    text, n = t.format(cue, key), n + 1
+                    if not any(text[s:e].startswith(key) for s, _, e in secret_scan.novel_spans(text, [])):
+                        missed.append(key)
+    assert len(missed) <= 0.01 * n, missed
+
+
+def test_redaction_keeps_prose(spark):
+    rows = [(i, t.format("the author and the auth", w)) for i, w in enumerate(LONG_WORDS[:2] + LONG_WORDS[4:7]) for t in AROUND_THEM] + [(99, "auth qZrtWpLmXvBnKjHgFdSaTyUiOpQwErAs end")]
+    got = {(r.doc_id, r.text) for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {*rows[:-1], (99, "auth [secret] end")}
