@@ -1,5 +1,6 @@
 """Template deduction: what decides, on pages of many makes, and its vectors against plain counting."""
 
+import time
 from collections import Counter
 
 import pandas as pd
@@ -87,3 +88,23 @@ def test_only_classes_of_several_tokens_are_template():
     nodes, _ = h.parse("<body><ul><li>a</ul><div><p>x</div></body>")
     body, ul, li, div, p = (n.token for n in nodes[1:])
     assert tokens == once == [body, ul, div, p] and li not in tokens and not any(gone)
+
+
+def test_marked_inline_elements_have_a_text_of_their_own():
+    assert h.extract_page('<p>Real text <span class="ad">BUY <b>NOW</b></span> goes on.</p><p>Next</p>') == "Real text goes on.\nNext"
+    assert h.extract_page("<p>A <span class=x>kept</span> word</p>") == "A kept word"
+    note = '<article><p>Body</p><div class="user-feedback">I liked it</div></article>'
+    assert h.extract_page(note) == "Body"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "x</p>" * 10_000, "<b>" * 10_000 + "x</i>" * 10_000, "<i><div>" + "<b>" * 10_000 + "x</i>" * 10_000, "<p>" + "<b>" * 5000 + "x<p>" * 5000, "<p>x" + "<span class=ad>y</span>z" * 5000])
+def test_time_is_linear_in_tags_that_close_nothing(page):
+    began = time.process_time()
+    h.extract_page(page)
+    assert time.process_time() - began < 3
+
+
+def test_end_tags_reach_what_they_may():
+    assert h.extract_page("<article><p>one <b>two</p><p>three</b> four</article><footer>x</footer>") == "one two\nthree four"
+    assert h.extract_page("<article><i>a<div>b</i>c</div>d</article>") == "a\nbc\nd"
+    assert h.extract_page("<article><p>a<div>b<p>c</div>d</article>") == "a\nb\nc\nd"
