@@ -34,10 +34,10 @@ def compare(left: DataFrame, right: DataFrame, options: CompareOptions = Compare
     Each file is read once. Kinds and metadata fields that the options ignore are left out.
     """
     read = ["metadata", "pages", "text_elements", "graphics", "annotations", "bookmarks", "fields", "image_refs", "images"]
-    once = {id(f): documents.parsed(f, read) for f in (left, right)}
+    once = {id(f): documents.parsed(f, read, keep=("pair_id",)) for f in (left, right)}
 
     def of(files: DataFrame, name: str) -> DataFrame:
-        return documents.table(once[id(files)], name).join(files.select("file_id", "pair_id"), "file_id")
+        return documents.table(once[id(files)], name, keep=("pair_id",))
 
     both = lambda name: (of(left, name), of(right, name))
     key = lambda c: F.transform(F.col(c), lambda v: F.floor(v * 10 + 0.5).cast("long")).cast("string")

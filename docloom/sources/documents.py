@@ -85,11 +85,14 @@ def _columns(name: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in _split(SCHEMAS[name])]
 
 
-def table(files: DataFrame, name: str, password: str = "") -> DataFrame:
-    """One of the tables of SCHEMAS over ``file_id, content``, or over ``parsed`` files. Unreadable files show in ``warnings`` only."""
+def table(files: DataFrame, name: str, password: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One of the tables of SCHEMAS over ``file_id, content``, or over ``parsed`` files. Unreadable files show in ``warnings`` only.
+
+    ``keep``: further columns that the parsed files carry.
+    """
     schema, columns = SCHEMAS[name], _columns(name)
     if name in files.columns:
-        return files.select("file_id", F.inline(name)).select(*columns)
+        return files.select("file_id", *keep, F.inline(name)).select(*keep, *columns)
     kernel = _kernel(name)
     numbers = [c.split(" ")[0] for c in map(str.strip, _split(schema)) if c.endswith(" long")]
 
@@ -113,24 +116,26 @@ def _read(kernel: Callable[[bytes, bytes], dict[str, list[dict]]], data, passwor
         return {"warnings": [{"code": "unreadable", "message": f"{type(e).__name__}: {e}"}]}
 
 
-def parsed(files: DataFrame, names: list[str], password: str = "") -> DataFrame:
+def parsed(files: DataFrame, names: list[str], password: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """``file_id`` and an array column for each of these tables: every file is read once, and ``table`` takes it from there.
 
-    The tables of one call come from one kernel. The result is staged, since several plans start from it.
+    The tables of one call come from one kernel. The result is staged, since several plans start from it. ``keep``: further
+    columns of the files that come along.
     """
     fields = {n: [c.strip().split(" ", 1) for c in _split(SCHEMAS[n])][1:] for n in names}
-    schema = "file_id string, " + ", ".join(f"{n} array<struct<{', '.join(f'{c}:{t}' for c, t in fs)}>>" for n, fs in fields.items())
+    kinds = dict(files.dtypes)
+    schema = "file_id string, " + ", ".join([*[f"{k} {kinds[k]}" for k in keep], *[f"{n} array<struct<{', '.join(f'{c}:{t}' for c, t in fs)}>>" for n, fs in fields.items()]])
     kernel = _kernel(names[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for fid, data in zip(b["file_id"], b["content"], strict=True):
+            for fid, data, *kept in zip(b["file_id"], b["content"], *(b[k] for k in keep), strict=True):
                 got = _read(kernel, data, password)
-                rows.append((fid, *([{c: r.get(c) for c, _ in fs} for r in got.get(n, [])] for n, fs in fields.items())))
-            yield pd.DataFrame(rows, columns=["file_id", *fields])
+                rows.append((fid, *kept, *([{c: r.get(c) for c, _ in fs} for r in got.get(n, [])] for n, fs in fields.items())))
+            yield pd.DataFrame(rows, columns=["file_id", *keep, *fields])
 
-    return stage(files.select("file_id", "content").mapInPandas(run, schema), "parsed")
+    return stage(files.select("file_id", "content", *keep).mapInPandas(run, schema), "parsed")
 
 
 def content_json(files: DataFrame, password: str = "") -> DataFrame:
@@ -175,16 +180,10 @@ def latest_objects(raw_objects: DataFrame) -> DataFrame:
 def document_summary(files: DataFrame) -> DataFrame:
     """Pages, bytes of text, images, and flags of each file; scanned: pages with images and no text."""
     files = parsed(files, ["pages", "text_elements", "images", "bookmarks", "fields"])
-    pages = table(files, "pages").groupBy("file_id").agg(F.count("*").alias("pages"))
-    text = table(files, "text_elements").groupBy("file_id").agg(F.sum(F.octet_length("text")).alias("text_bytes"))
-    images = table(files, "images").groupBy("file_id").agg(F.count("*").alias("images"))
-    marks = table(files, "bookmarks").groupBy("file_id").agg(F.count("*").alias("bookmarks"))
-    fields = table(files, "fields").groupBy("file_id").agg(F.count("*").alias("fields"))
-    out = files.select("file_id")
-    for t in (pages, text, images, marks, fields):
-        out = out.join(t, "file_id", "left")
-    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("pages", "text_bytes", "images", "bookmarks", "fields")}
-    return out.select("file_id", *[n[c].cast("long").alias(c) for c in n], (n["text_bytes"] > 0).alias("has_text"), (n["images"] > 0).alias("has_images"), (n["bookmarks"] > 0).alias("has_bookmarks"), (n["fields"] > 0).alias("has_forms"), ((n["images"] > 0) & (n["text_bytes"] == 0) & (n["pages"] > 0)).alias("scanned"))
+    size = lambda c: F.size(c).cast("long")
+    text = F.aggregate("text_elements", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t["text"]), F.lit(0)))
+    n = {"pages": size("pages"), "text_bytes": text, "images": size("images"), "bookmarks": size("bookmarks"), "fields": size("fields")}
+    return files.select("file_id", *[n[c].cast("long").alias(c) for c in n], (n["text_bytes"] > 0).alias("has_text"), (n["images"] > 0).alias("has_images"), (n["bookmarks"] > 0).alias("has_bookmarks"), (n["fields"] > 0).alias("has_forms"), ((n["images"] > 0) & (n["text_bytes"] == 0) & (n["pages"] > 0)).alias("scanned"))
 
 
 def transform(files: DataFrame, f: Callable[[bytes], bytes | list[bytes]]) -> DataFrame:
