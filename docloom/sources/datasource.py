@@ -6,7 +6,8 @@ any file is opened, and contents are read only where the schema has a column for
 pyarrow's file systems, which know local and shared folders, HDFS and object stores by their URI.
 
 Writing takes ``name`` and ``content``: each task writes below a folder of its own attempt, and the commit of the job
-moves what the attempts that Spark accepted have written. A failed or repeated attempt leaves nothing.
+moves what the attempts that Spark accepted have written. A failed or repeated attempt leaves nothing that a reader sees;
+a task that outlives the abort of its job may leave a folder ``_attempts-*``.
 """
 
 from __future__ import annotations
