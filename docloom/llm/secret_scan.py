@@ -89,10 +89,15 @@ def novelty_bits(before: str, candidate: str, after: str) -> float:
 
 def cue_ends(text: str) -> list[int]:
     """Where sensitive words end, in either case, ascending."""
-    low = text.translate(_LOWER)
-    if not any(w in low for w in CUE_PARTS):
-        return []
-    return sorted({m.end() for t in (low, text) for m in CUE.finditer(t)})
+    low, out = text.lower(), set()
+    if len(low) != len(text):
+        low = text.translate(_LOWER)
+    for w in CUE_PARTS:
+        at = low.find(w)
+        while at >= 0:
+            out |= {m.end() for t in (low, text) if (m := CUE.match(t, at))}
+            at = low.find(w, at + 1)
+    return sorted(out)
 
 
 def _pairs(text: str) -> set[str]:
