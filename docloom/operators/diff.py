@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.scratch import stage
 
 
+#: Pairs of pages that a task holds as Python objects at a time.
+PAGES_AT_ONCE = 500
+
+
 def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Full outer join on the keys with ``category``: added, removed, modified or equal."""
     a = left.select(*keys, F.col(value).alias("old_value"), F.lit(True).alias("_l"))
@@ -206,20 +211,30 @@ def align(left: list[dict], right: list[dict], o: CompareOptions) -> list[dict]:
 def align_elements(left: DataFrame, right: DataFrame, keys: list[str], options: CompareOptions = CompareOptions()) -> DataFrame:
     """``align`` for each group of keys (a pair of pages): keys, kind, left_idx, right_idx, ratio.
 
-    A page is the unit of the comparison and is bounded by what fits a page.
+    A page is the unit of the comparison and is bounded by what fits a page. Pages are gathered by Spark as rows of both
+    sides' elements, so that a batch holds many pairs.
     """
     fields = ["text", "x", "y", "font_name", "font_size"]
-
-    def both(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sides = [[{f: r.get(f) for f in fields} for r in s.sort_values("idx").to_dict("records")] for s in (a, b)]
-        ids = [s.sort_values("idx")["idx"].tolist() for s in (a, b)]
-        rows = align(*sides, options)
-        return pd.DataFrame(
-            [(*k, d["kind"], None if d["left_idx"] is None else ids[0][d["left_idx"]], None if d["right_idx"] is None else ids[1][d["right_idx"]], d["ratio"]) for d in rows],
-            columns=[*keys, "kind", "left_idx", "right_idx", "ratio"],
-        ).astype({"left_idx": "Int64", "right_idx": "Int64"})
-
     kinds = dict(left.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", kind string, left_idx long, right_idx long, ratio double"
-    cols = [*keys, "idx", *fields]
-    return left.select(*cols).groupBy(*keys).cogroup(right.select(*cols).groupBy(*keys)).applyInPandas(both, schema)
+    found = pa.struct([("kind", pa.string()), ("left_idx", pa.int64()), ("right_idx", pa.int64()), ("ratio", pa.float64())])
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.select(*keys, F.struct(F.lit(n).alias("side"), "idx", *[F.col(f).cast("double").alias(f) if f in ("x", "y") else F.col(f) for f in fields]).alias("_e"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+                b = whole.slice(at, PAGES_AT_ONCE)
+                takes, rows = [], []
+                for i, elements in enumerate(b.column("_e").to_pylist()):
+                    sides = [[e for e in elements if e["side"] == n] for n in (0, 1)]
+                    for d in align(*sides, options):
+                        name = lambda s, c: None if d[c] is None else sides[s][d[c]]["idx"]  # noqa: B023, E731
+                        takes.append(i)
+                        rows.append({"kind": d["kind"], "left_idx": name(0, "left_idx"), "right_idx": name(1, "right_idx"), "ratio": d["ratio"]})
+                taken = pa.array(takes, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(taken) for k in keys], *pa.array(rows, found).flatten()], names=[*keys, *[f.name for f in found]])
+
+    pages = side(left, 0).unionByName(side(right, 1)).groupBy(*keys).agg(F.sort_array(F.collect_list("_e")).alias("_e"))
+    return pages.mapInArrow(run, schema)

@@ -123,6 +123,21 @@ def test_greedy_pairs_makes_no_pairs(spark, tmp_path):
     assert got.count() == n // 2
 
 
+def test_pages_are_aligned_in_batches(spark, monkeypatch):
+    """Many small pairs of pages are rows of a batch, not a Python group each; null keys meet, one-sided pages too."""
+    from docloom.operators import diff
+
+    monkeypatch.setattr(diff, "PAGES_AT_ONCE", 3)
+    schema = "k int, idx long, text string, x double, y double, font_name string, font_size double"
+    page = lambda k, *texts: [(k, i, t, 1.0, 20.0 * i, "F", 9.0) for i, t in enumerate(texts, 5)]
+    a = spark.createDataFrame([r for k in range(20) for r in page(k, "p", "q")] + page(None, "n") + page(77, "only"), schema).repartition(3)
+    b = spark.createDataFrame([r for k in range(20) for r in page(k, "p", f"r{k}")] + page(None, "m") + page(78, "other"), schema).repartition(3)
+    got = diff.align_elements(a, b, ["k"])
+    assert "CoGroups" not in got._jdf.queryExecution().toString()
+    rows = sorted(((-1 if r.k is None else r.k, r.kind, r.left_idx, r.right_idx) for r in got.collect()), key=repr)
+    assert rows == sorted([(k, "modified", 6, 6) for k in range(20)] + [(-1, "modified", 5, 5), (77, "removed", 5, None), (78, "added", None, 5)], key=repr)
+
+
 def test_alignment_as_a_plan(spark):
     """Rows of pages full of ties, as the alignment of single pages gives them."""
     schema = "p int, idx int, text string, x double, y double, font_name string, font_size double"
