@@ -16,6 +16,8 @@ from docloom.scratch import stage
 
 #: Pairs of pages that a task holds as Python objects at a time.
 PAGES_AT_ONCE = 500
+#: Candidates of ``band_match`` that a part of a cell meets, about.
+CELL_PAIRS = 1 << 22
 
 
 def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -35,14 +37,26 @@ def removed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def band_match(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], a: str, b: str, tolerance: float) -> DataFrame:
-    """Pairs with |a - b| < tolerance: an equi join on cells as wide as the tolerance and their neighbours."""
+    """Pairs with |a - b| < tolerance: an equi join on cells as wide as the tolerance and their neighbours.
+
+    There may be many more pairs than rows, so rows are dealt by cells whatever the size of the tables, and the left rows of a
+    cell into parts, each of which meets about CELL_PAIRS candidates. Nulls meet nothing.
+    """
     cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
-    x = left.withColumn("_cell", cell(a))
-    y = right.withColumn("_cell", F.explode(F.array(cell(b) - 1, cell(b), cell(b) + 1)))
-    on = (x["_cell"] == y["_cell"]) & (F.abs(F.col(a) - F.col(b)) < tolerance)
-    for p, q in equal:
-        on = on & (F.col(p) == F.col(q))
-    return x.join(y, on).drop("_cell")
+    keys = [*[f"_k{i}" for i in range(len(equal))], "_cell"]
+
+    def side(df: DataFrame, i: int, cells: Column, *more: Column) -> DataFrame:
+        return stage(df.select("*", *[F.col(e[i]).alias(k) for e, k in zip(equal, keys, strict=False)], cells.alias("_cell"), *more).dropna(subset=keys), "band-cells")
+
+    x = side(left, 0, cell(a), F.monotonically_increasing_id().alias("_id"))
+    y = side(right, 1, F.explode(F.array(cell(b) - 1, cell(b), cell(b) + 1)))
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    hot = stage(count(x, "_n").join(count(y, "_m"), keys).select(*keys, F.ceil(F.col("_n") * F.col("_m") / CELL_PAIRS).alias("_parts")).filter("_parts > 1"), "band-parts")
+    parts = F.coalesce("_parts", F.lit(1))
+    x = x.join(hot, keys, "left").withColumn("_part", F.pmod("_id", parts)).drop("_parts", "_id")
+    y = y.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    pairs = x.hint("merge").join(y, [*keys, "_part"]).filter(F.abs(F.col(a) - F.col(b)) < tolerance)
+    return pairs.select(*left.columns, *right.columns)
 
 
 def moved(items: DataFrame, digest: Column, item: str, other: str) -> DataFrame:

@@ -123,6 +123,21 @@ def test_greedy_pairs_makes_no_pairs(spark, tmp_path):
     assert got.count() == n // 2
 
 
+def test_band_match_deals_pairs(spark, monkeypatch):
+    """Small tables with many pairs are dealt by cells, and a cell of copies into parts; nothing is broadcast for the pairs."""
+    from docloom.operators import diff
+
+    monkeypatch.setattr(diff, "CELL_PAIRS", 500)
+    rows = [(i, i % 2, 5.0 if i < 120 else i / 4) for i in range(300)] + [(900, None, 5.0), (901, 0, None)]
+    side = lambda s: spark.createDataFrame(rows, "k int, g int, x double").toDF(*[f"{s}{c}" for c in "kgx"])
+    got = diff.band_match(side("l"), side("r"), [("lg", "rg")], "lx", "rx", 1.5)
+    assert got.columns == ["lk", "lg", "lx", "rk", "rg", "rx"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_k0" in plan and "_part" in plan
+    want = sorted((p[0], q[0]) for p in rows[:300] for q in rows[:300] if p[1] == q[1] and abs(p[2] - q[2]) < 1.5)
+    assert sorted((r.lk, r.rk) for r in got.collect()) == want
+
+
 def test_pages_are_aligned_in_batches(spark, monkeypatch):
     """Many small pairs of pages are rows of a batch, not a Python group each; null keys meet, one-sided pages too."""
     from docloom.operators import diff
