@@ -251,6 +251,19 @@ def test_rules(spark):
         intervals.match_rules(table, "id", as_rows([(1, 0, [("q", "notEquals", "x", None, None)])]))
 
 
+def test_rules_are_tested_on_columns(spark):
+    """Candidates carry columns, not maps and arrays of conditions; pairs that two clauses or two rows give come once."""
+    kind = "rule int, clause int, conditions array<struct<field:string,op:string,value:string,lo:double,hi:double>>"
+    both = [("n", "between", None, 2.0, 6.0), ("n", "between", None, 4.0, 9.0), ("q", "notEquals", "b", None, None)]
+    rules = spark.createDataFrame([(1, 0, both), (2, 0, [("q", "equals", "a", None, None)]), (2, 1, [("n", "between", None, 0.0, 3.0)]), (3, 0, [("n", "between", None, None, 5.0)]), (4, 0, [("q", "equals", "a", None, None), ("n", "odd", None, None, None)])], kind).withColumnRenamed("rule", "rule_id")
+    rows = [(1, 1.0, "a"), (2, 4.5, "a"), (3, 5.0, "b"), (4, 5.5, None), (2, 4.5, "a")]
+    for data, want in ((rows, [(1, 2), (2, 1), (2, 2)]), (rows[:4], [(1, 2), (2, 1), (2, 2)])):
+        got = intervals.match_rules(spark.createDataFrame(data, "id int, n double, q string"), "id", rules)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "forall" not in plan and "map" not in plan
+        assert sorted((r.rule_id, r.id) for r in got.collect()) == want
+
+
 def test_tree_order(spark):
     rnd = random.Random(9)
     parent: dict = {i: None if i == 0 or rnd.random() < 0.03 else rnd.randrange(i) for i in range(250)}
