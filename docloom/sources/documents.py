@@ -19,7 +19,11 @@ from docloom.operators import forms
 from docloom.pdf import content, writer
 from docloom.pdf.document import Document
 from docloom.pdf.syntax import DocError, Stream
-from docloom.scratch import stage
+from docloom.scratch import shuffle_width, stage
+
+#: What a task holds as Python objects before it hands them on: rows, and bytes of the files they are from or hold.
+ROWS_AT_ONCE = 2048
+BYTES_AT_ONCE = 4 << 20
 
 _POINT = "array<double>"
 SCHEMAS = {
@@ -81,6 +85,30 @@ def _kernel(name: str) -> Callable[[bytes, bytes], dict[str, list[dict]]]:
     return _structure if name in ("revisions", "raw_objects", "xref_entries") else _shown
 
 
+def _in_slices(takes: list[str], columns: list[str], each: Callable[..., list], numbers: list[str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for ``mapInPandas`` that gives the rows of ``each`` row in slices, so that memory does not grow with a batch or what is read from it."""
+
+    def frame(rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns)
+        return out.astype({c: "Int64" for c in numbers}) if numbers else out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for b in batches:
+            for values in zip(*(b[c] for c in takes), strict=True):
+                got = each(*values)
+                rows += got
+                size += sum(len(v) for v in values if isinstance(v, (bytes, bytearray, str)))
+                size += sum(len(v) for r in got if isinstance(r, tuple) for v in r if isinstance(v, (bytes, bytearray, str)))
+                while len(rows) >= ROWS_AT_ONCE or rows and size >= BYTES_AT_ONCE:
+                    yield frame(rows[:ROWS_AT_ONCE])
+                    rows, size = rows[ROWS_AT_ONCE:], 0
+        if rows:
+            yield frame(rows)
+
+    return run
+
+
 def _columns(name: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in _split(SCHEMAS[name])]
 
@@ -96,15 +124,10 @@ def table(files: DataFrame, name: str, password: str = "", keep: tuple[str, ...]
     kernel = _kernel(name)
     numbers = [c.split(" ")[0] for c in map(str.strip, _split(schema)) if c.endswith(" long")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for fid, data in zip(b["file_id"], b["content"], strict=True):
-                rows += [{"file_id": fid} | r for r in _read(kernel, data, password).get(name, [])]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({c: "Int64" for c in numbers})
+    def each(fid, data) -> list[dict]:
+        return [{"file_id": fid} | r for r in _read(kernel, data, password).get(name, [])]
 
-    return files.select("file_id", "content").mapInPandas(run, schema)
+    return files.select("file_id", "content").mapInPandas(_in_slices(["file_id", "content"], columns, each, numbers), schema)
 
 
 def _read(kernel: Callable[[bytes, bytes], dict[str, list[dict]]], data, password: str) -> dict[str, list[dict]]:
@@ -127,14 +150,11 @@ def parsed(files: DataFrame, names: list[str], password: str = "", keep: tuple[s
     schema = "file_id string, " + ", ".join([*[f"{k} {kinds[k]}" for k in keep], *[f"{n} array<struct<{', '.join(f'{c}:{t}' for c, t in fs)}>>" for n, fs in fields.items()]])
     kernel = _kernel(names[0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for fid, data, *kept in zip(b["file_id"], b["content"], *(b[k] for k in keep), strict=True):
-                got = _read(kernel, data, password)
-                rows.append((fid, *kept, *([{c: r.get(c) for c, _ in fs} for r in got.get(n, [])] for n, fs in fields.items())))
-            yield pd.DataFrame(rows, columns=["file_id", *keep, *fields])
+    def each(fid, data, *kept) -> list[tuple]:
+        got = _read(kernel, data, password)
+        return [(fid, *kept, *([{c: r.get(c) for c, _ in fs} for r in got.get(n, [])] for n, fs in fields.items()))]
 
+    run = _in_slices(["file_id", "content", *keep], ["file_id", *keep, *fields], each)
     return stage(files.select("file_id", "content", *keep).mapInPandas(run, schema), "parsed")
 
 
@@ -144,15 +164,12 @@ def content_json(files: DataFrame, password: str = "") -> DataFrame:
     def plain(v):
         return base64.b64encode(v).decode() if isinstance(v, (bytes, bytearray)) else str(v)
 
-    @F.pandas_udf("string")
-    def run(data: pd.Series) -> pd.Series:
-        out = []
-        for d in data:
-            got = _read(content.extract, d, password)
-            out.append(json.dumps(got, indent=2, default=plain, ensure_ascii=False) if "metadata" in got else None)
-        return pd.Series(out, dtype=object)
+    def each(fid, data) -> list[tuple]:
+        got = _read(content.extract, data, password)
+        return [(fid, json.dumps(got, indent=2, default=plain, ensure_ascii=False) if "metadata" in got else None)]
 
-    return files.select("file_id", run("content").alias("json"))
+    kind = dict(files.dtypes)["file_id"]
+    return files.select("file_id", "content").mapInPandas(_in_slices(["file_id", "content"], ["file_id", "json"], each), f"file_id {kind}, json string")
 
 
 def sample_objects(xref_entries: DataFrame, most: int) -> DataFrame:
@@ -189,19 +206,16 @@ def document_summary(files: DataFrame) -> DataFrame:
 def transform(files: DataFrame, f: Callable[[bytes], bytes | list[bytes]]) -> DataFrame:
     """``file_id, part, content, error`` after a kernel of ``docloom.pdf.writer`` over each file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for fid, data in zip(b["file_id"], b["content"], strict=True):
-                try:
-                    got = f(bytes(data))
-                    rows += [(fid, i, x, None) for i, x in enumerate(got if isinstance(got, list) else [got], 1)]
-                except DocError as e:
-                    rows.append((fid, 0, None, str(e)))
-                except Exception as e:  # a damaged or null file must not stop the others
-                    rows.append((fid, 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["file_id", "part", "content", "error"])
-
+    def each(fid, data) -> list[tuple]:
+        try:
+            got = f(bytes(data))
+            return [(fid, i, x, None) for i, x in enumerate(got if isinstance(got, list) else [got], 1)]
+        except DocError as e:
+            return [(fid, 0, None, str(e))]
+        except Exception as e:  # a damaged or null file must not stop the others
+            return [(fid, 0, None, f"{type(e).__name__}: {e}")]
+
+    run = _in_slices(["file_id", "content"], ["file_id", "part", "content", "error"], each)
     return files.select("file_id", "content").mapInPandas(run, "file_id string, part long, content binary, error string")
 
 
@@ -231,7 +245,10 @@ def filled_valid(files: DataFrame, data: DataFrame, password: str = "") -> tuple
 
 
 def built(rows: DataFrame, group: str, order: str, text: str, title: str | None = None) -> DataFrame:
-    """Documents of plain text pages: one document a group, one page a row."""
+    """Documents of plain text pages: one document a group, one page a row.
+
+    Groups are dealt to a fixed number of tasks, as few bytes of text can be much work.
+    """
 
     def run(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -243,7 +260,8 @@ def built(rows: DataFrame, group: str, order: str, text: str, title: str | None
         meta = {"title": str(pages[title].iloc[0])} if title else None
         return pd.DataFrame({group: [key[0]], "content": [writer.build(out, meta)]})
 
-    return rows.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, content binary")
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), group)
+    return dealt.groupBy(group).applyInPandas(run, f"{group} {dict(rows.dtypes)[group]}, content binary")
 
 
 def built_from_packets(packets: DataFrame) -> DataFrame:
@@ -276,11 +294,10 @@ def _with_entries(files: DataFrame, entries: DataFrame, f: Callable[[bytes, dict
         except Exception as e:  # a damaged file must not stop the others
             return None, None, f"{type(e).__name__}: {e}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *one(c, v)) for i, c, v in zip(b["file_id"], b["content"], b["given"], strict=True)]
-            yield pd.DataFrame(rows, columns=["file_id", "content", "unknown", "error"])
+    def each(fid, data, new) -> list[tuple]:
+        return [(fid, *one(data, new))]
 
+    run = _in_slices(["file_id", "content", "given"], ["file_id", "content", "unknown", "error"], each)
     return files.join(given, "file_id", "left").select("file_id", "content", "given").mapInPandas(run, "file_id string, content binary, unknown array<string>, error string")
 
 
@@ -308,15 +325,12 @@ def save_files(df: DataFrame, folder: str, name: str, data: str = "content") ->
 def stream_bytes(files: DataFrame) -> DataFrame:
     """Decoded streams: ``file_id, obj_num, data``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for fid, data in zip(b["file_id"], b["content"], strict=True):
-                try:
-                    doc = Document(bytes(data or b""))
-                    rows += [(fid, n, doc.decode(s)) for n in sorted(doc.entries) if isinstance(s := doc.obj(n), Stream)]
-                except Exception:  # such a file has no streams here; its warnings are a table of their own
-                    continue
-            yield pd.DataFrame(rows, columns=["file_id", "obj_num", "data"])
+    def each(fid, data) -> list[tuple]:
+        try:
+            doc = Document(bytes(data or b""))
+            return [(fid, n, doc.decode(s)) for n in sorted(doc.entries) if isinstance(s := doc.obj(n), Stream)]
+        except Exception:  # such a file has no streams here; its warnings are a table of their own
+            return []
 
+    run = _in_slices(["file_id", "content"], ["file_id", "obj_num", "data"], each)
     return files.select("file_id", "content").mapInPandas(run, "file_id string, obj_num long, data binary")

@@ -175,3 +175,27 @@ def test_compare(spark):
     assert not any(r.pair_id == "q" for r in d.collect())
     rep = {r.pair_id: r for r in cmp.report(left, d).collect()}
     assert rep["q"].identical and rep["q"].report == "differences: 0" and not rep["p"].identical and "text modified: 1" in rep["p"].report
+
+
+def test_kernels_give_slices(monkeypatch):
+    """A task hands rows on before it holds all that a batch of files gives."""
+    import pandas as pd
+
+    from docloom.sources import documents
+
+    monkeypatch.setattr(documents, "ROWS_AT_ONCE", 10)
+    monkeypatch.setattr(documents, "BYTES_AT_ONCE", 100)
+    seen = []
+
+    def each(name, data):
+        seen.append(name)
+        return [(name, i) for i in range(len(data))]
+
+    run = documents._in_slices(["f", "data"], ["f", "i"], each, ["i"])
+    given = run(iter([pd.DataFrame({"f": list(range(40)), "data": [b"x" * (k % 4) for k in range(40)]}), pd.DataFrame({"f": [40, 41], "data": [b"y" * 99, b""]})]))
+    first = next(given)
+    assert len(first) <= 10 and len(seen) < 12
+    rest = list(given)
+    assert all(0 < len(p) <= 10 for p in rest)
+    assert pd.concat([first, *rest]).values.tolist() == [[k, i] for k in range(40) for i in range(k % 4)] + [[40, i] for i in range(99)]
+    assert list(run(iter([]))) == []
