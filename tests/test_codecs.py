@@ -27,3 +27,13 @@ def test_vectors(spark, name):
     cases = [(x, want) for n, x, want in VECTORS if n == name]
     rows = spark.createDataFrame(cases, "x string, want string").withColumn("got", F.hex(codecs.decoded(F.unhex("x"), name)))
     assert all(r.got == r.want for r in rows.collect())
+
+
+def test_hex_is_an_expression(spark):
+    """Hexadecimal digits take no Python; the expression gives what the plain functions give."""
+    data = [b"", b"48656c6C6f", b"48 65\t6c\n6c\r6f\x0c\x00>00", b"4>", b"486", b">48", b"4x", b"\xff48", "é".encode(), None]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, d binary").select("i", codecs.decoded(F.col("d"), "AHx").alias("a"), codecs.encoded(F.col("d"), "ASCIIHexDecode").alias("b"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().toString()
+    plain = [codecs._quietly(f) for f in (codecs.ascii_hex_decode, codecs.ascii_hex_encode)]
+    same = lambda x: None if x is None else bytes(x)
+    assert [(same(r.a), same(r.b)) for r in df.orderBy("i").collect()] == [tuple(f(d) for f in plain) for d in data]
