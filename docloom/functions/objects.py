@@ -30,6 +30,16 @@ def dict_value(raw: Column, key: str) -> Column:
     return run(raw)
 
 
+def dict_values(raw: Column, keys: list[str]) -> Column:
+    """``dict_value`` of several keys, in their order, as an array: the object is read once."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([[_shown(d.get(k)) for k in keys] if isinstance(d := _value(x), dict) else [None] * len(keys) for x in s], dtype=object)
+
+    return run(raw)
+
+
 def refs(raw: Column) -> Column:
     """Object numbers that an object refers to, in order, however deep."""
 

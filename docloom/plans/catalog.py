@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import codecs, issues, objects, text
 from docloom.operators import compare, diff, forms, pageset, profile, revisions, trees
+from docloom.scratch import shuffle_width
 from docloom.streaming import revisions as streaming
 
 QUERIES: dict = {}
@@ -319,8 +320,10 @@ def dict_value(spark, d):
     """Each part as the text of a dictionary object, and its entries read back."""
     brand = F.concat(F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")))
     raw = F.concat(F.lit("<< /Name ("), text.escape_string(F.col("p_name")), F.lit(") % a comment\n/Brand "), brand, F.lit(" /Kids [<< /Size 7 >>] /Size "), F.col("p_size").cast("string"), F.lit(" >>"))
-    take = lambda k: objects.dict_value(F.col("raw"), k)
-    return table(spark, d, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", take("Name").alias("name"), take("Brand").alias("brand"), take("Size").alias("size"), take("Missing").alias("missing"))
+    # Dealt by key, as a file of few bytes is one task's split however much work its rows are.
+    parts = table(spark, d, "part").repartition(shuffle_width(spark), "p_partkey").select("p_partkey", raw.alias("raw"))
+    got = parts.select("p_partkey", objects.dict_values(F.col("raw"), ["Name", "Brand", "Size", "Missing"]).alias("v"))
+    return got.select("p_partkey", *[F.col("v")[i].alias(n) for i, n in enumerate(("name", "brand", "size", "missing"))])
 
 
 @query("SELECT n_nationkey, unnest([n_nationkey, n_regionkey + 100, n_nationkey + 1000])::BIGINT AS ref FROM nation")

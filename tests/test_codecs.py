@@ -37,3 +37,11 @@ def test_hex_is_an_expression(spark):
     plain = [codecs._quietly(f) for f in (codecs.ascii_hex_decode, codecs.ascii_hex_encode)]
     same = lambda x: None if x is None else bytes(x)
     assert [(same(r.a), same(r.b)) for r in df.orderBy("i").collect()] == [tuple(f(d) for f in plain) for d in data]
+
+
+def test_dictionaries_are_read_once(spark):
+    """Entries of one object by one call, in the order of the keys; broken objects give nulls."""
+    from docloom.functions import objects
+
+    df = spark.createDataFrame([(0, "<< /A (x) /B /y /C 3 >>"), (1, "<< /A"), (2, None)], "i int, raw string").select("i", objects.dict_values(F.col("raw"), ["C", "A", "no", "B"]).alias("v"))
+    assert [r.v for r in df.orderBy("i").collect()] == [["3", "x", None, "y"], [None] * 4, [None] * 4]
