@@ -287,6 +287,18 @@ def test_tree_order(spark):
     assert graph.tree_order(df.limit(0), "n", "p", ["n"]).count() == 0
 
 
+def test_tree_order_reads_in_proportion(spark, monkeypatch):
+    """All rounds of a long chain with stray nodes write some times its steps, not a multiple that grows with its length."""
+    n = 1500
+    rows = [(i, i - 1 if i else None) for i in range(n)] + [(n + i, 10 * n + i // 2) for i in range(40)] + [(2 * n, 2 * n), (2 * n + 1, 2 * n + 2), (2 * n + 2, 2 * n + 1)]
+    written, real = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label, *a: written.append(real(df, label, *a)) or written[-1])
+    monkeypatch.setattr(graph, "discard", lambda *tables: None)
+    got = graph.tree_order(spark.createDataFrame(rows, "n int, p int"), "n", "p", ["n"], **({"at_once": 64} if hasattr(graph, "AT_ONCE") else {}))
+    assert {(r.node, r.place, r.depth, r["size"], r["last"]) for r in got.collect()} == {(i, i + 1, i, n - i, n) for i in range(n)}
+    assert sum(t.count() for t in written) < 7 * 2 * len(rows)
+
+
 def test_reach(spark):
     rnd = random.Random(10)
     edges = [(rnd.randrange(100), rnd.randrange(100)) for _ in range(130)] + [(5, 5), (None, 3), (4, None)]
