@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ TILE = 1 << 15
 STRIP = 256
 #: Positions of a token in a tile from which on its columns are kept as one integer.
 OFTEN = 8
+#: Tokens of a side up to which a pair is computed whole, in one row of bits.
+AT_ONCE = 1 << 15
 
 
 class _Tile:
@@ -206,6 +209,76 @@ def lcs_lengths(left: DataFrame, right: DataFrame, keys: list[str], order: list[
     return s.named(found.join(total.groupBy("pair").agg(F.sum("zeros").alias("lcs")), "pair", "left").withColumn("lcs", F.coalesce("lcs", F.lit(0))))
 
 
+def _length(a: list, b: list) -> int:
+    """Of two lists without nulls, by a row of bits over the longer one."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = set(a) & set(b)
+    a, b = [t for t in a if t in both], [t for t in b if t in both]
+    if not a:
+        return 0
+    width, where = len(b), {}
+    for i, t in enumerate(b):
+        where.setdefault(t, []).append(i)
+    masks = {}
+    for t, at in where.items():
+        if len(at) < OFTEN:
+            masks[t] = sum([1 << p for p in at])
+        else:
+            flags = np.zeros(width, np.uint8)
+            flags[at] = 1
+            masks[t] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    bits = full = (1 << width) - 1
+    for t in a:
+        same = bits & masks[t]
+        bits = bits + same & full | bits ^ same
+    return width - bits.bit_count()
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [pc.fill_null(batch.column(c), []) if batch.column(c).null_count else batch.column(c) for c in ("_a", "_b")]
+        ends = [np.concatenate(([0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False)))).tolist() for x in lists]
+        tokens = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()
+        first, out = ends[0][-1], []
+        for r in range(batch.num_rows):
+            a, b = tokens[ends[0][r] : ends[0][r + 1]], tokens[first + ends[1][r] : first + ends[1][r + 1]]
+            out.append(_length([t for t in a if t >= 0], [t for t in b if t >= 0]))
+        yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in ("_a", "_b")), pa.array(out, pa.int64())], [*(n for n in batch.schema.names if n not in ("_a", "_b")), "lcs"])
+
+
+def lcs_lengths_of(left: DataFrame, right: DataFrame, keys: list[str], tokens: str, at_once: int = AT_ONCE) -> DataFrame:
+    """``lcs_lengths`` of sequences that are arrays ``tokens`` of a row each: a pair moves as the two arrays.
+
+    Pairs above ``at_once`` tokens a side, and keys that a side holds twice, are taken apart and go by tiles; the tokens
+    of a key's rows then stand by their places in the arrays. Null and empty arrays are no sequence.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    sides = [df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(tokens).alias("_t")) for df in (left, right)]
+    meet = lambda x, y: [F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in names]
+    held = [s.select(*names, F.lit(i).alias("_side")) for i, s in enumerate(sides)]
+    often = stage(held[0].unionByName(held[1]).groupBy(*names, "_side").count().filter("count > 1").select(*names).distinct(), "sequence-often")
+    once, apart = sides, []
+    if not often.isEmpty():
+        once = [s.alias("s").join(often.alias("o"), meet("s", "o"), "left_anti") for s in sides]
+        apart = [[s.alias("s").join(often.alias("o"), meet("s", "o"), "left_semi") for s in sides]]
+    a, b = (s.filter(F.size("_t") > 0) for s in once)
+    sizes = [F.greatest(F.size(c), F.lit(0)).cast("long") for c in ("x._t", "y._t")]
+    both = stage(
+        a.alias("x").join(b.alias("y"), meet("x", "y"), "full_outer")
+        .select(*[F.coalesce(f"x.{n}", f"y.{n}").alias(n) for n in names], F.coalesce(sizes[0], F.lit(0)).alias("n_left"), F.coalesce(sizes[1], F.lit(0)).alias("n_right"), F.col("x._t").alias("_a"), F.col("y._t").alias("_b")),
+        "sequence-pairs",
+    )
+    long = (F.col("n_left") > at_once) | (F.col("n_right") > at_once)
+    if not both.filter(long).isEmpty():
+        apart.append([both.filter(long).select(*names, F.col(c).alias("_t")) for c in ("_a", "_b")])
+    kinds = ", ".join(f"{n} {both.schema[n].dataType.simpleString()}" for n in names)
+    out = both.filter(~long).mapInArrow(_lengths, f"{kinds}, n_left long, n_right long, lcs long")
+    for sides in apart:
+        out = out.unionByName(lcs_lengths(*[s.select(*names, F.posexplode("_t").alias("_pos", "_token")) for s in sides], names, ["_pos"], "_token"))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "n_left", "n_right", "lcs")
+
+
 def lcs_matches(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], token: str, tile: int = TILE) -> DataFrame:
     """``keys left_place right_place`` (from 0, within keys) of one longest common subsequence.
 

@@ -54,6 +54,19 @@ def test_lcs(spark, pairs, tile):
     assert {k: sorted(v) for k, v in found.items()} == {k: v[1] for k, v in want.items() if v[1]}
 
 
+def test_lcs_of_arrays(spark, pairs, monkeypatch):
+    """Short pairs move as arrays, without a row a token; long ones and repeated keys give the same as tiles do."""
+    rows = lambda s: spark.createDataFrame([(k, p[s]) for k, p in pairs.items()], "k int, t array<string>").repartition(3)
+    want = {k: (len(p[0]), len(p[1]), plain_lcs(*p)[0]) for k, p in pairs.items() if p[0] or p[1]}
+    answer = lambda df: {r.k: (r.n_left, r.n_right, r.lcs) for r in df.collect()}
+    assert answer(lcs.lcs_lengths_of(rows(0), rows(1), ["k"], "t", 20)) == want
+    twice = [spark.createDataFrame([(1, ["a"]), (1, ["b"]), (2, None), (None, ["c"]), (None, [])], "k int, t array<string>"), spark.createDataFrame([(1, ["a"]), (2, ["c"]), (None, ["c"]), (3, [])], "k int, t array<string>")]
+    got = answer(lcs.lcs_lengths_of(*twice, ["k"], "t"))
+    assert got == {1: (2, 1, 1), 2: (0, 1, 0), None: (1, 1, 1)}
+    monkeypatch.setattr(lcs, "Sequences", None)  # by tokens: not for these
+    assert answer(lcs.lcs_lengths_of(rows(0), rows(1), ["k"], "t")) == want
+
+
 def test_lcs_edges(spark, pairs):
     a = side(spark, pairs, 0)
     assert lcs.lcs_lengths(a.limit(0), a.limit(0), ["k"], ["pos"], "t").count() == 0
