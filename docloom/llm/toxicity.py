@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, MAX_SENTENCES = 6000, 20_000, 15_000
 LEAST_DOCS, LEAST_ODDS = 4, 20.0
 REJECT = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 200_000
+#: Signs that hold no letter and may end a word.
+MARKS = ".,;:!?)\"'"
 #: Characters of texts that are tagged together.
 TAGGED = 1 << 20
 
@@ -68,6 +71,45 @@ class Chain:
         self.depth = int(self.lens[0]) if n else 0
         self.alive = [int(k) for k in np.searchsorted(-self.lens, -np.arange(1, self.depth + 1), side="right")]
 
+    def tagged(self, score: np.ndarray, start: float, move: np.ndarray) -> np.ndarray:
+        """P(toxic) of each token, as ``marginals`` has it, from the ratios of toxic to clean on both sides.
+
+        Tokens stand by their place in a sentence, longest sentences first, so that a step is a slice.
+        """
+        n = len(score)
+        if not n:
+            return np.zeros(0)
+        lens = self.lens
+        offsets = np.concatenate(([0], np.cumsum(self.alive)))
+        within = np.arange(n) - np.repeat(np.cumsum(lens) - lens, lens)
+        at = np.empty(n, np.int64)
+        at[offsets[within] + np.repeat(np.arange(len(lens)), lens)] = np.repeat(self.starts, lens) + within
+        odds = np.exp(np.clip(score, -30, 30))[at]
+        (clean, into), (out_of, on) = np.exp(move).tolist()
+        offsets = offsets.tolist()
+        fwd = np.empty(n)
+        fwd[: self.alive[0]] = np.exp(start) * odds[: self.alive[0]]
+        for t in range(1, self.depth):
+            lo, k = offsets[t], self.alive[t]
+            before = fwd[offsets[t - 1] : offsets[t - 1] + k]
+            here = before * on
+            here += into
+            here /= before * out_of + clean
+            np.multiply(here, odds[lo : lo + k], out=fwd[lo : lo + k])
+        back = np.ones(n)
+        for t in range(self.depth - 2, -1, -1):
+            hi, k = offsets[t + 1], self.alive[t + 1]
+            ahead = back[hi : hi + k] * odds[hi : hi + k]
+            there = ahead * on
+            there += out_of
+            ahead *= into
+            ahead += clean
+            np.divide(there, ahead, out=back[offsets[t] : offsets[t] + k])
+        fwd *= back
+        p = np.empty(n)
+        p[at] = fwd / (1 + fwd)
+        return p
+
     def marginals(self, score: np.ndarray, start: float, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(toxic) of each token, expected moves and starts; ``score`` is toxic minus clean."""
         odds = np.exp(np.clip(score, -30, 30))
@@ -104,64 +146,87 @@ class ToxicityModel:
     start: float = 0.0
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     doc_weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    _cache: dict = field(default_factory=dict, repr=False)
+    _tables: dict | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}}
-
-    def _score(self, chunk: str) -> tuple[float, bool]:
-        if not chunk:
-            return -30.0, False
-        if chunk == "\n":
-            return -30.0, True
-        word, end = chunk_word(chunk)
-        return (self.bias + sum(self.weights.get(f, 0.0) for f in features(word)) if word else -30.0), end
-
-    def tag(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[str]]]:
+        return self.__dict__ | {"_tables": None}
+
+    def _scores(self, chunks: list[str]) -> np.ndarray:
+        """Toxic minus clean for each of some lower-case chunks; those without letters are surely clean."""
+        words = [c if c.isalpha() else c[:-1] if c and c[-1] in MARKS and c[:-1].isalpha() else "".join(LETTERS.findall(c)) for c in chunks]
+        if self._tables is None:
+            found = {kind: {f[1:]: x for f, x in self.weights.items() if f[0] == kind} for kind in "wpsq"}
+            self._tables = {kind: (pa.array(list(x), pa.large_string()), np.array([*x.values(), 0.0])) for kind, x in found.items()}
+        word = pa.array(words, pa.large_string())
+        length = pc.utf8_length(word).to_numpy()
+        total = np.zeros(len(words))
+        for kind, part, least in (("w", word, 0), ("p", pc.utf8_slice_codeunits(word, 0, 4), 5), ("s", pc.utf8_slice_codeunits(word, -4), 5), ("q", pc.utf8_slice_codeunits(word, 0, 5), 6)):
+            names, weights = self._tables[kind]
+            total += np.where(length >= least, weights[pc.fill_null(pc.index_in(part, names), len(names)).to_numpy()], 0.0)
+        return np.where(length > 0, self.bias + total, -30.0)
+
+    def tag(self, texts: list[str]) -> list[np.ndarray]:
         """P(toxic) of each space-separated chunk of each text."""
         if not texts:
-            return [], []
-        claim_cache("toxicity", self._cache.clear)
-        words, lens = sentences_of(texts)
-        for c in set(itertools.chain.from_iterable(words)) - self._cache.keys():
-            self._cache[c] = self._score(c)
-        got = np.array([self._cache[c] for c in itertools.chain.from_iterable(words)]).reshape(-1, 2)
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-        ends = got[:, 1] > 0
-        cuts = np.cumsum(lens)
+            return []
+        claim_cache("toxicity", lambda: None)
+        lists = pc.split_pattern(pa.array([t.lower().replace("\n", " \n ") for t in texts], pa.large_string()), " ")
+        chunks = lists.flatten().dictionary_encode()
+        cuts = np.asarray(lists.offsets)[1:]
+        distinct = chunks.dictionary.to_pylist()
+        at = chunks.indices.to_numpy()
+        scores = self._scores(distinct)[at]
+        ends = np.array([c != "" and c[-1] in ".!?\n" for c in distinct])[at]
         ends[cuts - 1] = True
-        p = Chain(ends).marginals(got[:, 0], self.start, self.move)[0]
-        p[got[:, 0] <= -30.0] = 0
-        return np.split(p, cuts[:-1]), words
+        p = Chain(ends).tagged(scores, self.start, self.move)
+        p[scores <= -30.0] = 0
+        return np.split(p, cuts[:-1])
 
     def doc_features(self, p: np.ndarray) -> np.ndarray:
         total = float(p.sum())
         return np.array([1.0, np.log1p(total), np.log1p(1000 * total / (len(p) + 20)) / 3, float(p.max(initial=0)), np.log1p(len(p)) / 5])
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        x, lo = [], 0
+    def tags(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """``tag``, some texts at a time."""
+        lo = 0
         while lo < len(texts):
             hi, size = lo, 0
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= TAGGED):
                 size += len(texts[hi])
                 hi += 1
-            x += [self.doc_features(p) for p in self.tag(texts[lo:hi])[0]]
+            yield from self.tag(texts[lo:hi])
             lo = hi
-        x = np.array(x).reshape(-1, 5)
+
+    def _of(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.doc_weights, -30, 30)))
 
-    def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int]]:
-        """Code-point offsets of the chunks tagged toxic."""
-        tags, words = self.tag([text])
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self._of(np.array([self.doc_features(p) for p in self.tags(texts)]).reshape(-1, 5))
+
+    def scores_and_spans(self, texts: list[str], reject: float) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+        """Scores, and the spans of the texts that reach ``reject``; a text is tagged once for both."""
+        x, spans = [], []
+        for t, p in zip(texts, self.tags(texts), strict=True):
+            x.append(self.doc_features(p))
+            # A single row may round otherwise than all at once: spans of what is near the bound are dropped below.
+            spans.append(self._spans(t, p) if self._of(x[-1]) >= reject - 1e-6 else [])
+        score = self._of(np.array(x).reshape(-1, 5))
+        return score, [found if s >= reject else [] for s, found in zip(score.tolist(), spans, strict=True)]
+
+    @staticmethod
+    def _spans(text: str, tags: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]:
         out, at = [], 0
-        for w, p in zip(words[0], tags[0], strict=True):
+        for w, p in zip(sentences_of([text])[0][0], tags.tolist(), strict=True):
             i = text.find(w, at) if w else at
             if p >= least and w.strip():
                 out.append((i, i + len(w)))
             at = i + len(w)
         return out
 
+    def spans(self, text: str, least: float = 0.5) -> list[tuple[int, int]]:
+        """Code-point offsets of the chunks tagged toxic."""
+        return self._spans(text, self.tag([text])[0], least)
+
 
 def fit(texts: list[str], labels: list[int], max_sentences: int = MAX_SENTENCES) -> ToxicityModel:
     """Label tokens, train the chain on at most ``max_sentences``, then the document score on all texts."""
@@ -234,7 +299,7 @@ def fit(texts: list[str], labels: list[int], max_sentences: int = MAX_SENTENCES)
     keep = np.abs(w) > 1e-2
     model.weights = {f: float(w[i]) for f, i in names.items() if keep[i]}
     model.bias, model.start, model.move = float(bias), float(start), np.asarray(move)
-    tags = list(itertools.chain.from_iterable(model.tag(texts[i : i + 256])[0] for i in range(0, len(texts), 256)))
+    tags = list(itertools.chain.from_iterable(model.tag(texts[i : i + 256]) for i in range(0, len(texts), 256)))
     x = np.array([model.doc_features(p) for p in tags])
     v = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps of a ridge logistic regression
@@ -279,13 +344,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_byt
 
 
 def _score(model: ToxicityModel):
-    """The score of a text column; a worker forgets its words after each task, since it may be idle for long."""
+    """The score of a text column; a worker gives its memory back after each task, since it may be idle for long."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.scores([t if isinstance(t, str) else "" for t in texts]))
-        model._cache.clear()
         trim()
 
     return scored
@@ -313,10 +377,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, with_spans: bool = Fal
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             plain = [t if isinstance(t, str) else "" for t in texts]
-            score = model.scores(plain)
-            spans = [",".join(f"{a}:{b}" for a, b in model.spans(t)) if s >= REJECT else "" for t, s in zip(plain, score, strict=True)]
-            yield pd.DataFrame({"score": score, "spans": spans})
-        model._cache.clear()
+            score, spans = model.scores_and_spans(plain, REJECT)
+            yield pd.DataFrame({"score": score, "spans": [",".join(f"{a}:{b}" for a, b in found) for found in spans]})
         trim()
 
     name = fresh(docs, "toxic")
