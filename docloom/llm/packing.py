@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches, claim_cache, ragged, ranked_within
+from docloom.llm._common import bounded_batches, claim_cache, ragged, ranked_within, trim
 from docloom.scratch import stage
 
 SEQUENCE = 4096
@@ -31,8 +31,8 @@ GRAIN = 16
 END_ID = 2
 #: Characters of texts that are encoded at a time.
 SLICE = 3_000_000
-#: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 1_300_000
+#: Words and pre-tokens that a worker remembers before it starts anew: some 150 MB, as an executor has several workers.
+CACHE_WORDS, CACHE_PARTS = 250_000, 60_000
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words and texts that only the tokenizer itself splits and lower-cases right.
 ODD = re.compile(r"<\||[\x00-\x1f\x7f-\x9fΣİ]")
@@ -210,11 +210,12 @@ class WordTokenizer:
 
     def _ids(self, words: list[str], plain: bool) -> np.ndarray:
         """Places of distinct words among those known, after learning the others."""
-        if len(self.sub) > CACHE_WORDS // 10:
+        if len(self.sub) > CACHE_PARTS:
             self.sub = {}
         unknown = [w for w in words if w not in self.place]
         if unknown and len(self.place) + len(unknown) > CACHE_WORDS:
             self._clear()
+            trim()
             unknown = words
         if unknown:
             self._learn(unknown, plain)

@@ -239,6 +239,37 @@ def test_chain_marginals_by_enumeration():
         assert np.allclose(p[a:z], on / total)
 
 
+def test_tags_are_the_marginals_and_texts_are_tagged_once(monkeypatch):
+    """Tags from slices by place and words scored together equal the marginals over chunk after chunk."""
+    toxic = toxicity.ToxicityModel({"wfoul": 4.0, "pgrim": 2.5, "sness": 1.5, "qgrimy": 1.0, "wß": 2.0}, -2.0, 0.4, np.array([[0.3, -0.7], [-0.2, 0.9]]), np.array([-3.0, 2.0, 1.0, 4.0, 0.1]))
+    texts = ["Foul grimness. a b\nfoul! x", "", " ", "GRIMY-ness (foul) ß 12 foul3 don't. İs ΣΑΣ.", "foul " * 40 + "end", "word " * 30 + "foul."]
+    chunks = [c for t in texts for c in t.replace("\n", " \n ").split(" ")]
+    lens = [len(t.replace("\n", " \n ").split(" ")) for t in texts]
+    score = np.array([toxic.bias + sum(toxic.weights.get(f, 0.0) for f in toxicity.features(w)) if (w := toxicity.chunk_word(c)[0] if c else "") else -30.0 for c in chunks])
+    ends = np.array([c != "" and (c == "\n" or c[-1] in ".!?") for c in chunks])
+    ends[np.cumsum(lens) - 1] = True
+    want = toxicity.Chain(ends).marginals(score, toxic.start, toxic.move)[0]
+    want[score <= -30] = 0
+    assert np.allclose(np.concatenate(list(toxic.tags(texts))), want, rtol=1e-12, atol=0)
+    calls, real = [], toxicity.ToxicityModel.tag
+    monkeypatch.setattr(toxicity.ToxicityModel, "tag", lambda self, some: calls.extend(some) or real(self, some))
+    scores, spans = toxic.scores_and_spans(texts, 0.7)
+    assert calls == texts
+    assert np.allclose(scores, toxic.scores(texts)) and spans == [toxic.spans(t) if s >= 0.7 else [] for t, s in zip(texts, scores, strict=True)] and any(spans)
+
+
+def test_packing_workers_remember_a_bounded_number_of_words():
+    """Words without end, as invented ones are: several workers of an executor hold some 150 MB each."""
+    import public_tokenizers
+
+    w = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for lo in range(0, 360_000, 60_000):
+        texts = [" ".join(f"a{i}" for i in range(lo, lo + 60_000))]
+        ids = w.encode(texts)[0]
+    assert len(w.place) <= 300_000 and len(w.sub) <= 130_000
+    assert ids.tolist() == w.tok.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, d).collect()}
