@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +14,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 OUT = "key long, kind string, ts_us long, event_id long, value double, n long"
 
 
+def _before(a: tuple, b: tuple) -> bool:
+    """Order by time, then id; a null id comes last."""
+    return (a[0], a[1] is None, a[1] or 0) < (b[0], b[1] is None, b[1] or 0)
+
+
 class Versions(StatefulProcessor):
     """For each key the first and the last version, by (time, id), of all rows that are not too late.
 
@@ -30,37 +34,44 @@ class Versions(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("versions", "first_us long, first_id long, first_value double, last_us long, last_id long, last_value double, n long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.state.get() if self.state.exists() else None
-        out, changed = [], False
-        # A key's rows of a batch come in any order, and in slices of Arrow.
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        newest_before = state[3] if state else None
-        for ts, e, v in zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["value"].tolist(), strict=True):
-            if newest_before is not None and ts < newest_before - self.late_us:
-                out.append((key[0], "late", ts, e, v, None))
-                continue
-            changed = True
-            if state is None:
-                state = (ts, e, v, ts, e, v, 1)
+    def _timer(self, newest_us: int) -> int:
+        return (newest_us + self.idle_us) // 1000
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # Every call on state or timers asks the JVM: one read and one write a key and batch, and timers only if they move.
+        before = self.state.get()
+        newest_before = before[3] if before else None
+        first = last = None
+        n = 0
+        for r in rows:  # in any order
+            at = (r["ts_us"], r["event_id"], r["value"])
+            if newest_before is not None and at[0] < newest_before - self.late_us:
+                yield Row(key=key[0], kind="late", ts_us=at[0], event_id=at[1], value=at[2], n=None)
                 continue
-            first, last, n = tuple(state[:3]), tuple(state[3:6]), state[6] + 1
-            first = min(first, (ts, e, v), key=lambda x: x[:2])
-            last = max(last, (ts, e, v), key=lambda x: x[:2])
-            state = (*first, *last, n)
-        if changed:
-            self.state.update(tuple(state))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer((state[3] + self.idle_us) // 1000)
-            out += [(key[0], "first", *state[:3], state[6]), (key[0], "last", *state[3:6], state[6])]
-        yield pd.DataFrame(out, columns=["key", "kind", "ts_us", "event_id", "value", "n"]).astype({"n": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.state.get() if self.state.exists() else None
+            n += 1
+            if first is None or _before(at, first):
+                first = at
+            if last is None or _before(last, at):
+                last = at
+        if not n:
+            return
+        if before:
+            old_first, old_last, n = tuple(before[:3]), tuple(before[3:6]), n + before[6]
+            first = first if _before(first, old_first) else old_first
+            last = last if _before(old_last, last) else old_last
+        self.state.update((*first, *last, n))
+        if last[0] != newest_before:
+            if before:
+                self.handle.deleteTimer(self._timer(newest_before))
+            self.handle.registerTimer(self._timer(last[0]))
+        yield Row(key=key[0], kind="first", ts_us=first[0], event_id=first[1], value=first[2], n=n)
+        yield Row(key=key[0], kind="last", ts_us=last[0], event_id=last[1], value=last[2], n=n)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        state = self.state.get()
         self.state.clear()
-        if state is not None:
-            yield pd.DataFrame([(key[0], "closed", *state[3:6], state[6])], columns=["key", "kind", "ts_us", "event_id", "value", "n"])
+        if state:
+            yield Row(key=key[0], kind="closed", ts_us=state[3], event_id=state[4], value=state[5], n=state[6])
 
     def close(self) -> None:
         pass
@@ -72,7 +83,7 @@ def versions(events: DataFrame, late_us: int, idle_us: int, watermark: str = "0
     The watermark moves timers only if it is far behind: rows behind it would be dropped before they could be told apart.
     """
     rows = events.filter("key is not null and ts is not null").withWatermark("ts", watermark).withColumn("ts_us", F.unix_micros("ts"))
-    return rows.groupBy("key").transformWithStateInPandas(Versions(late_us, idle_us), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+    return rows.groupBy("key").transformWithState(Versions(late_us, idle_us), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:

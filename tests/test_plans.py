@@ -375,6 +375,36 @@ def test_deltas_equal_recomputation(spark, tmp_path):
     assert {r.k for r in state.touched(9, few).collect()} <= {3}
 
 
+def test_keyed_state_asks_little_of_the_jvm():
+    """A key and batch take one read and one write, timers only where the newest row moves; no frame is built for a key."""
+    calls: list = []
+
+    class Fake:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    Fake.value = args[0]
+                return {"getValueState": self, "get": Fake.value, "exists": Fake.value is not None, "listTimers": []}.get(name)
+
+            return call
+
+    v = keyed.Versions(10, 100)
+    v.init(Fake())
+    row = lambda *x: dict(zip(("ts_us", "event_id", "value"), x, strict=True))
+    for rows, want, asked in (
+        ([row(50, 2, 2.0), row(50, 1, 1.0), row(60, 3, 3.0)], [("first", 50, 1, 3), ("last", 60, 3, 3)], ["get", "update", "registerTimer"]),
+        ([row(49, 4, 4.0), row(55, 5, 5.0)], [("late", 49, 4, None), ("first", 50, 1, 4), ("last", 60, 3, 4)], ["get", "update"]),
+        ([row(70, 6, 6.0)], [("first", 50, 1, 5), ("last", 70, 6, 5)], ["get", "update", "deleteTimer", "registerTimer"]),
+        ([row(1, 7, 7.0)], [("late", 1, 7, None)], ["get"]),
+    ):
+        calls.clear()
+        assert [(r.kind, r.ts_us, r.event_id, r.n) for r in v.handleInputRows((1,), iter(rows), None)] == want
+        assert calls == asked
+
+
 def test_keyed_stream_with_restart_late_rows_and_timers(spark, tmp_path):
     day = 86_400
     schema = "k long, at long, e long, v double"
