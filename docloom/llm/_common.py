@@ -86,36 +86,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """``node component``: smallest node reachable over undirected ``edges(a, b)``, by min-label rounds.
+    """``node component``: smallest node reachable over undirected ``edges(a, b)``, by contraction.
 
-    Every round takes the smallest label among neighbours and then follows labels once (pointer
-    jumping), so a path of n nodes needs about log n rounds. Labels are a table; no part of the
-    graph is collected. Hot nodes are pre-aggregated map-side, and joins on them start from files
-    so that the skew join can split them. Nodes without an edge do not appear.
+    In a round every node hooks to the first of itself and its neighbours by hash and follows that once;
+    edges between what is left are the next round's, so that all rounds together make little more rows than there are
+    edges. Labels are tables; no part of the graph is collected. Hot nodes are pre-aggregated map-side, and joins on them
+    start from files so that the skew join can split them. Nodes without an edge do not appear.
     """
-    both = stage(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        f"{label}-edges",
-    )
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), f"{label}-labels")
+    open_ = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
+    steps: list[DataFrame] = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = stage(
-            labels.select("node", "component").join(near.withColumnRenamed("a", "node"), "node")
-            .select("node", F.least("component", "m").alias("component"), F.col("component").alias("was")),
-            f"{label}-step",
-        )
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels_next = stage(
-            step.join(up, "component").select("node", F.col("root").alias("component"), F.col("was")),
-            f"{label}-labels",
-        )
-        done = labels_next.filter("component <> was").isEmpty()
-        discard(step, labels)  # superseded
-        labels = labels_next
-        if done:
-            discard(both)
-            return labels.select("node", "component")
+        ends = open_.select("a", "b").union(open_.select("b", "a"))
+        # By hash, as chains of rising ids would be followed link by link.
+        first = F.min(F.least(F.struct(F.xxhash64("a"), "a"), F.struct(F.xxhash64("b"), F.col("b").alias("a"))))["a"]
+        hooks = stage(ends.groupBy("a").agg(first.alias("up")).select(F.col("a").alias("node"), "up"), f"{label}-hooks")
+        steps.append(stage(hooks.join(hooks.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), f"{label}-step"))
+        root = steps[-1].withColumnRenamed("root", "r")
+        moved = open_.join(root.withColumnRenamed("node", "a"), "a").select("b", F.col("r").alias("x")).join(root.withColumnRenamed("node", "b"), "b")
+        left = stage(moved.filter("x <> r").select(F.least("x", "r").alias("a"), F.greatest("x", "r").alias("b")).distinct(), f"{label}-edges")
+        discard(open_, hooks)  # superseded
+        open_ = left
+        if open_.isEmpty():
+            break
+    # Roots of a round are nodes of later ones as long as they have edges.
+    roots = steps[-1]
+    for step in reversed(steps[:-1]):
+        later = roots.select(F.col("node").alias("root"), F.col("root").alias("r"))
+        roots = step.join(later, "root", "left").select("node", F.coalesce("r", "root").alias("root"))
+    roots = stage(roots, f"{label}-roots")
+    low = roots.groupBy("root").agg(F.min("node").alias("component"))
+    labels = stage(roots.join(low, "root").select("node", "component"), f"{label}-labels")
+    discard(open_, roots, *steps)
+    return labels
+
+
+def joined(labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """``node component`` after further ``links(a, b)`` between nodes of ``labels``: only what these connect is labelled anew."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(at("a"), "a").join(at("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    new = components(between, label).select(F.col("node").alias("component"), F.col("component").alias("low"))
+    return stage(labels.join(new, "component", "left").select("node", F.coalesce("low", "component").alias("component")), f"{label}-joined")
 
 
 def ranked_within(df: DataFrame, key: str, order: list[str], count: str, per_bucket: int, max_buckets: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import bounded_batches, components, mix64
+from docloom.llm._common import bounded_batches, components, joined, mix64
 from docloom.llm.shingles import LEAST_BITS, bitmap_bits, bitmaps, folded, later_in_run, set_id, shingle_sets
 from docloom.scratch import release, shuffle_width, stage
 
@@ -463,10 +463,9 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ends = pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).union(postings.filter("large").select("owner"))
     wanted = stage(ends.distinct(), "shingle-wanted")
     sets = _sets_of(text, wanted, words, salt, "shingle-whole")
-    links = _linked(pairs, sets, percent, "shingle")
-    labels = components(links, "shingle")
+    labels = components(_linked(pairs, sets, percent, "shingle"), "shingle")
     if not postings.filter("large").isEmpty():
-        labels = _large_trees(postings.filter("large").drop("large"), bits, sets, links, labels, percent)
+        labels = _large_trees(postings.filter("large").drop("large"), bits, sets, labels, percent)
     release(spark)
     named = classes.join(labels.withColumnsRenamed({"node": "k1", "component": "label"}), "k1", "left").select("k1", "k2", "low", F.coalesce("label", "k1").alias("label"))
     low = named.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -476,17 +475,17 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
-def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Labels after the trees that are too large for a task: ``token owner size rest``."""
     counts = stage(large.groupBy("token").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "tree-sizes")
     flags = stage(bits.join(large.select("owner").distinct(), "owner"), "tree-bits")
+    alone = flags.select(F.col("owner").alias("node")).join(labels, "node", "left_anti")
+    labels = stage(labels.unionByName(alone.withColumn("component", F.col("node"))), "tree-labels")
 
     def labelled() -> tuple[DataFrame, DataFrame]:
         """The members with their labels, without and with their bitmaps."""
         known = labels.withColumnsRenamed({"node": "owner", "component": "label"})
-        plain = large.join(known, "owner", "left").withColumn("label", F.coalesce("label", "owner"))
-        info = flags.join(known, "owner", "left").withColumn("label", F.coalesce("label", "owner"))
-        return plain, large.join(counts, "token").join(info, "owner")
+        return large.join(known, "owner"), large.join(counts, "token").join(flags.join(known, "owner"), "owner")
 
     def apart() -> int:
         """How many labels there are in trees that have several."""
@@ -499,8 +498,7 @@ def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, links: Data
         # The likeliest pairs of each cell connect nearly all that links. Where a tree has several cells, other deals follow.
         cell = F.pmod(F.xxhash64("owner", F.lit(turn)), F.col("parts")).cast("int")
         near = now.withColumn("cell", cell).groupBy("token", "cell").applyInPandas(lambda g: _candidates(g, percent, forest=True), _PAIRS)
-        links = stage(links.union(_linked(near, sets, percent, f"tree-{turn}", few=True)).distinct(), "tree-edges")
-        labels, turn = components(links, "tree"), turn + 1
+        labels, turn = joined(labels, _linked(near, sets, percent, f"tree-{turn}", few=True), "tree"), turn + 1
         plain, now = labelled()
         if cells == 1:
             break
@@ -521,7 +519,7 @@ def _large_trees(large: DataFrame, bits: DataFrame, sets: DataFrame, links: Data
     each = F.when(F.col("main"), others).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
     dealt = rest.withColumn("place", place).withColumn("other", F.explode(each)).withColumns({"p": F.least("place", "other"), "q": F.greatest("place", "other")})
     every = dealt.select("token", "owner", "size", "rest", "bits", "label", "p", "q").groupBy("token", "p", "q").applyInPandas(lambda g: _candidates(g, percent), _PAIRS)
-    return components(stage(links.union(_linked(every, sets, percent, "tree-rest", few=True)).distinct(), "tree-edges"), "tree")
+    return joined(labels, _linked(every, sets, percent, "tree-rest", few=True), "tree")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
