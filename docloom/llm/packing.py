@@ -85,7 +85,8 @@ class PairMerger:
             got = self.keys[at]
         return np.where(got == keys, self.ranks[at], self.NONE)
 
-    def _merge(self, ids: np.ndarray) -> list[list[int]]:
+    def _merge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in turn, and how many each has."""
         n, width = ids.shape
         lens = np.full(n, width)
         if width > 1:
@@ -107,24 +108,30 @@ class PairMerger:
                 r[back, at[back] - 1] = self._rank(part[back, at[back] - 1], part[back, at[back]])
                 ids[live], rank[live], lens[live] = part, r, m
                 live = live[r.min(1) < self.NONE]
-        return [x[:k] for x, k in zip(ids.tolist(), lens.tolist(), strict=True)]
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        raw = [w.encode() for w in words]
-        out: list[list[int]] = [[]] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, b in enumerate(raw):
-            by_length.setdefault(len(b), []).append(i)
-        for length, where in by_length.items():
-            step = max(1, 200_000 // length)
-            for lo in range(0, len(where), step):
-                some = where[lo : lo + step]
-                grid = np.frombuffer(b"".join([raw[i] for i in some]), np.uint8).reshape(len(some), length)
+        return ids[np.arange(width) < lens[:, None]], lens
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and where those of each start and how many they are."""
+        column = pa.array(words, pa.large_string())
+        at = np.frombuffer(column.buffers()[1], np.int64)[: len(words) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        size = np.diff(at)
+        order = np.argsort(size, kind="stable")
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(size[order])) + 1, [len(order)])) if len(order) else [0]
+        found, lens = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64)
+        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+            length = int(size[order[p]])
+            step = max(1, 200_000 // max(1, length))
+            for lo in range(p, q if length else p, step):
+                some = order[lo : min(lo + step, q)]
+                grid = data[at[some][:, None] + np.arange(length)]
                 ids = self.first[grid]
                 ids[:, -1] = self.last[grid[:, -1]]
-                for i, x in zip(some, self._merge(ids), strict=True):
-                    out[i] = x
-        return out
+                flat, lens[some] = self._merge(ids)
+                found.append(flat)
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lens[order]) - lens[order]
+        return np.concatenate(found), starts, lens
 
 
 class WordTokenizer:
@@ -158,6 +165,11 @@ class WordTokenizer:
 
     def _learn(self, words: list[str], plain: bool) -> None:
         """``plain``: they are words of texts in lower case without anything odd."""
+        # Words of letters are one pre-token each and need no parts.
+        whole = [w for w in words if w.isalpha() and len(w) <= LONG // 4] if plain else []
+        if whole:
+            self._keep(whole, *self.merger.encode(whole))
+            words = [w for w in words if w not in self.place]
         parts: list[list[str] | None] = []
         for w in words:
             if plain and w.isalpha():
@@ -178,8 +190,9 @@ class WordTokenizer:
         if long:
             new = [p for p in new if p not in long]
             self.sub.update(long)
-        self.sub.update(zip(new, self.merger.encode(new), strict=True))
-        sub, n0 = self.sub, len(self.place)
+        ids, starts, lens = self.merger.encode(new)
+        self.sub.update((p, ids[i : i + n].tolist()) for p, i, n in zip(new, starts.tolist(), lens.tolist(), strict=True))
+        sub = self.sub
         lists = [
             self.tok.encode(w, add_special_tokens=False).ids
             if ps is None
@@ -188,15 +201,18 @@ class WordTokenizer:
             else list(itertools.chain.from_iterable(map(sub.__getitem__, ps)))
             for w, ps in zip(words, parts, strict=True)
         ]
-        lens = np.fromiter(map(len, lists), np.int32, len(lists))
-        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32)
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._keep(words, np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.cumsum(lens) - lens, lens)
+
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        n0 = len(self.place)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n0 + len(lists) > len(self.starts):
+        while n0 + len(words) > len(self.starts):
             self.starts, self.lens = np.concatenate((self.starts, np.zeros_like(self.starts))), np.concatenate((self.lens, np.zeros_like(self.lens)))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n0 : n0 + len(lists)] = self.used + np.concatenate(([0], np.cumsum(lens[:-1], dtype=np.int64))) if len(lists) else 0
-        self.lens[n0 : n0 + len(lists)] = lens
+        self.starts[n0 : n0 + len(words)] = self.used + starts
+        self.lens[n0 : n0 + len(words)] = lens
         self.used += len(ids)
         self.place.update(zip(words, range(n0, n0 + len(words)), strict=True))
 
@@ -221,6 +237,20 @@ class WordTokenizer:
             self._learn(unknown, plain)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
+    def _units(self, words: pa.DictionaryArray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of what plain words are made of, and where texts end among them: letters and the signs behind them are known apart."""
+        bodies = pc.utf8_rtrim(words.dictionary, MARKS)
+        cut = pc.and_(pc.utf8_is_alpha(bodies), pc.less(pc.binary_length(bodies), pc.binary_length(words.dictionary)))
+        signs = [w[n:] for w, n in zip(words.dictionary.filter(cut).to_pylist(), pc.utf8_length(bodies.filter(cut)).to_pylist(), strict=True)]
+        some = pa.chunked_array([pc.if_else(cut, bodies, words.dictionary), pa.array(signs, pa.large_string())]).combine_chunks().dictionary_encode()
+        place = self._ids(some.dictionary.to_pylist(), True)[some.indices.to_numpy()]
+        both = np.full((len(bodies), 2), -1, np.int64)
+        both[:, 0] = place[: len(bodies)]
+        both[np.asarray(cut), 1] = place[len(bodies) :]
+        at = both[words.indices.to_numpy()].ravel()
+        many = np.cumsum(at.reshape(-1, 2)[:, 1] >= 0)
+        return at[at >= 0], ends + np.concatenate(([0], many))[ends]
+
     def _of(self, at: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         lens = self.lens[at].astype(np.int64)
         ids = self.flat[ragged(self.starts[at], lens)]
@@ -233,8 +263,8 @@ class WordTokenizer:
         if easy := [i for i, t in enumerate(low) if t is not None]:
             lists = pc.utf8_split_whitespace(pa.array([low[i] for i in easy], pa.large_string()))
             words = lists.flatten().dictionary_encode()
-            at = self._ids(words.dictionary.to_pylist(), True)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
             ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
+            at, ends = self._units(words, ends) if len(words) else (np.zeros(0, np.int64), ends)
             for i, ids in zip(easy, self._of(at, ends), strict=True):
                 out[i] = ids
         for i, t in enumerate(texts):
