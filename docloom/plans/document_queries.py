@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docloom.operators import compare, diff, forms, packets, pageset
 from docloom.pdf import writer
 from docloom.plans.catalog import query, table
+from docloom.scratch import stage
 from docloom.sources import documents
 
 _NUMBERED = "(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, text FROM conversations)"
@@ -128,7 +129,7 @@ def pdf_latest_objects(spark, d):
 
 
 def _locked(spark, d, method: str) -> DataFrame:
-    locked = _again(documents.transform(_files(spark, d), lambda x: writer.encrypt(x, b"open", b"own", method)))
+    locked = stage(_again(documents.transform(_files(spark, d), lambda x: writer.encrypt(x, b"open", b"own", method))), "locked")
     state = documents.table(locked, "metadata", "own").select("file_id", "encrypted")
     return _pages(locked, "open").join(state, "file_id").select(_conv(), "page", "text", "encrypted")
 
@@ -158,8 +159,9 @@ def pdf_encrypt_aes256(spark, d):
 @query("SELECT conv_id, 0::BIGINT AS lines, 'wrong_password' AS code FROM conversations GROUP BY conv_id")
 def pdf_wrong_password(spark, d):
     locked = _again(documents.transform(_files(spark, d), lambda x: writer.encrypt(x, b"open", b"own", "AESV2")))
-    lines = documents.table(locked, "text_elements", "guess").groupBy("file_id").agg(F.count("*").alias("n"))
-    said = documents.table(locked, "warnings", "guess").join(lines, "file_id", "left")
+    read = documents.parsed(locked, ["text_elements", "warnings"], "guess")
+    lines = documents.table(read, "text_elements").groupBy("file_id").agg(F.count("*").alias("n"))
+    said = documents.table(read, "warnings").join(lines, "file_id", "left")
     return said.select(_conv(), F.coalesce("n", F.lit(0)).cast("long").alias("lines"), "code")
 
 
@@ -170,7 +172,7 @@ def pdf_object_streams(spark, d):
         doc = writer.Document(x)
         return writer.write({n: doc.obj(n) for n in doc.entries if doc.obj(n) is not None}, {k: doc.trailer[k] for k in ("Root", "Info") if k in doc.trailer}, xref_stream=True, pack=True)
 
-    files = _again(documents.transform(_files(spark, d), packed))
+    files = documents.parsed(_again(documents.transform(_files(spark, d), packed)), ["text_elements", "xref_entries"])
     kinds = documents.table(files, "xref_entries").groupBy("file_id").agg(F.min("kind").alias("kind"))
     return _pages(files).join(kinds, "file_id").select(_conv(), "page", "text", "kind")
 
@@ -242,7 +244,7 @@ def pdf_json(spark, d):
 
 @query("SELECT conv_id, 'page' AS kind, 'modified' AS category, 1::BIGINT AS n FROM conversations GROUP BY conv_id")
 def pdf_compare(spark, d):
-    files = _files(spark, d)
+    files = stage(_files(spark, d), "files")
     turned = _again(documents.transform(files, lambda x: writer.rotate_pages(x, 90, [1])))
     pair = lambda f: f.withColumn("pair_id", F.col("file_id"))
     found = compare.summary(compare.compare(pair(files), pair(turned)))
@@ -252,7 +254,7 @@ def pdf_compare(spark, d):
 @query("""SELECT conv_id, false AS identical, 1::BIGINT AS total, 'page' AS kind, 'modified' AS category, 1::BIGINT AS page,
   '612.0x792.0x0' AS old_value, '612.0x792.0x90' AS new_value FROM conversations GROUP BY conv_id""")
 def pdf_compare_json(spark, d):
-    files = _files(spark, d)
+    files = stage(_files(spark, d), "files")
     turned = _again(documents.transform(files, lambda x: writer.rotate_pages(x, 90, [1])))
     pair = lambda f: f.withColumn("pair_id", F.col("file_id"))
     j = compare.report_json(pair(files), compare.compare(pair(files), pair(turned)))

@@ -142,16 +142,15 @@ def _read(kernel: Callable[[bytes, bytes], dict[str, list[dict]]], data, passwor
 def parsed(files: DataFrame, names: list[str], password: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """``file_id`` and an array column for each of these tables: every file is read once, and ``table`` takes it from there.
 
-    The tables of one call come from one kernel. The result is staged, since several plans start from it. ``keep``: further
-    columns of the files that come along.
+    The result is staged, since several plans start from it. ``keep``: further columns of the files that come along.
     """
     fields = {n: [c.strip().split(" ", 1) for c in _split(SCHEMAS[n])][1:] for n in names}
     kinds = dict(files.dtypes)
     schema = "file_id string, " + ", ".join([*[f"{k} {kinds[k]}" for k in keep], *[f"{n} array<struct<{', '.join(f'{c}:{t}' for c, t in fs)}>>" for n, fs in fields.items()]])
-    kernel = _kernel(names[0])
+    kernels = list(dict.fromkeys(map(_kernel, names)))
 
     def each(fid, data, *kept) -> list[tuple]:
-        got = _read(kernel, data, password)
+        got = {k: v for kernel in kernels for k, v in _read(kernel, data, password).items()}
         return [(fid, *kept, *([{c: r.get(c) for c, _ in fs} for r in got.get(n, [])] for n, fs in fields.items()))]
 
     run = _in_slices(["file_id", "content", *keep], ["file_id", *keep, *fields], each)
