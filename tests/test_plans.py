@@ -1,5 +1,6 @@
 """Alignment, folds, graphs, intervals, rules, deltas and keyed streams against plain programs."""
 
+import math
 import random
 from collections import deque
 
@@ -277,6 +278,35 @@ def test_rules_are_tested_on_columns(spark):
         assert sorted((r.rule_id, r.id) for r in got.collect()) == want
 
 
+def test_pairs_of_rules_are_written_nowhere(spark, monkeypatch):
+    """Clauses of one rule are told apart by a test; only rows that repeat an id, and rules of many clauses, pass a distinct."""
+    monkeypatch.setattr(intervals, "RANGE_RULES", 16)
+    rnd = random.Random(12)
+    place = lambda: rnd.choice([-math.inf, -1.0, -0.0, 0.0, 7.0, 7.5, 40.0, 99.0, math.inf, math.nan, None])
+    data = [(i, place() if rnd.random() < 0.3 else 7.0 if rnd.random() < 0.5 else rnd.random() * 100, rnd.choice("abc"), f"{rnd.choice(['ü', 'x', 'xy', ''])}{i % 50}") for i in range(2500)]
+    ops = [lambda: ("n", "between", None, place(), place()), lambda: ("s", "equals", rnd.choice("abcd"), None, None), lambda: ("w", "startsWith", rnd.choice(["ü", "x", "xy1", "", "z"]), None, None), lambda: ("w", "equals", f"x{rnd.randrange(50)}", None, None)]
+    rules = [(r // 3, r % 3, [rnd.choice(ops)() for _ in range(rnd.randint(1, 3))]) for r in range(90)] + [(None, 0, [("s", "equals", "a", None, None)]), (None, 1, [("n", "between", None, 0.0, 8.0)])]
+    many = [(100, i, [("n", "between", None, float(i), i + 2.0)]) for i in range(12)]
+    order = lambda x: (math.isnan(x), 0.0 if math.isnan(x) else x)  # noqa: E731 - NaN stands after all others
+
+    def holds(row, c) -> bool:
+        v = {"n": row[1], "s": row[2], "w": row[3]}[c[0]]
+        if c[1] == "between":
+            return None not in (v, c[3], c[4]) and order(c[3]) <= order(v) < order(c[4])
+        return v == c[2] if c[1] == "equals" else v.startswith(c[2])
+
+    def check(rows, asked) -> str:
+        got = intervals.match_rules(spark.createDataFrame(rows, "id int, n double, s string, w string"), "id", spark.createDataFrame(asked, f"rule_id int, clause int, conditions array<{intervals.CONDITION}>"))
+        want = {(r[0], row[0]) for r in asked for row in rows if all(holds(row, c) for c in r[2])}
+        pairs = [(r.rule_id, r.id) for r in got.collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+        return got._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Aggregate [rule_id" not in check(data, rules)
+    assert "Aggregate [rule_id" in check(data, rules + many)
+    assert "Aggregate [rule_id" in check([*data, *[(i, 8.0, "a", "x1") for i in range(0, 2500, 100)]], rules)
+
+
 def test_tree_order(spark):
     rnd = random.Random(9)
     parent: dict = {i: None if i == 0 or rnd.random() < 0.03 else rnd.randrange(i) for i in range(250)}
